@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from fieldaudit.llm import quality_rules
+from fieldaudit.llm import bpe, near_dup, packing, quality_rules
 
 QUERIES = {
+    "op4_best_fit_packing": packing.query,
+    "op7_ngram_jaccard_join": near_dup.query,
     "op8_quality_rules": quality_rules.query,
+    "op9_bpe_roundtrip": bpe.query,
 }
 
 ORACLE_SQL = {
+    "op7_ngram_jaccard_join": near_dup.SQL,
     "op8_quality_rules": quality_rules.SQL,
 }
