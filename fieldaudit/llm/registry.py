@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from fieldaudit.llm import bpe, near_dup, packing, quality_rules
+from fieldaudit.llm import bpe, near_dup, packing, quality_classifier, quality_rules
 
 QUERIES = {
     "op4_best_fit_packing": packing.query,
     "op7_ngram_jaccard_join": near_dup.query,
     "op8_quality_rules": quality_rules.query,
     "op9_bpe_roundtrip": bpe.query,
+    "op10_quality_classifier": quality_classifier.query,
 }
 
 ORACLE_SQL = {
