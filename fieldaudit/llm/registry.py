@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from fieldaudit.llm import bpe, near_dup, packing, quality_classifier, quality_rules
+from fieldaudit.llm import bpe, near_dup, packing, quality_classifier, quality_rules, substring_dedup
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.query,
     "op4_best_fit_packing": packing.query,
     "op7_ngram_jaccard_join": near_dup.query,
     "op8_quality_rules": quality_rules.query,
