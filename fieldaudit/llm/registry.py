@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from fieldaudit.llm import bpe, near_dup, packing, quality_classifier, quality_rules, substring_dedup
+from fieldaudit.llm import ann, bpe, html_extract, near_dup, packing, quality_classifier, quality_rules, substring_dedup, url_filter, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
+    "op2_html_extraction": html_extract.query,
+    "op3_url_filter": url_filter.query,
     "op4_best_fit_packing": packing.query,
+    "op5_warc_revisits": warc.query,
+    "op6_nearest_neighbours": ann.query,
     "op7_ngram_jaccard_join": near_dup.query,
     "op8_quality_rules": quality_rules.query,
     "op9_bpe_roundtrip": bpe.query,
@@ -14,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_warc_revisits": warc.SQL,
     "op7_ngram_jaccard_join": near_dup.SQL,
     "op8_quality_rules": quality_rules.SQL,
 }
