@@ -1,0 +1,9 @@
+"""All queries of the library by name, and DuckDB SQL for each that SQL can express."""
+
+from __future__ import annotations
+
+from fieldaudit.plans import column_queries, panel_queries
+
+_MODULES = (panel_queries, column_queries)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
