@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of steps whose results are checkpointed, before the next step writes its own."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Scratch:
     """Wide intermediate tables as Parquet in the shared folder, gone when the block that made them ends."""
 

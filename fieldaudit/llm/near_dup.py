@@ -14,13 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldaudit.llm.common import SPACE, Scratch, components, cut, small
+from fieldaudit.llm.common import SPACE, Scratch, components, cut, release, small
 from fieldaudit.llm.hashing import mix, shingled
 
 #: Similar: 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Bits of the sketch by which candidates are compared, and the growth of the size bands.
 BITS, GROWTH = 1024, 1.6
+#: Sets over this size also have a wide sketch, of about as many bits as elements: so many flip most of a narrow one.
+WIDE = 800
 
 
 @cache
@@ -32,6 +34,11 @@ def bands() -> np.ndarray:
     return np.array(edges)
 
 
+def parity(u: np.ndarray, bits: int) -> np.ndarray:
+    """The XOR of one place of so many (a power of two) for each hash, packed. Halves XORed are the sketch of half as many bits."""
+    return np.packbits((np.bincount((u & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little")
+
+
 def block_keys(u: np.ndarray) -> np.ndarray:
     """Join keys of a set of hashes. Two similar sets have one in common.
 
@@ -63,26 +70,27 @@ def sketches(docs: DataFrame) -> DataFrame:
     Of documents with equal sets in a batch, the first has the keys and is the others' twin: very many copies leave each task once.
     """
     words = BITS // 64
-    schema = f"uid long, doc_id long, hash long, n long, print binary, {', '.join(f's{i} long' for i in range(words))}, keys array<long>, twin long"
+    schema = f"uid long, doc_id long, hash long, n long, print binary, {', '.join(f's{i} long' for i in range(words))}, keys array<long>, twin long, wide binary"
 
     def run(batches):
         for batch in batches:
             uid = batch.column("uid").to_numpy()
-            size, prints, sketch, own, twin = [], [], [], [], []
+            size, prints, sketch, own, twin, wide = [], [], [], [], [], []
             first: dict[bytes, int] = {}
             for k, s in enumerate(shingled(batch.column("text"))):
                 u = np.unique(s)
                 size.append(len(u))
                 prints.append(np.array([len(u), np.bitwise_xor.reduce(mix(u + np.uint64(1))), u.sum(dtype=np.uint64)], np.uint64).tobytes() if len(u) else None)
-                sketch.append(np.packbits((np.bincount((u & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(np.int64))
+                sketch.append(parity(u, BITS).view(np.int64))
+                wide.append(parity(u, 1 << (len(u) - 1).bit_length()).tobytes() if len(u) > WIDE else None)
                 f = first.setdefault(prints[-1], k) if len(u) else k
                 twin.append(int(uid[f]) if f != k else None)
                 own.append(block_keys(u).view(np.int64) if f == k and len(u) else np.zeros(0, np.int64))
             at = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
             columns = [batch.column("uid"), batch.column("doc_id"), batch.column("hash"), pa.array(size, pa.int64()), pa.array(prints, pa.binary())]
             columns += [pa.array(x) for x in (np.stack(sketch, 1) if sketch else np.zeros((words, 0), np.int64))]
-            columns += [pa.ListArray.from_arrays(at, pa.array(np.concatenate(own) if own else np.zeros(0, np.int64))), pa.array(twin, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", "hash", "n", "print", *(f"s{i}" for i in range(words)), "keys", "twin"])
+            columns += [pa.ListArray.from_arrays(at, pa.array(np.concatenate(own) if own else np.zeros(0, np.int64))), pa.array(twin, pa.int64()), pa.array(wide, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", "hash", "n", "print", *(f"s{i}" for i in range(words)), "keys", "twin", "wide"])
 
     return keyed(docs).withColumn("uid", F.monotonically_increasing_id()).mapInArrow(run, schema)
 
@@ -105,12 +113,37 @@ def _near(l: str, r: str):  # noqa: E741
     return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & ((100 + PERCENT) * apart <= (100 - PERCENT) * (n + m))
 
 
+def not_far(wides: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (a, b) without those that wide sketches (uid, n, wide) rule out."""
+    pairs = cut(pairs)
+    side = lambda p, u: wides.select(F.col("uid").alias(u), F.col("n").alias(f"{p}n"), F.col("wide").alias(p))
+    both = side("x", "a").join(small(pairs), "a", "right").join(side("y", "b"), "b", "left")
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "xn", "yn"))):
+                if x is None or y is None:
+                    keep.append(True)
+                    continue
+                a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+                b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
+                keep.append((100 + PERCENT) * int(np.bitwise_count(a ^ b).sum()) <= (100 - PERCENT) * (n + m))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in "ab"], ["a", "b"])
+
+    return both.select("a", "b", "x", "y", "xn", "yn").mapInArrow(run, "a long, b long")
+
+
 def verified(docs: DataFrame, info: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are similar, by their whole sets. Only the texts that a pair needs are moved."""
     pairs = cut(pairs)
-    need = cut(pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct().join(info.select("uid", "doc_id", "hash"), "uid"))
-    texts = keyed(docs).join(small(need.drop("doc_id")), "hash").dropDuplicates(["uid"]).select("uid", "text")
-    both = pairs.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("uid").alias("b"), F.col("text").alias("y")), "b")
+    again = info.groupBy("hash").agg(F.count("*").alias("rows")).where("rows > 1")
+    need = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct().join(info.select("uid", "hash"), "uid").join(again, "hash", "left")
+    found = keyed(docs).select("hash", "text").join(small(cut(need)), "hash")
+    once = found.where("rows IS NOT NULL").dropDuplicates(["uid"])  # rows that are alike in id and text
+    texts = found.where("rows IS NULL").union(once.select(found.columns)).select("uid", "text")
+    left = texts.select(F.col("uid").alias("a"), F.col("text").alias("x")).join(small(pairs), "a")
+    both = left.join(texts.select(F.col("uid").alias("b"), F.col("text").alias("y")), "b")
 
     def run(batches):
         for batch in batches:
@@ -137,16 +170,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     with Scratch(spark) as scratch:
         s = scratch.table(sketches(docs), "sketches")
-        info = s.drop("keys", "twins")
+        info = cut(s.drop("keys", "twin", "wide"))
+        wides = cut(s.where("wide IS NOT NULL").select("uid", "n", "wide"))
         of_key = Window.partitionBy("key")
         key = s.select("uid", F.explode("keys").alias("key")).withColumns({"lead": F.min("uid").over(of_key), "last": F.max("uid").over(of_key)})
         shared = scratch.table(key.where("lead < last").drop("last"), "shared")
         twins = s.where("twin IS NOT NULL").select(F.col("uid").alias("a"), F.col("twin").alias("b"))
-        star = twins.union(shared.where("uid > lead").select("uid", F.col("lead").alias("b"))).distinct()
+        star = cut(twins).union(shared.where("uid > lead").select("uid", F.col("lead").alias("b"))).distinct()
+        star = cut(star)
+        scratch.drop("sketches")
+        release(spark)
         found = cut(may_be_similar(info, star))
-        links = cut(found.where("same").select("a", "b").union(verified(docs, info, found.where("NOT same").select("a", "b"))))
+        links = cut(found.where("same").select("a", "b").union(verified(docs, info, not_far(wides, found.where("NOT same").select("a", "b")))))
         comp = components(links)
-        rest = cut(across(info, shared, comp))
+        rest = cut(not_far(wides, across(info, shared, comp)))
         if not rest.isEmpty():
             comp = components(links.union(verified(docs, info, rest)))
         out = info.select("uid", "doc_id", "hash", "n").join(comp.withColumnRenamed("node", "uid"), "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
@@ -157,9 +194,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def across(info: DataFrame, shared: DataFrame, comp: DataFrame) -> DataFrame:
     """Pairs with a key in common that are in different components, were not compared yet and aren't ruled out by sizes and sketches."""
-    member = shared.join(comp.withColumnRenamed("node", "uid"), "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
-    mixed = member.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    member = cut(member.join(mixed, "key").where("uid > lead"))
+    of_key = Window.partitionBy("key")
+    member = shared.join(small(cut(comp)).withColumnRenamed("node", "uid"), "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
+    member = member.withColumns({"low": F.min("comp").over(of_key), "high": F.max("comp").over(of_key)})
+    member = cut(member.where("low < high AND uid > lead").select("key", "uid", "comp"))
     wide = member.select("key", "uid", "comp").join(info.drop("doc_id", "hash", "print"), "uid")
     side = lambda p: wide.select(*(F.col(c).alias(f"{p}_{c}") for c in wide.columns))
     on = (F.col("l_key") == F.col("r_key")) & (F.col("l_uid") < F.col("r_uid")) & (F.col("l_comp") != F.col("r_comp")) & _near("l_", "r_")
