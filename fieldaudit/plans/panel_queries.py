@@ -96,3 +96,77 @@ add("m12_composed", lambda s, d: _r(probes.compose(panel(s, d), lambda p: probes
     f"SELECT row_id, round(0.8 * (y - prior) + {_noise('m02')}, 6) AS m02, round(x_tax, 6) AS m10_copy, round(0.5 * (y - prior) + {_noise('m10')}, 6) AS m10 FROM placed")
 add("q9_base_unchanged", lambda s, d: probes.same_base(panel(s, d), probes.noisy_proxy(panel(s, d), 0.8, S), ["row_id", "y", *FEATURES]).groupBy("side").agg(F.count("*").alias("n")),
     "SELECT CAST('' AS VARCHAR) AS side, CAST(0 AS BIGINT) AS n WHERE false")
+
+
+def _next_time(s, d):
+    """For each time of each dataset the next strictly later one and how many rows come after: what a look-up by time may not go beyond."""
+    from pyspark.sql import Window
+
+    times = panel(s, d).groupBy("dataset_id", "ts").agg(F.count("*").alias("n_rows"))
+    w = Window.partitionBy("dataset_id").orderBy("ts")
+    later = F.coalesce(F.sum("n_rows").over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    return times.select("dataset_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.date_format(F.lead("ts").over(w), "yyyy-MM-dd").alias("next_day"), later.alias("rows_after"))
+
+
+add("j13_next_strict_future", _next_time, """, t AS (SELECT dataset_id, ts, count(*) AS n FROM panel GROUP BY ALL)
+    SELECT dataset_id, strftime(ts, '%Y-%m-%d') AS day, strftime(lead(ts) OVER w, '%Y-%m-%d') AS next_day, CAST(coalesce(sum(n) OVER (PARTITION BY dataset_id ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS BIGINT) AS rows_after
+    FROM t WINDOW w AS (PARTITION BY dataset_id ORDER BY ts)""")
+
+
+def _orders(s, d):
+    from fieldaudit.operators import columns
+    from fieldaudit.plans.tables import read
+
+    o = read(s, d, "orders")
+    day = columns.day_difference(F.lit("2000-01-01 12:00:00").cast("timestamp_ntz"), F.col("o_orderdate"))
+    return o.select(
+        "o_orderkey", columns.binary_label(F.col("o_orderstatus"), ["f"], ["o"]).alias("y"), day.alias("days_before"), columns.number_or(F.substring("o_orderpriority", 1, 1)).alias("priority"),
+        F.date_format(columns.tolerant_date(F.date_format("o_orderdate", "MMM-yyyy"), "yyyy-MM-dd", "MMM-yyyy"), "yyyy-MM-dd").alias("month"),
+        columns.opaque_id(F.col("o_orderkey").cast("string")).alias("opaque"),
+    )
+
+
+add("f5_order_labels", _orders, """SELECT o_orderkey, CASE lower(trim(o_orderstatus)) WHEN 'f' THEN 1 WHEN 'o' THEN 0 END AS y,
+    CAST(floor((epoch_us(TIMESTAMP '2000-01-01 12:00:00') - epoch_us(o_orderdate)) / CAST(86400000000 AS DOUBLE)) AS INT) AS days_before, coalesce(TRY_CAST(substr(o_orderpriority, 1, 1) AS DOUBLE), -1) AS priority,
+    strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS month, 'fid_' || substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 16) AS opaque FROM orders""")
+
+
+def _codes(s, d):
+    """Codes of event types over the whole table by their sorted order, and rows of each: distinct values are numbered, not rows."""
+    from pyspark.sql import Window
+
+    from fieldaudit.plans.tables import read
+
+    e = read(s, d, "events")
+    code = e.select("event_type").where("event_type IS NOT NULL").distinct().withColumn("code", F.dense_rank().over(Window.orderBy("event_type")) - 1)
+    return e.join(F.broadcast(code), "event_type", "left").groupBy(F.coalesce("code", F.lit(-1)).alias("code")).agg(F.count("*").alias("n"), F.min("event_type").alias("event_type"))
+
+
+add("f9_whole_table_codes", _codes, "SELECT CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS INT) AS code, n, event_type FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)")
+add("s12_table_digest", lambda s, d: __import__("fieldaudit.operators.ledger", fromlist=["table_digest"]).table_digest(panel(s, d), ["dataset_id"], ["row_id", "entity_id", "source_id", "y"]),
+    """SELECT dataset_id, count(*) AS n, CAST(sum(CAST('0x' || substr(sha256(concat_ws('|', row_id, entity_id, source_id, y)), 1, 10) AS BIGINT)) AS BIGINT) AS digest FROM panel GROUP BY 1""")
+
+
+def neighbours(s, d, k=5):
+    """Each vector of an id divisible by 10 and its k nearest of the others, by exact distance: queries against all rows, in blocks."""
+    from pyspark.sql import Window
+
+    from fieldaudit.plans.tables import read
+
+    e = read(s, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    q = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("q_id"), F.col("label").alias("q_label"), F.col("v").alias("q"))
+    n = max(1, -(-q.count() // 500))  # blocks of about 500 queries
+    blocks = q.groupBy(F.pmod(F.xxhash64("q_id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("q_id", "q_label", "q")).alias("qs"))
+    dealt = e.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(blocks, "block").select("vec_id", "label", "v", F.explode("qs").alias("x")).where("vec_id <> x.q_id")
+    dist = F.round(F.aggregate(F.zip_with("v", "x.q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, t: a + t), 9)
+    rank = F.row_number().over(Window.partitionBy("q_id").orderBy("dist", "vec_id"))
+    return dealt.select(F.col("x.q_id").alias("q_id"), F.col("x.q_label").alias("q_label"), "vec_id", "label", dist.alias("dist")).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+_KNN = """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT q.vec_id AS q_id, q.label AS q_label, e.vec_id, e.label,
+    round(list_sum(list_transform(range(1, len(e.v) + 1), lambda i: (e.v[i] - q.v[i]) * (e.v[i] - q.v[i]))), 9) AS dist FROM e q JOIN e ON q.vec_id % 10 = 0 AND e.vec_id <> q.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY dist, vec_id) AS rank FROM p QUALIFY rank <= 5)"""
+QUERIES["j11_neighbour_join"] = lambda s, d: neighbours(s, d).groupBy("q_id").agg(F.round(F.sum((F.col("label") == F.col("q_label")).cast("int") / (F.sqrt("dist") + 1e-9)) / F.sum(1 / (F.sqrt("dist") + 1e-9)), 6).alias("vote"))
+ORACLE["j11_neighbour_join"] = _KNN + " SELECT q_id, round(sum(CAST(label = q_label AS INT) / (sqrt(dist) + 1e-9)) / sum(1 / (sqrt(dist) + 1e-9)), 6) AS vote FROM r GROUP BY q_id"
+QUERIES["j12_neighbour_purity"] = lambda s, d: neighbours(s, d).agg(F.round(F.avg(F.when(F.col("rank") == 1, (F.col("label") == F.col("q_label")).cast("int"))), 6).alias("purity_1"), F.round(F.avg((F.col("label") == F.col("q_label")).cast("int")), 6).alias("purity_5"))
+ORACLE["j12_neighbour_purity"] = _KNN + " SELECT round(avg(CAST(label = q_label AS INT)) FILTER (rank = 1), 6) AS purity_1, round(avg(CAST(label = q_label AS INT)), 6) AS purity_5 FROM r"

@@ -201,3 +201,26 @@ add("c8_joint_gate", lambda s, d: _gate(s, d), """, e AS (SELECT model, avg(full
 def _gate(s, d):
     e = led(s, d).groupBy("model").agg(F.avg(F.col("full_auc") - F.col("governed_auc")).alias("a"), F.avg(F.col("clean_auc") - F.col("governed_auc")).alias("b"))
     return e.select("model", F.expr("CASE WHEN a > 0 AND b > 0 THEN 'SEMANTICALLY_CORROBORATED' WHEN a > 0 THEN 'SCORE_RECOVERY_ONLY' WHEN a <= 0 AND b <= 0 THEN 'NEGATIVE' ELSE 'MIXED' END").alias("outcome"))
+
+
+def _rest_r2(s, d):
+    """R2 over cells of mechanism and model of the simple line, with each mechanism left out in turn."""
+    m = _mech(s, d)
+    left = m.select(F.col("mechanism").alias("left_out")).distinct()
+    return rounded(stats.regression(m.join(F.broadcast(left), F.col("mechanism") != F.col("left_out")), "x", "h", ["left_out"]), ["left_out"], "slope", "r2")
+
+
+add("b16_leave_one_out_r2", _rest_r2, _MECH + " SELECT l.left_out, round(regr_slope(h, x), 6) AS slope, round(regr_r2(h, x), 6) AS r2 FROM mm, (SELECT DISTINCT mechanism AS left_out FROM mm) l WHERE mechanism <> l.left_out GROUP BY 1")
+
+
+def _pearson_bootstrap(s, d):
+    """Interval of the correlation over drawn cells of mechanism and model; draws without spread are skipped."""
+    units = stats.numbered(_mech(s, d), "item")
+    n = units.count()
+    c = stats.draws(s, REPS, n, S).join(F.broadcast(units), "unit").groupBy("rep").agg(F.corr("x", "h").alias("r")).where("r IS NOT NULL AND NOT isnan(r)")
+    return c.agg(F.round(F.percentile("r", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("r", F.lit(0.975)), 6).alias("high"))
+
+
+add("b8_correlation_bootstrap", _pearson_bootstrap, _MECH + f""", un AS (SELECT *, row_number() OVER (ORDER BY item) - 1 AS unit FROM mm), nu AS (SELECT count(*) AS n FROM un),
+    dr AS (SELECT rep, CAST(floor({u_sql(f"'{S}|' || rep || '|' || slot")} * n) AS BIGINT) AS unit FROM nu, range({REPS}) r(rep), range(1000) s(slot) WHERE slot < n),
+    c AS (SELECT rep, corr(x, h) AS r FROM dr JOIN un USING (unit) GROUP BY rep) SELECT round(quantile_cont(r, 0.025), 6) AS low, round(quantile_cont(r, 0.975), 6) AS high FROM c WHERE NOT isnan(r)""")
