@@ -19,9 +19,9 @@ import pyarrow as pa
 
 from fieldaudit.llm.hashing import CHUNK, mix
 
-NEVER = np.int64(1) << np.int64(40)
+NEVER = np.int64(1) << np.int64(30)
 #: Different words whose ids a worker keeps; beyond it, it begins anew.
-KEEP = 2_000_000
+KEEP = 600_000
 _LETTER, _NUMBER, _OTHER, _SPACE = 0, 1, 2, 3
 
 
@@ -132,19 +132,18 @@ class Encoder:
         end = np.full(edge.shape, NEVER)
         end[:, 1:] = self.made[edge[:, :-1]]
         end[edge < 0] = -2
-        return edge, end
+        return edge.astype(np.int32), end.astype(np.int32)
 
     def _trie(self) -> None:
-        """Children of each node by byte, and the token that ends there."""
+        """Children of each node by byte, as one sorted column of node and byte, and the token that ends at each node."""
         node: dict[bytes, int] = {b"": 0}
         for t in self.bytes.values():
             for k in range(1, len(t) + 1):
                 node.setdefault(t[:k], len(node))
-        self.child = np.full((len(node), 256), -1, np.int32)
         self.token = np.full(len(node), -1, np.int32)
-        for t, k in node.items():
-            if t:
-                self.child[node[t[:-1]], t[-1]] = k
+        key = np.array([node[t[:-1]] * 256 + t[-1] for t in node if t], np.int64)
+        order = np.argsort(key)
+        self.branch, self.child = key[order], np.arange(1, len(node), dtype=np.int32)[order]
         for i, t in self.bytes.items():
             if self.sound[i]:
                 self.token[node[t]] = i
@@ -238,7 +237,9 @@ class Encoder:
         while live.size:  # one byte of every word at a time
             p = at[live]
             inside = p < ends[live]
-            step = np.where(inside, self.child[node[live], data[np.minimum(p, len(data) - 1)]], -1)
+            key = node[live] * 256 + data[np.minimum(p, len(data) - 1)]
+            found = np.minimum(np.searchsorted(self.branch, key), len(self.branch) - 1)
+            step = np.where(inside & (self.branch[found] == key), self.child[found], -1)
             go = step >= 0
             moved = live[go]
             node[moved] = step[go]

@@ -10,7 +10,7 @@ import pyarrow as pa
 #: Words in a shingle.
 SHINGLE = 5
 #: Bytes of text worked on at once, unless one text is longer.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)

@@ -23,6 +23,8 @@ PERCENT = 80
 BITS, GROWTH = 1024, 1.6
 #: Sets over this size also have a wide sketch, of about as many bits as elements: so many flip most of a narrow one.
 WIDE = 800
+#: Documents whose sketches are made at once.
+ROWS = 2_500
 
 
 @cache
@@ -67,13 +69,13 @@ def block_keys(u: np.ndarray) -> np.ndarray:
 def sketches(docs: DataFrame) -> DataFrame:
     """One row per document: uid, doc_id, hash (of id and text), n (set size), print (of the set), s0.. (sketch), keys, twin.
 
-    Of documents with equal sets in a batch, the first has the keys and is the others' twin: very many copies leave each task once.
+    Among those made at once, the first of equal sets has the keys and is the others' twin: very many copies leave each task few times.
     """
     words = BITS // 64
     schema = f"uid long, doc_id long, hash long, n long, print binary, {', '.join(f's{i} long' for i in range(words))}, keys array<long>, twin long, wide binary"
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
             uid = batch.column("uid").to_numpy()
             size, prints, sketch, own, twin, wide = [], [], [], [], [], []
             first: dict[bytes, int] = {}
