@@ -71,7 +71,7 @@ def directional_repair(df: DataFrame, strict: str, full: str, governed: str, zer
     none, side = F.abs(gap) <= zero, F.signum(gap)
     out = df.withColumns({"signed_gap": gap, "opportunity": F.abs(gap), "governed_offset": offset, "direction": side})
     out = out.withColumns({
-        "same_side_residual": F.when(none, 0.0).otherwise(F.greatest(side * offset, F.lit(0.0))), "overcorrection": F.when(none, 0.0).otherwise(F.greatest(-side * offset, F.lit(0.0))),
+        "same_side_residual": F.when(none, 0.0).otherwise(F.greatest(side * offset, F.lit(0.0)) + F.lit(0.0)), "overcorrection": F.when(none, 0.0).otherwise(F.greatest(-side * offset, F.lit(0.0)) + F.lit(0.0)),
         "introduced_distortion": F.when(none, F.abs(offset)).otherwise(0.0), "opportunity_class": F.when(none, "zero").otherwise("nonzero"),
     })
     out = out.withColumn("directional_repair", F.when(none, 0.0).otherwise(F.col("opportunity") - F.col("same_side_residual")))

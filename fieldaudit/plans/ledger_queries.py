@@ -123,7 +123,7 @@ add("e8_utility", lambda s, d: rounded(metrics.utility(led(s, d), "clean_auc", "
     round(abs(full_auc - clean_auc) - abs(governed_auc - clean_auc), 6) AS strict_distance_reduction FROM ledger""")
 _DR = ["signed_gap", "same_side_residual", "overcorrection", "directional_repair", "directional_repair_fraction", "introduced_distortion"]
 _REPAIR = """, g AS (SELECT *, full_auc - clean_auc AS gap, governed_auc - clean_auc AS off, abs(full_auc - clean_auc) <= 1e-12 AS none, sign(full_auc - clean_auc) AS side FROM ledger),
-    h AS (SELECT *, gap AS signed_gap, CASE WHEN none THEN 0 ELSE greatest(side * off, 0) END AS same_side_residual, CASE WHEN none THEN 0 ELSE greatest(-side * off, 0) END AS overcorrection, CASE WHEN none THEN abs(off) ELSE 0 END AS introduced_distortion FROM g),
+    h AS (SELECT *, gap AS signed_gap, CASE WHEN none THEN 0 ELSE greatest(side * off, 0) + 0 END AS same_side_residual, CASE WHEN none THEN 0 ELSE greatest(-side * off, 0) + 0 END AS overcorrection, CASE WHEN none THEN abs(off) ELSE 0 END AS introduced_distortion FROM g),
     rep AS (SELECT *, CASE WHEN none THEN 0 ELSE abs(gap) - same_side_residual END AS directional_repair, CASE WHEN NOT none THEN (abs(gap) - same_side_residual) / abs(gap) END AS directional_repair_fraction FROM h)"""
 add("e10_directional_repair", lambda s, d: rounded(metrics.directional_repair(led(s, d), "clean_auc", "full_auc", "governed_auc"), [*KEY, "opportunity_class"], *_DR),
     _REPAIR + f" SELECT {_K}, CASE WHEN none THEN 'zero' ELSE 'nonzero' END AS opportunity_class, {_r(*_DR)} FROM rep")
