@@ -55,15 +55,16 @@ def general(tag: str, attr: dict[str, str]) -> str:
     return tag + "".join(f".{c}" for c in names)
 
 
-def parse(page: str) -> tuple[list[tuple[str, str]], dict[str, int]]:
-    """The blocks of text outside skipped parts, each with the path of its nearest container, and a score for every container's path.
+def parse(page: str) -> tuple[list[tuple[str, str]], dict[str, int], dict[str, int]]:
+    """The blocks of text outside skipped parts, each with the path of its nearest container, a score and all such text for every container's path.
 
     A container scores the characters of its own blocks, less those in links; parents get half of that, and so on, so that the nearest
-    element that holds most of the article wins over the page as a whole. article and main count double.
+    element that holds most of the article wins over the page as a whole. article and main count double. The third result has no halves.
     """
     stack: list[tuple[str, str, bool]] = []  # tag, path of the nearest container, within a skipped part
     blocks: list[tuple[str, str]] = []
     score: dict[str, int] = {}
+    whole: dict[str, int] = {}
     buffer: list[str] = []
     linked = 0
     path, skip = "", False
@@ -75,8 +76,10 @@ def parse(page: str) -> tuple[list[tuple[str, str]], dict[str, int]]:
             buffer.clear()
             if text:
                 blocks.append((path, text))
-                worth, at = max(0, len(text) - 2 * linked), path
-                while at and worth:
+                full, at = max(0, len(text) - 2 * linked), path
+                worth = full
+                while at and full:
+                    whole[at] = whole.get(at, 0) + full
                     score[at] = score.get(at, 0) + worth * (2 if at.rsplit(">", 1)[-1].split(".")[0] in ("article", "main") else 1)
                     at, worth = at.rpartition(">")[0], worth // 2
         linked = 0
@@ -136,7 +139,7 @@ def parse(page: str) -> tuple[list[tuple[str, str]], dict[str, int]]:
             stack.pop()
             path, skip = (stack[-1][1], stack[-1][2]) if stack else ("", False)
     flush()
-    return blocks, score
+    return blocks, score, whole
 
 
 def best(score: dict[str, int]) -> str:
@@ -144,6 +147,15 @@ def best(score: dict[str, int]) -> str:
     return max(score, key=lambda p: (score[p], len(p), p), default="")
 
 
+def climbed(path: str, whole: dict[str, int]) -> str:
+    """path, or the lowest container above it that has all of the text: an article over sibling containers stays whole. article and main end the climb."""
+    out = at = path
+    while ">" in at[1:] and at.rpartition(">")[2].split(".")[0] not in ("article", "main"):
+        at = at.rpartition(">")[0]
+        out = at if whole.get(at, 0) > whole.get(out, 0) else out
+    return out
+
+
 def within(blocks: list[tuple[str, str]], path: str) -> list[str]:
     return [t for p, t in blocks if p == path or p.startswith(f"{path}>")]
 
@@ -159,7 +171,7 @@ def votes(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            paths = [best(parse(p or "")[1]) for p in batch.column("html").to_pylist()]
+            paths = [climbed(best(score), whole) for _, score, whole in (parse(p or "") for p in batch.column("html").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(paths, pa.string())], ["host", "path"])
 
     chosen = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(run, "host string, path string")
@@ -169,7 +181,8 @@ def votes(pages: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame, limit: int = 20_000) -> DataFrame:
-    """page_id, url, text, n_chars, path, agreed: the blocks of the host's path, or of the page's own best path where the host's isn't there.
+    """page_id, url, text, n_chars, path, agreed: the blocks of the host's path, or of the page's own best path where the host's isn't there; on a
+    page with text beside that container, of the one above that has both.
 
     Blocks are joined by a line feed in page order, white space inside them is one space. Null and empty pages and pages without text give
     an empty text; repeated rows give their texts again. Hosts' paths are small strings, one a host; up to limit of them are broadcast, more
@@ -184,11 +197,12 @@ def extract(pages: DataFrame, limit: int = 20_000) -> DataFrame:
         for batch in batches:
             texts, used, agreed = [], [], []
             for page, path in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist()):
-                blocks, score = parse(page or "")
+                blocks, score, whole = parse(page or "")
+                path = climbed(path, whole) if path and path in whole else path
                 found = within(blocks, path) if path else []
                 agreed.append(bool(found))
                 if not found:
-                    path = best(score)
+                    path = climbed(best(score), whole)
                     found = within(blocks, path) if path else [t for _, t in blocks]
                 texts.append("\n".join(found))
                 used.append(path)

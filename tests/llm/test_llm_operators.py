@@ -335,3 +335,19 @@ def test_repeats_stay_in_one_document_whatever_comes_first(spark):
     after = __import__("collections").Counter(w for x in substring_dedup.stage(spark, frame, "").collect() for w in windows(x.text))
     repeated = [w for w in count if count[w] > 1]
     assert repeated and not [w for w in repeated if after[w] > 1]
+
+
+def test_articles_over_sibling_containers_stay_whole(spark):
+    a, b, c = "first part " * 9, "second part " * 80, "third part " * 80
+    pages = {
+        "intro": (f'<body><nav>Menu</nav><div class="post"><div class="lead"><p>{a}</p></div><div class="text"><p>{b}</p></div></div><div class="footer">end</div></body>', [a, b]),
+        "halves": (f'<body><article><div class="content"><div class="a"><p>{c}</p></div><div class="b"><p>{b[: len(c)]}</p></div></div></article><div class="x"><p>Beside</p></div></body>', [c, b[: len(c)]]),
+        "three": (f'<body><div class="a">{a}</div><section class="b">{b}</section><div class="c">{c}</div><div class="d"><a href="/">links only</a></div></body>', [a, b, c]),
+    }
+    rows = [(10 * k + i, f"https://{name}.example/{i}", page) for k, (name, (page, _)) in enumerate(pages.items()) for i in range(3)]
+    rows += [(90 + i, f"https://mixed.example/{i}", f'<body><div class="post"><div class="text"><p>{b}</p></div></div></body>') for i in range(4)] + [(94, "https://mixed.example/4", pages["intro"][0])]
+    got = {r.page_id: r for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {10 * k + i: parts for k, (_, parts) in enumerate(pages.values()) for i in range(3)} | {90 + i: [b] for i in range(4)} | {94: [a, b]}
+    for i, parts in want.items():
+        lines = got[i].text.split("\n")
+        assert lines[: len(parts)] == [" ".join(p.split()) for p in parts] and set(lines[len(parts) :]) <= {"links only"}
