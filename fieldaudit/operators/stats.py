@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +69,29 @@ def exact_sign_flip(df: DataFrame, by: list[str], value: str, tolerance: float =
     return patterns.groupBy(*by).agg(F.first(F.size("_v")).alias("n"), F.first(F.aggregate("_v", F.lit(0.0), lambda a, v: a + v) / F.size("_v")).alias("mean"), F.avg((F.abs(total) >= seen - tolerance).cast("int")).alias("p"))
 
 
+def halved_sign_flip(df: DataFrame, by: list[str], value: str, tolerance: float = 1e-12) -> DataFrame:
+    """exact_sign_flip for up to 40 values a group: sums of all patterns of either half, and by search how many of their pairs are far enough."""
+
+    def run(group):
+        v = np.array([x for x in group.column("_v").to_pylist() if x is not None])
+        if len(v) > 40:
+            raise ValueError(f"{len(v)} values in a group, 40 at most")
+        sums = []
+        for half in (v[: len(v) // 2], v[len(v) // 2 :]):
+            s = np.zeros(1)
+            for x in half:
+                s = np.concatenate([s - x, s + x])
+            sums.append(np.sort(s))
+        far = abs(v.sum()) - tolerance
+        high = len(sums[1]) - np.searchsorted(sums[1], far - sums[0], "left")
+        low = np.searchsorted(sums[1], -far - sums[0], "right")
+        p = 1.0 if far <= 0 else float((high + low).sum()) / 2.0 ** len(v)
+        return pa.table({**{c: group.column(c).slice(0, 1) for c in by}, "n": pa.array([len(v)], pa.int32()), "mean": pa.array([v.mean() if len(v) else None], pa.float64()), "p": pa.array([p])})
+
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+    return df.select(*by, F.col(value).alias("_v")).groupBy(*by).applyInArrow(run, f"{kinds}, n int, mean double, p double")
+
+
 def sampled_sign_flip(df: DataFrame, unit: str, value: str, reps: int, seed: int) -> DataFrame:
     """mean, p with one added to both counts, by signs drawn for each replicate and unit."""
     spark = df.sparkSession

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldaudit.operators import ledger as L
-from fieldaudit.operators import metrics, stats
+from fieldaudit.operators import metrics, order, stats
 from fieldaudit.plans.ledger_queries import rounded
 from fieldaudit.plans.panel_queries import S
 from fieldaudit.plans.tables import CATEGORIES, LEDGER, PANEL, categories, ledger, panel, u_sql
@@ -58,8 +58,8 @@ add("b5_category_interval", lambda s, d: rounded(stats.interval(stats.nested_boo
     _DRAW + _NEST + f", sc AS (SELECT rep, category, avg(stat) AS stat FROM st JOIN {CATEGORIES} USING (mechanism) GROUP BY ALL) " + _iv("sc", "category"))
 
 
-def _task_matrix(s, d):
-    df = led(s, d).where("dataset_id < 12").join(F.broadcast(categories(s)), "mechanism").groupBy("dataset_id").pivot("category", ["boundary", "simple", "structured"]).agg(F.avg("paired_harm"))
+def _task_matrix(s, d, which="dataset_id < 12"):
+    df = led(s, d).where(which).join(F.broadcast(categories(s)), "mechanism").groupBy("dataset_id").pivot("category", ["boundary", "simple", "structured"]).agg(F.avg("paired_harm"))
     pair = lambda n, a, b: F.struct(F.lit(n).alias("contrast"), F.round(F.col(a) - F.col(b), 9).alias("v"))
     each = F.explode(F.array(pair("boundary_structured", "boundary", "structured"), pair("simple_boundary", "simple", "boundary"), pair("simple_structured", "simple", "structured")))
     return df.select("dataset_id", each.alias("_c")).select("dataset_id", "_c.contrast", "_c.v")
@@ -224,3 +224,46 @@ def _pearson_bootstrap(s, d):
 add("b8_correlation_bootstrap", _pearson_bootstrap, _MECH + f""", un AS (SELECT *, row_number() OVER (ORDER BY item) - 1 AS unit FROM mm), nu AS (SELECT count(*) AS n FROM un),
     dr AS (SELECT rep, CAST(floor({u_sql(f"'{S}|' || rep || '|' || slot")} * n) AS BIGINT) AS unit FROM nu, range({REPS}) r(rep), range(1000) s(slot) WHERE slot < n),
     c AS (SELECT rep, corr(x, h) AS r FROM dr JOIN un USING (unit) GROUP BY rep) SELECT round(quantile_cont(r, 0.025), 6) AS low, round(quantile_cont(r, 0.975), 6) AS high FROM c WHERE NOT isnan(r)""")
+
+
+# The queries above that DuckDB can only follow over some datasets, over all of them: without SQL, tests hold them against brute force.
+QUERIES["b9_sign_flip_whole"] = lambda s, d: rounded(stats.halved_sign_flip(_task_matrix(s, d, "true"), ["contrast"], "v"), ["contrast", "n"], "mean", "p")
+QUERIES["b6_category_contrasts_whole"] = lambda s, d: rounded(stats.holm(stats.halved_sign_flip(_task_matrix(s, d, "true"), ["contrast"], "v"), "p"), ["contrast"], "mean", "p", "p_holm")
+
+
+def _all_cases(s, d):
+    t = led(s, d).groupBy("mechanism", "dataset_id").agg(F.round(F.avg("paired_harm"), 9).alias("v"))
+    return rounded(stats.halved_sign_flip(t, ["mechanism"], "v").join(t.groupBy("mechanism").agg(F.min(F.col("v") > 0).alias("all_positive")), "mechanism"), ["mechanism", "all_positive"], "mean", "p")
+
+
+QUERIES["b28_case_studies_whole"] = _all_cases
+
+
+def _whole_auc_bootstrap(s, d):
+    """As _auc_bootstrap, over all datasets and REPS replicates: rows are collapsed to entity, label and score before they are drawn."""
+    p = panel(s, d)
+    return rounded(auc_effects(p, entity_weights(p, REPS)), ["dataset_id", "rep"], "effect")
+
+
+def entity_weights(p, reps):
+    """rep, entity_id, w: how often each entity is drawn, if at all. Entities are numbered within buckets of their hash."""
+    units = p.select("entity_id").distinct().withColumn("_h", F.xxhash64("entity_id"))
+    units = order.positions(units, [F.col("_h"), F.col("entity_id")], F.shiftright("_h", 54)).select("entity_id", (F.col("pos") - 1).alias("unit"))
+    n = units.count()
+    drawn = units.select(F.col("unit").alias("slot")).crossJoin(F.broadcast(p.sparkSession.range(reps).withColumnRenamed("id", "rep")))
+    drawn = drawn.select("rep", stats.pick(n, str(S), F.col("rep"), F.col("slot")).alias("unit")).groupBy("rep", "unit").agg(F.count("*").cast("double").alias("w"))
+    return drawn.join(units, "unit").drop("unit")
+
+
+def auc_effects(p, weights):
+    """dataset_id, rep, effect of x_quantity less x_discount; draws that leave a dataset without a class have none."""
+    columns = ("x_quantity", "x_discount")
+    score = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("score")) for c in columns))).alias("_c")
+    cells = p.select("dataset_id", "entity_id", "y", score).groupBy("dataset_id", "entity_id", "y", "_c.column", "_c.score").agg(F.count("*").alias("n"))
+    rows = cells.join(weights, "entity_id").withColumn("w", F.col("w") * F.col("n"))
+    area = metrics.auroc(rows, ["dataset_id", "rep", "column"], "score", weight="w")
+    wide = area.groupBy("dataset_id", "rep").pivot("column", list(columns)).agg(F.first("auroc"))
+    return wide.withColumn("effect", F.col(columns[0]) - F.col(columns[1])).where("effect IS NOT NULL").select("dataset_id", "rep", "effect")
+
+
+QUERIES["b13_auc_bootstrap_whole"] = _whole_auc_bootstrap

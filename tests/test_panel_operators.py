@@ -130,3 +130,37 @@ def test_column_preparation(spark):
         columns.factor_filter(df, "split", ["other"], ["train", "test"])
     names = spark.createDataFrame([("a_x", True), ("b", True)], "feature_id string, available boolean")
     assert columns.regime(names, "O0").count() == 2 and set(columns.regime(names, "O1").columns) == {"shown_id", "feature_id"}
+
+
+def test_halved_sign_flip_is_exact_and_whole_queries_read_every_dataset(spark):
+    import itertools
+    import random
+
+    from fieldaudit import plans
+    from fieldaudit.operators import stats
+
+    r = random.Random(3)
+    groups = {f"g{n}": [round(r.uniform(-1, 2), 9) for _ in range(n)] for n in (1, 2, 5, 11)} | {"none": [0.0, 0.0]}
+    got = {x.g: x for x in stats.halved_sign_flip(spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double"), ["g"], "v").collect()}
+    for g, v in groups.items():
+        far = [abs(sum(s * x for s, x in zip(signs, v))) >= abs(sum(v)) - 1e-12 for signs in itertools.product((-1, 1), repeat=len(v))]
+        assert got[g].n == len(v) and abs(got[g].p - sum(far) / len(far)) < 1e-12
+    sf = "/root/testdata/sf0.01"
+    datasets = plans.stats_queries.led(spark, sf).select("dataset_id").distinct().count()
+    assert datasets > 12 and {x.n for x in plans.QUERIES["b9_sign_flip_whole"](spark, sf).collect()} == {datasets}
+    assert plans.QUERIES["b28_case_studies_whole"](spark, sf).count() and plans.QUERIES["b6_category_contrasts_whole"](spark, sf).count() == 3
+    rows = [(r.randrange(4), e, r.randrange(2), r.randrange(6), r.randrange(4)) for e in range(30) for _ in range(6)]
+    p = spark.createDataFrame(rows, "dataset_id int, entity_id long, y int, x_quantity int, x_discount int")
+    weights = plans.stats_queries.entity_weights(p, 5)
+    w = {(x.rep, x.entity_id): x.w for x in weights.collect()}
+    assert all(sum(v for (k, _), v in w.items() if k == rep) == 30 for rep in range(5))
+    want = {}
+    for d, rep in itertools.product(range(4), range(5)):
+        area = []
+        for c in (3, 4):
+            pos, neg = ([(x[c], w.get((rep, x[1]), 0)) for x in rows if x[0] == d and x[2] == y] for y in (1, 0))
+            won = sum(u * v * ((a > b) + (a == b) / 2) for a, u in pos for b, v in neg)
+            area.append(won / (sum(u for _, u in pos) * sum(v for _, v in neg)))
+        want[d, rep] = area[0] - area[1]
+    got = {(x.dataset_id, x.rep): x.effect for x in plans.stats_queries.auc_effects(p, weights).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
