@@ -1,9 +1,9 @@
 """Operator 9: byte-level BPE by speculation and verification.
 
-Words are cut out and hashed in NumPy, each different word is encoded once: the longest token at each place is proposed for all words in
-lockstep, a word stands if every two neighbours are compatible, and only the rest are merged exactly. Two tokens are compatible if no merge
-between a right edge of the first and a left edge of the second could have come before the merges that swallow those edges; if all
-neighbours are compatible, merging the whole word gives the same tokens.
+Texts are cut into words; a worker remembers the ids of words by the words themselves, and those it doesn't know yet are encoded together in
+NumPy: the longest token at each place is proposed for all words in lockstep, a word stands if every two neighbours are compatible, and only
+the rest are merged exactly. Two tokens are compatible if no merge between a right edge of the first and a left edge of the second could have
+come before the merges that swallow those edges; if all neighbours are compatible, merging the whole word gives the same tokens.
 """
 
 from __future__ import annotations
@@ -11,79 +11,23 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import unicodedata
-from functools import cache
+import re
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 
-from fieldaudit.llm.hashing import CHUNK, mix
+from fieldaudit.llm.common import keep
 
 NEVER = np.int64(1) << np.int64(30)
-#: Different words whose ids a worker keeps; beyond it, it begins anew.
-KEEP = 600_000
-_LETTER, _NUMBER, _OTHER, _SPACE = 0, 1, 2, 3
-
-
-@cache
-def _kinds() -> np.ndarray:
-    """Letter, number, white space or other, for each code point."""
-    kind = np.full(0x110000, _OTHER, np.uint8)
-    first = np.array([unicodedata.category(chr(c))[0] for c in range(0x110000)])
-    kind[first == "L"], kind[first == "N"] = _LETTER, _NUMBER
-    # Unicode's White_Space
-    kind[[*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = _SPACE
-    return kind
-
-
-@cache
-def _hashing(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(77)
-    table = rng.integers(1, 2**63, 1 << 16, dtype=np.uint64)
-    base = int(rng.integers(1, 2**62)) * 2 + 1
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.full(n + 1, b, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return table, out[0], out[1]
-
-
-def _bounds(cp: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Where words begin in the code points of several texts; edges: where texts begin.
-
-    The pattern is 's|'t|'re|'ve|'m|'ll|'d| ?letters| ?numbers| ?others|white space not before a word|white space.
-    """
-    n = len(cp)
-    kind = _kinds()[cp]
-    space = kind == _SPACE
-    edge = np.zeros(n + 1, bool)
-    edge[edges] = edge[n] = True
-    change = edge[:n].copy()
-    change[1:] |= kind[1:] != kind[:-1]
-    # the last blank before a word goes with it; another white space there is a word alone; the white space before it is a word
-    word = change & ~space
-    word[0] = False
-    at = np.flatnonzero(word & ~edge[:n])
-    at = at[space[at - 1]]
-    begin = change.copy()
-    begin[at - 1] = True
-    begin[at[cp[at - 1] == 32]] = False
-    # contractions: a lone ' that nothing has taken, then one of their endings
-    q = np.flatnonzero((cp == 39) & begin[:n])
-    if len(q):
-        pad = np.zeros(3, cp.dtype)
-        c = np.concatenate([cp, pad])
-        e = np.concatenate([edge, [True] * 3])
-        a, b = c[q + 1], c[q + 2]
-        one = ~e[q + 1] & np.isin(a, [ord(x) for x in "stmd"])
-        two = ~e[q + 1] & ~e[q + 2] & np.logical_or.reduce([(a == ord(x)) & (b == ord(y)) for x, y in ("re", "ve", "ll")])
-        size = np.where(one, 2, np.where(two, 3, 0))
-        for p, k in zip(q[size > 0], size[size > 0]):
-            begin[p + 1 : p + k] = False
-            if p + k < n and not e[p + k] and kind[p + k] == _LETTER:
-                begin[p + k] = True
-    return np.flatnonzero(begin)
+#: Different words that a worker remembers, of LONG characters at most; beyond it, it begins anew. And characters that are encoded at once.
+KEEP, LONG, CHUNK = 200_000, 64, 1 << 20
+#: Fixed value: the words of the file's tokenizer.
+WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+#: Where a word always ends: before white space that follows something else.
+GAP = regex.compile(r"(?<=\P{White_Space})\p{White_Space}")
 
 
 class Encoder:
@@ -120,8 +64,12 @@ class Encoder:
         self.right_edge, self.right_end = self._edges(right)
         self.sound = np.array([i in self.bytes and (len(self.bytes[i]) == 1 or self.made[i] >= 0) for i in range(size)])
         self._trie()
-        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # words' hashes, sorted, and their numbers below
-        self.flat, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.cut_out = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+        self.raw = [self.bytes.get(i, b"") for i in range(size)]
+        for t, i in self.special.items():
+            self.raw[i] = t.encode()
+        self.names = [str(i) for i in range(size)]
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def _edges(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each token's outermost parts, itself first, and the rank at which each is swallowed by the one before; -1 and 0 pad."""
@@ -231,6 +179,8 @@ class Encoder:
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words data[starts:ends], one after another, and where each word's begin."""
         n = len(starts)
+        if not n:
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
         at, node, best, best_at = starts.copy(), np.zeros(n, np.int64), np.full(n, -1, np.int64), starts.copy()
         live = np.arange(n)
         out_word, out_id = [], []
@@ -275,91 +225,85 @@ class Encoder:
             ids[mended], ids[~mended] = np.concatenate(parts), keep
         return ids.astype(np.int32), first
 
-    def _plain(self, text: str, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of several texts joined, none with an added token in it; edges: where each begins. Also where each text's ids begin."""
-        if not text:
-            return np.zeros(0, np.int32), np.zeros(len(edges) + 1, np.int64)
-        cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        n = len(cp)
-        begin = _bounds(cp, edges[edges < n])
-        table, power, inverse = _hashing(max(CHUNK, n))
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((table[cp & 0xFFFF] + cp) * power[:n], out=total[1:])
-        stop = np.append(begin[1:], n)
-        key = mix((total[stop] - total[begin]) * inverse[begin])
-        different, where, back = np.unique(key, return_index=True, return_inverse=True)
-        place = np.searchsorted(self.known, different)
-        slot = np.full(len(different), -1, np.int64)
-        if len(self.known):
-            near = np.minimum(place, len(self.known) - 1)
-            slot = np.where(self.known[near] == different, self.slot[near], -1)
-        if (new := np.flatnonzero(slot < 0)).size:
-            if len(self.known) and len(self.known) + len(new) > KEEP:
-                self.known, self.slot, self.flat, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(1, np.int64)
-                return self._plain(text, edges)
-            b, e = begin[where[new]], stop[where[new]]
-            size = (1 + (cp > 0x7F).astype(np.int64) + (cp > 0x7FF) + (cp > 0xFFFF))
-            byte_at = np.concatenate([[0], np.cumsum(size)])
-            data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-            ids, first = self.words(data, byte_at[b], byte_at[e])
-            slot[new] = np.arange(len(self.at) - 1, len(self.at) - 1 + len(new))
-            self.known, self.slot = np.insert(self.known, place[new], different[new]), np.insert(self.slot, place[new], slot[new])
-            self.at = np.concatenate([self.at, self.at[-1] + first[1:]])
-            self.flat = np.concatenate([self.flat, ids])
-        use = slot[back]
-        count = self.at[use + 1] - self.at[use]
-        ends = np.cumsum(count)
-        ids = self.flat[np.repeat(self.at[use] - (ends - count), count) + np.arange(ends[-1])]
-        word = np.searchsorted(begin, np.append(edges, n))
-        return ids, np.concatenate([[0], ends])[word]
-
-    def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        """The ids of each text; a null text is empty."""
-        out: list[np.ndarray] = []
-        group: list[str] = []
+    def _learn(self, new: list[str]) -> None:
+        """Remembers the ids of these words."""
+        coded = [w.encode("utf-8", "surrogatepass") for w in new]
+        ends = np.cumsum([len(c) for c in coded])
+        ids, first = self.words(np.frombuffer(b"".join(coded), np.uint8), np.concatenate([[0], ends[:-1]]), ends)
+        flat, at = ids.tolist(), first.tolist()
+        self.known.update((w, tuple(flat[a:b])) for w, a, b in zip(new, at, at[1:]))
+
+    def _split(self, text: str) -> list[str]:
+        """The words of a text; an added token's string is a word of its own."""
+        if not self.cut_out or not self.cut_out.search(text):
+            return WORDS.findall(text)
+        return [w for part in self.cut_out.split(text) for w in ([part] if part in self.special else WORDS.findall(part))]
+
+    def parts(self, texts: pa.Array) -> Iterator[tuple[int, bool, list[int]]]:
+        """(number of the text, whether it ends here, ids): the texts' ids in order, a very long text in several parts. A null text is empty."""
+        group: list[tuple[int, bool, list[str]]] = []
         held = 0
 
-        def flush() -> None:
+        def flush() -> Iterator[tuple[int, bool, list[int]]]:
             nonlocal held
-            edges = np.concatenate([[0], np.cumsum([len(t) for t in group])]).astype(np.int64)[:-1]
-            ids, at = self._plain("".join(group), edges)
-            out.extend(ids[at[k] : at[k + 1]] for k in range(len(group)))
+            different = set(chain.from_iterable(words for _, _, words in group))
+            if len(self.known) > KEEP:
+                self.known.clear()
+            self.known.update((t, (i,)) for t, i in self.special.items())
+            if new := list(different - self.known.keys()):
+                self._learn(new)
+            for k, last, words in group:
+                yield k, last, list(chain.from_iterable(map(self.known.__getitem__, words)))
+            for w in new:
+                if len(w) > LONG:
+                    del self.known[w]
             group.clear()
             held = 0
 
-        for text in texts.to_pylist():
-            text = text or ""
-            if any(s in text for s in self.special):
-                if group:
-                    flush()
-                parts: list[np.ndarray] = []
-                while text:
-                    hits = [(text.find(s), -len(s), s) for s in self.special if s in text]
-                    cutoff, _, s = min(hits, default=(len(text), 0, ""))
-                    parts.append(self._plain(text[:cutoff], np.zeros(1, np.int64))[0])
-                    if s:
-                        parts.append(np.array([self.special[s]], np.int32))
-                    text = text[cutoff + len(s) :]
-                out.append(np.concatenate(parts))
-                continue
-            group.append(text)
-            held += len(text)
-            if held >= CHUNK // 2:
-                flush()
-        if group:
-            flush()
-        return out
-
-    def decode(self, ids: np.ndarray) -> str:
-        """Bytes of the tokens joined, as UTF-8 with bad parts replaced; an added token stands for its string, which ends a run of bytes."""
-        names = {i: s.encode() for s, i in self.special.items()}
-        return b"".join(names[i] if i in names else self.bytes[i] for i in ids.tolist()).decode("utf-8", "replace")
+        for k, text in enumerate(texts.to_pylist()):
+            text, at = text or "", 0
+            whole = len(text) <= CHUNK or bool(self.cut_out and self.cut_out.search(text))
+            while not whole and len(text) - at > CHUNK and (gap := GAP.search(text, at + CHUNK)):
+                group.append((k, False, self._split(text[at : gap.start()])))
+                at = gap.start()
+                yield from flush()
+            group.append((k, True, self._split(text[at:])))
+            held += len(text) - at
+            if held >= CHUNK:
+                yield from flush()
+        yield from flush()
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text; a null text is empty."""
+        before: list[np.ndarray] = []
+        for _, last, ids in self.parts(texts):
+            before.append(np.array(ids, np.int32))
+            if last:
+                yield before[0] if len(before) == 1 else np.concatenate(before)
+                before = []
+
+    def digests(self, texts: pa.Array) -> tuple[list[int], list[str], list[str]]:
+        """Of each text: how many ids, the SHA-256 of them as decimals joined by commas, and that of the text that they decode to."""
+        counts, named, decoded = [], [], []
+        for k, last, ids in self.parts(texts):
+            if k == len(counts):
+                counts.append(0)
+                named.append(hashlib.sha256())
+                decoded.append(hashlib.sha256())
+            if ids:
+                named[k].update(("," * (counts[k] > 0) + ",".join(map(self.names.__getitem__, ids))).encode())
+                decoded[k].update(self.decode(ids).encode())  # parts end between characters
+            counts[k] += len(ids)
+        return counts, [h.hexdigest() for h in named], [h.hexdigest() for h in decoded]
+
+    def decode(self, ids: list[int]) -> str:
+        """Bytes of the tokens joined, as UTF-8 with bad parts replaced; an added token stands for its string."""
+        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@cache
 def encoder(path: str) -> Encoder:
-    """One encoder for each worker and file."""
-    return Encoder(path)
+    """One encoder for each worker and file, as long as the worker serves no other operator."""
+    return keep(f"encoder {path}", lambda: Encoder(path))
 
 
 def vocabulary(path: str = "") -> str:
@@ -382,15 +326,13 @@ def encode(docs, path: str = "", digest: bool = True):
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                found = coder.encode(part.column("text"))
-                if not digest:
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.tolist() for x in found], pa.list_(pa.int32()))], ["doc_id", "ids"])
-                    continue
-                sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), pa.array([sha(",".join(map(str, x.tolist()))) for x in found]), pa.array([sha(coder.decode(x)) for x in found])],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+                if digest:
+                    counts, named, decoded = coder.digests(part.column("text"))
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(named, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                else:
+                    found = list(coder.encode(part.column("text")))
+                    at = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(at, pa.array(np.concatenate([*found, np.zeros(0, np.int32)])))], ["doc_id", "ids"])
 
     return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text").mapInArrow(run, schema)
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
+from collections.abc import Callable
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +19,34 @@ BROADCAST_ROWS = 200_000
 SPACE = r"\x20\x09-\x0D"
 
 
+_kept: dict[str, Any] = {}
+
+
+def keep(name: str, make: Callable[[], Any] = lambda: None) -> Any:
+    """In a Python worker: make(), remembered for the worker's next tasks of this name; what it remembered for another name is let go.
+
+    Spark hands workers on from stage to stage, so each operator's tasks begin with this: tables of an earlier one take no memory then.
+    """
+    if name not in _kept:
+        if _kept:
+            _kept.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
+        _kept[name] = make()
+    return _kept[name]
+
+
+def free(columns: list[str], *names: str) -> list[str]:
+    """names, each with underscores at its end until no column (of any case) has it."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where it is unset (tests on one machine), one in the warehouse folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
