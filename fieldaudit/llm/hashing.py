@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,15 +12,17 @@ import pyarrow as pa
 SHINGLE = 5
 #: Bytes of text worked on at once, unless one text is longer.
 CHUNK = 1 << 20
+#: Bytes of a word that are hashed eight by eight; longer words are hashed one by one.
+SHORT = 64
 
 _rng = np.random.default_rng(20240607)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
-_BASE = int(_rng.integers(1, 2**62)) * 2 + 1
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32  # A-Z count as a-z
+_KEYS = _rng.integers(1, 2**63, SHORT // 8 + 1, dtype=np.uint64)
 _STEP = _rng.integers(1, 2**62, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: list[np.ndarray] = []
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,16 +32,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n of the base and of its inverse modulo 2**64."""
-    if not _powers or len(_powers[0]) <= n:
-        size = max(n + 1, CHUNK + 1)
-        _powers[:] = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _powers.append(np.multiply.accumulate(p))
-    return _powers[0], _powers[1]
+def word_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the words b[starts:ends], in lower case.
+
+    Eight bytes at a time are scrambled into the hash, with a key for each place, and the length at the end. So different words of one
+    length of up to eight bytes never agree, and others only by chance: there is no family of words that agree whatever the keys are.
+    """
+    padded = np.concatenate([_LOWER[b], np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(b) + 1,), "<u8", padded, strides=(1,))
+    size = ends - starts
+    out = np.zeros(len(starts), np.uint64)
+    live = np.flatnonzero(size <= SHORT)
+    for k in range(SHORT // 8):
+        if not live.size:
+            break
+        left = size[live] - 8 * k
+        out[live] = mix((out[live] + _KEYS[k]) ^ (eight[starts[live] + 8 * k] & _MASKS[np.minimum(left, 8)]))
+        live = live[left > 8]
+    for i in np.flatnonzero(size > SHORT).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(padded[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return mix(out ^ (_KEYS[-1] + size.astype(np.uint64)))
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -73,10 +86,7 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     begin[edge] = inside[edge]
     over[edge - 1] = inside[edge - 1]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(over) + 1
-    power, inverse = _power(len(b))
-    total = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_BYTE[b] * power[: len(b)], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * inverse[starts])
+    hashes = word_hashes(b, starts, ends)
     return hashes, starts + lo, ends + lo, np.searchsorted(starts, at - lo)
 
 

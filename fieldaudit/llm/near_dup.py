@@ -7,6 +7,8 @@ blocks so much above the largest d that some block of two similar sets has no di
 
 from __future__ import annotations
 
+import hashlib
+import re
 from functools import cache
 
 import numpy as np
@@ -14,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldaudit.llm.common import SPACE, Scratch, components, cut, release, small
-from fieldaudit.llm.hashing import mix, shingled
+from fieldaudit.llm.common import SPACE, Scratch, components, cut, keep, release, small
+from fieldaudit.llm.hashing import SHINGLE, mix, shingled
 
 #: Similar: 100 * intersection >= PERCENT * union.
 PERCENT = 80
@@ -25,6 +27,15 @@ BITS, GROWTH = 1024, 1.6
 WIDE = 800
 #: Documents whose sketches are made at once.
 ROWS = 2_500
+#: A key of more rows than this is hot.
+HOT = 64
+_WORD = re.compile(f"[^{SPACE}]+")
+_LOWER = {i: i + 32 for i in range(65, 91)}
+
+
+def spare(most: int) -> int:
+    """Blocks without a difference that two similar sets have in common beyond the first: so many hot keys of a set can be done without."""
+    return 2 + most // 20
 
 
 @cache
@@ -45,23 +56,21 @@ def block_keys(u: np.ndarray) -> np.ndarray:
     """Join keys of a set of hashes. Two similar sets have one in common.
 
     In each band that the set's partners can be the larger set of, d is at most 2 * (upper edge - 1) / 9 = most. There are about 1.35
-    times as many blocks; a set gives the values of its first most + 1 blocks that aren't empty. Of these, one has no difference: and the
-    set of the two whose row of blocks ends first is within the other's. A set with fewer such blocks also gives its empty ones among the
-    first most + 1, which serves two such sets.
+    times as many blocks; a set gives the values of its first most + 1 + spare blocks that aren't empty. Of these, 1 + spare have no
+    difference: and the set of the two whose row of blocks ends first is within the other's. A set with fewer such blocks also gives its
+    empty ones among the first most + 1 + spare, which serves two such sets.
     """
     n = len(u)
     edges = bands()
     out = []
     for j in range(int(np.searchsorted(edges, n, "right")) - 1, int(np.searchsorted(edges, n * 100 // PERCENT, "right"))):
         most = 2 * (int(edges[j + 1]) - 1) // 9
-        blocks = int(1.35 * (most + 1)) + 2 * (most > 0)
+        first = most + 1 + (spare(most) if most else 0)
+        blocks = max(int(1.35 * (most + 1)) + 2 * (most > 0), first)
         value = np.zeros(blocks, np.uint64)
         np.bitwise_xor.at(value, ((u >> np.uint64(24)) % np.uint64(blocks)).astype(np.int64), u)
         full = np.flatnonzero(value)
-        if len(full) > most:
-            use = full[: most + 1]
-        else:
-            use = np.union1d(full, np.arange(most + 1))
+        use = full[:first] if len(full) >= first else np.union1d(full, np.arange(first))
         out.append(mix(value[use] ^ mix((use + (j << 40)).astype(np.uint64))))
     return np.concatenate(out)
 
@@ -75,6 +84,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     schema = f"uid long, doc_id long, hash long, n long, print binary, {', '.join(f's{i} long' for i in range(words))}, keys array<long>, twin long, wide binary"
 
     def run(batches):
+        keep("near_dup")
         for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
             uid = batch.column("uid").to_numpy()
             size, prints, sketch, own, twin, wide = [], [], [], [], [], []
@@ -82,7 +92,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             for k, s in enumerate(shingled(batch.column("text"))):
                 u = np.unique(s)
                 size.append(len(u))
-                prints.append(np.array([len(u), np.bitwise_xor.reduce(mix(u + np.uint64(1))), u.sum(dtype=np.uint64)], np.uint64).tobytes() if len(u) else None)
+                prints.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest() if len(u) else None)
                 sketch.append(parity(u, BITS).view(np.int64))
                 wide.append(parity(u, 1 << (len(u) - 1).bit_length()).tobytes() if len(u) > WIDE else None)
                 f = first.setdefault(prints[-1], k) if len(u) else k
@@ -122,22 +132,35 @@ def not_far(wides: DataFrame, pairs: DataFrame) -> DataFrame:
     both = side("x", "a").join(small(pairs), "a", "right").join(side("y", "b"), "b", "left")
 
     def run(batches):
+        keep("near_dup")
         for batch in batches:
-            keep = []
+            near = []
             for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "xn", "yn"))):
                 if x is None or y is None:
-                    keep.append(True)
+                    near.append(True)
                     continue
                 a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
                 b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
-                keep.append((100 + PERCENT) * int(np.bitwise_count(a ^ b).sum()) <= (100 - PERCENT) * (n + m))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in "ab"], ["a", "b"])
+                near.append((100 + PERCENT) * int(np.bitwise_count(a ^ b).sum()) <= (100 - PERCENT) * (n + m))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near, pa.bool_())) for c in "ab"], ["a", "b"])
 
     return both.select("a", "b", "x", "y", "xn", "yn").mapInArrow(run, "a long, b long")
 
 
+def similar_words(x: str, y: str) -> bool:
+    """Whether two texts are similar, by their words themselves."""
+    a, b = (_sets(t) for t in (x, y))
+    same = len(a & b)
+    return same > 0 and 100 * same >= PERCENT * (len(a) + len(b) - same)
+
+
+def _sets(text: str) -> set[tuple[str, ...]]:
+    w = _WORD.findall(text.translate(_LOWER))
+    return {tuple(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))} if w else set()
+
+
 def verified(docs: DataFrame, info: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are similar, by their whole sets. Only the texts that a pair needs are moved."""
+    """The pairs (a, b) whose texts are similar, by their whole sets: hashes rule pairs out, words decide. Only the texts that a pair needs are moved."""
     pairs = cut(pairs)
     again = info.groupBy("hash").agg(F.count("*").alias("rows")).where("rows > 1")
     need = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct().join(info.select("uid", "hash"), "uid").join(again, "hash", "left")
@@ -148,14 +171,16 @@ def verified(docs: DataFrame, info: DataFrame, pairs: DataFrame) -> DataFrame:
     both = left.join(texts.select(F.col("uid").alias("b"), F.col("text").alias("y")), "b")
 
     def run(batches):
+        keep("near_dup")
         for batch in batches:
             ok = []
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                for x, y in zip(shingled(part.column("x")), shingled(part.column("y"))):
+                for k, (x, y) in enumerate(zip(shingled(part.column("x")), shingled(part.column("y")))):
                     x, y = np.unique(x), np.unique(y)
                     same = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(100 * same >= PERCENT * (len(x) + len(y) - same))
+                    near = 100 * same >= PERCENT * (len(x) + len(y) - same)
+                    ok.append(near and similar_words(part.column("x")[k].as_py(), part.column("y")[k].as_py()))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in (batch.column("a"), batch.column("b"))], ["a", "b"])
 
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
@@ -184,36 +209,50 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         release(spark)
         found = cut(may_be_similar(info, star))
         links = cut(found.where("same").select("a", "b").union(verified(docs, info, not_far(wides, found.where("NOT same").select("a", "b")))))
-        comp = components(links)
+        comp = cut(components(links))
         rest = cut(not_far(wides, across(info, shared, comp)))
         if not rest.isEmpty():
-            comp = components(links.union(verified(docs, info, rest)))
-        out = info.select("uid", "doc_id", "hash", "n").join(comp.withColumnRenamed("node", "uid"), "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
-        low = out.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("low"))
-        out = out.join(low, "comp")
-        return cut(out.select("doc_id", F.col("n").alias("n_shingles"), F.col("low.doc_id").alias("component_id"), "hash", (F.col("uid") == F.col("low.uid")).alias("first")))
+            comp = cut(components(links.union(verified(docs, info, rest))))
+        rows = info.select("uid", "doc_id", "hash", F.col("n").alias("n_shingles")).join(small(comp).withColumnRenamed("node", "uid"), "uid", "left")
+        alone, linked = rows.where("comp IS NULL"), cut(rows.where("comp IS NOT NULL"))
+        low = linked.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("low"))
+        linked = linked.join(small(cut(low)), "comp").select("doc_id", "n_shingles", F.col("low.doc_id").alias("component_id"), "hash", (F.col("uid") == F.col("low.uid")).alias("first"))
+        return cut(linked.union(alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "hash", F.lit(True).alias("first"))))
 
 
 def across(info: DataFrame, shared: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs with a key in common that are in different components, were not compared yet and aren't ruled out by sizes and sketches."""
+    """Pairs with a key in common that are in different components, were not compared yet and aren't ruled out by sizes and sketches.
+
+    All rows of a key of up to HOT rows are compared. Two similar sets have 1 + spare keys in common, so a set of spare hot keys or fewer
+    shares one with its partner that isn't hot: hot keys are only compared between sets that have more of them.
+    """
     of_key = Window.partitionBy("key")
-    member = shared.join(small(cut(comp)).withColumnRenamed("node", "uid"), "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
-    member = member.withColumns({"low": F.min("comp").over(of_key), "high": F.max("comp").over(of_key)})
-    member = cut(member.where("low < high AND uid > lead").select("key", "uid", "comp"))
-    wide = member.select("key", "uid", "comp").join(info.drop("doc_id", "hash", "print"), "uid")
+    member = shared.join(small(comp).withColumnRenamed("node", "uid"), "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
+    member = member.withColumns({"low": F.min("comp").over(of_key), "high": F.max("comp").over(of_key), "rows": F.count("*").over(of_key)})
+    member = cut(member.where("low < high AND uid > lead").select("key", "uid", "comp", (F.col("rows") > HOT).alias("hot")))
+    heavy = member.where("hot").groupBy("uid").agg(F.count("*").alias("hots")).join(info.select("uid", "n"), "uid")
+    heavy = cut(heavy.where(F.col("hots") > spare(0) + F.floor(F.floor(2 * F.col("n") / 9) / 20)).select("uid"))
+    sides = info.drop("doc_id", "hash", "print")
+    found = [_pairs(member.where("NOT hot").select("key", "uid", "comp").join(sides, "uid"))]
+    if not heavy.isEmpty():
+        found.append(_pairs(member.where("hot").select("key", "uid", "comp").join(small(heavy), "uid").join(sides, "uid")))
+    return found[0].union(found[1]).distinct() if len(found) > 1 else found[0].distinct()
+
+
+def _pairs(wide: DataFrame) -> DataFrame:
+    """Pairs of different components with an equal key that sizes and sketches don't rule out."""
     side = lambda p: wide.select(*(F.col(c).alias(f"{p}_{c}") for c in wide.columns))
     on = (F.col("l_key") == F.col("r_key")) & (F.col("l_uid") < F.col("r_uid")) & (F.col("l_comp") != F.col("r_comp")) & _near("l_", "r_")
-    return side("l").join(side("r"), on).select(F.col("r_uid").alias("a"), F.col("l_uid").alias("b")).distinct()
+    return side("l").join(side("r"), on).select(F.col("r_uid").alias("a"), F.col("l_uid").alias("b"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id."""
+    """docs with one row of each component: that of the smallest doc_id. Columns of any names pass through."""
     found = near_duplicates(docs)
     each = found.groupBy("hash").agg(F.count("*").alias("n"), F.max("first").alias("first")).where("n > 1 OR NOT first").select("hash", "first")
-    tagged = docs.withColumn("_hash", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    tagged = tagged.join(small(cut(each)).withColumnRenamed("hash", "_hash").withColumnRenamed("first", "_first"), "_hash", "left")
-    once = tagged.where("_first").dropDuplicates(["_hash"])
-    return tagged.where("_first IS NULL").union(once).select(docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("hash"))
+    rows = rows.join(small(cut(each)), "hash", "left")
+    return rows.where("first IS NULL").union(rows.where("first").dropDuplicates(["hash"])).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
