@@ -3,21 +3,22 @@
 from __future__ import annotations
 
 import math
-import pickle
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldaudit.llm.common import cut
-from fieldaudit.llm.hashing import chunks, mix, shingles, utf8, words
+from fieldaudit.llm.common import Scratch, cut, free, keep
+from fieldaudit.llm.hashing import chunks, shingles, utf8, words
 
-#: Bounds of the fit: labelled documents and unlabelled ones that the views may label for each other, both of the lowest hashes of their ids.
-LABELLED, POOL = 20_000, 20_000
-#: Rounds of exchange, how sure (after calibration) a view must be, and which share of the pool it may label in a round at most.
-ROUNDS, SURE, SHARE = 3, 0.97, 0.2
+#: Labelled documents of the fit at most, those of the lowest hashes of their ids. Documents without a label in this sample are all used.
+LABELLED = 20_000
+#: Rounds of exchange and how sure (after calibration) a view must be to label a document for the other.
+ROUNDS, SURE = 2, 0.97
 #: Features of each view.
 TEXT, META = 96, 64
 _PLAIN = 24
@@ -68,106 +69,117 @@ def meta_features(columns: list[pa.Array], sizes: pa.Array) -> np.ndarray:
     return out
 
 
-def _views(docs: DataFrame, meta: list[str]) -> DataFrame:
-    """text and metadata of docs under names of our own."""
-    none = F.lit(None).cast("string")
-    out = {"_text": F.coalesce(F.col("text").cast("string"), F.lit("")), "_size": F.length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("long")}
-    return docs.withColumns(out | {f"_m{i}": (F.col(c).cast("string") if c in docs.columns else none) for i, c in enumerate(meta)})
+def _viewed(docs: DataFrame, meta: list[str], names: list[str]) -> DataFrame:
+    """docs with text, size and metadata under names of our own."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    found = [F.col(f"`{c}`").cast("string") if c in docs.columns else F.lit(None).cast("string") for c in meta]
+    return docs.withColumns(dict(zip(names, [text, F.length(text).cast("long"), *found])))
 
 
 def _logit(x: np.ndarray, w: tuple[np.ndarray, float]) -> np.ndarray:
     return np.clip(x.astype(np.float64) @ w[0] + w[1], -30, 30)
 
 
-def _weights(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Coefficients and intercept of a ridge logistic regression, by Newton's steps on standardised columns."""
-    mean, dev = x.mean(0), x.std(0)
-    dev[dev < 1e-9] = np.inf
-    z = np.hstack([(x - mean) / dev, np.ones((len(x), 1))])
-    pull = np.full(z.shape[1], ridge * len(x))
-    pull[-1] = 1e-9
-    w = np.zeros(z.shape[1])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def _line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept of Platt's line from a view's log-odds to calibrated ones, by Newton's steps."""
+    z, w = np.stack([x, np.ones(len(x))], 1), np.array([1.0, 0.0])
+    pull = np.array([1e-3 * len(x), 1e-9])
+    for _ in range(50):
+        p = _sigmoid(z @ w)
         step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(pull), z.T @ (y - p) - pull * w)
-        w += step
+        w = w + step
         if np.abs(step).max() < 1e-6:
             break
-    return w[:-1] / dev, float(w[-1] - (w[:-1] / dev) @ mean)
+    return float(w[0]), float(w[1])
+
+
+def auc(y: np.ndarray, score: np.ndarray) -> float:
+    """The share of pairs of a good and a bad row that score puts in order, ties half."""
+    different, back, count = np.unique(score, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(count) - (count - 1) / 2)[back]
+    good = y > 0
+    return float((rank[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum()))
 
 
-def co_train(t: np.ndarray, m: np.ndarray, y: np.ndarray, held: np.ndarray) -> dict:
-    """Weights and Platt's lines of the text view t and the metadata view m; y is NaN where no label is known, held-out labels calibrate."""
-    view = {"t": t.astype(np.float64), "m": m.astype(np.float64)}
-    known = ~np.isnan(y)
-    prior = float(np.clip(y[known].mean(), 0.001, 0.999))
-    loose = np.flatnonzero(~known)
-    given = {v: y.copy() for v in view}
+def co_train(rows: DataFrame, rounds: int = ROUNDS, sure: float = SURE) -> dict:
+    """Weights and Platt's lines of the text view t and the metadata view m of rows (y, held, t and m as vectors); y is null where no label is known.
+
+    Held-out labels (at most LABELLED) calibrate. In each round, each view labels every other row that it is sure of for the other's next
+    fit. These labels weigh together at most as much as the known ones, each at most as much as one, and good and bad ones as known ones do.
+    Every fit is Spark's, over all rows that have a label then.
+    """
+    known = {(r.y, r.held): r["count"] for r in rows.where("y IS NOT NULL").groupBy("y", "held").count().collect()}
+    total = sum(known.values())
+    if any((y, h) not in known for y in (0.0, 1.0) for h in (True, False)):
+        return {"prior": sum(n for (y, _), n in known.items() if y) / total if total else 1.0, "views": None}
+    prior = sum(n for (y, _), n in known.items() if y) / total
+    given: dict[str, DataFrame] = {v: rows.where("y IS NOT NULL AND NOT held").select(F.col("y").alias("label"), F.lit(1.0).alias("weight"), v) for v in "tm"}
     out: dict[str, tuple] = {}
-    for turn in range(ROUNDS + 1):
-        for v, x in view.items():
-            use = ~np.isnan(given[v]) & ~held
-            w = _weights(x[use], given[v][use])
-            line = _weights(_logit(x[held], w)[:, None], y[held])
-            out[v] = (w, (float(line[0][0]), line[1]))
-        if turn == ROUNDS or not loose.size:
+    for turn in range(rounds + 1):
+        fitted = {}
+        for v in "tm":
+            fitted[v] = LogisticRegression(featuresCol=v, labelCol="label", weightCol="weight", maxIter=25, regParam=1e-3, tol=1e-4).fit(given[v])
+            w = np.array(fitted[v].coefficients.toArray()), float(fitted[v].intercept)
+            held = [(r.y, r.z) for r in fitted[v].transform(rows.where("held AND y IS NOT NULL")).select("y", F.get(vector_to_array("rawPrediction"), F.lit(1)).alias("z")).collect()]
+            out[v] = (w, _line(np.clip([z for _, z in held], -30, 30), np.array([y for y, _ in held])))
+        if turn == rounds:
             break
         for v, to in (("t", "m"), ("m", "t")):
-            (w, (a, b)), mark = out[v], np.full(len(y), np.nan)
-            p = 1 / (1 + np.exp(-np.clip(_logit(view[v][loose], w) * a + b, -40, 40)))
-            order = np.argsort(-p, kind="stable")
-            high, low = order[: int(SHARE * prior * len(loose))], order[::-1][: int(SHARE * (1 - prior) * len(loose))]
-            mark[loose[high[p[high] >= SURE]]], mark[loose[low[p[low] <= 1 - SURE]]] = 1.0, 0.0
-            given[to] = np.where(known, y, mark)
-    return {"prior": prior, "views": out}
-
-
-def fit(docs: DataFrame, labels: DataFrame, meta: list[str], labelled: int = LABELLED, pool: int = POOL) -> dict:
+            a, b = out[v][1]
+            z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.get(vector_to_array("rawPrediction"), F.lit(1))))
+            p: Column = 1 / (1 + F.exp(-(z * a + b)))
+            told = fitted[v].transform(rows.where("y IS NULL")).select(F.when(p >= sure, 1.0).when(p <= 1 - sure, 0.0).alias("label"), to).where("label IS NOT NULL")
+            count = {r.label: r["count"] for r in told.groupBy("label").count().collect()}
+            worth = {y: min(1.0, total * share / count[y]) if count.get(y) else 0.0 for y, share in ((1.0, prior), (0.0, 1 - prior))}
+            sides = told.select("label", F.when(F.col("label") == 1.0, worth[1.0]).otherwise(worth[0.0]).alias("weight"), to)
+            given[to] = rows.where("y IS NOT NULL AND NOT held").select(F.col("y").alias("label"), F.lit(1.0).alias("weight"), to).union(sides)
+    return {"prior": float(np.clip(prior, 0.001, 0.999)), "views": out}
+
+
+def fit(docs: DataFrame, labels: DataFrame, meta: list[str], labelled: int = LABELLED) -> dict:
     """Weights and calibration of both views. labels: doc_id, quality (0 or 1); rows with a null are skipped, of several the lowest counts.
 
-    A third of the labelled sample is held out and calibrates the views (Platt's lines from log-odds to probability). In each round, each
-    view labels those of the pool that it is surest of for the other's next fit, as many of each class as its share of the labels allows.
-    Without both classes among the labels there is no fit: every document then gets the share of good labels, or 1 without labels.
+    A third of the labelled sample is held out and calibrates the views (Platt's lines from log-odds to probability); auc is the area under
+    the curve of the combined score on it. Without both classes among the labels there is no fit: every document then gets the share of good
+    labels, or 1 without labels. Features of all documents are written once to the shared folder and gone when the fit ends.
     """
-    known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").cast("double").alias("y"))
-    order = F.xxhash64("_id")
-    some = known.orderBy(order, "_id").limit(labelled)
-    other = docs.select(F.col("doc_id").cast("long").alias("_id")).where("_id IS NOT NULL").distinct().join(known, "_id", "left_anti").orderBy(order, "_id").limit(pool)
-    chosen = cut(some.union(other.withColumn("y", F.lit(None).cast("double"))))
-    rows = _views(docs, meta).join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("_id"))
+    known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").cast("double").alias("y"))
+    some = cut(known.orderBy(F.xxhash64("id"), "id").limit(labelled))
     count = len(meta)
+    names = ["text", "size", *(f"m{i}" for i in range(count))]
+    rows = _viewed(docs, meta, free(docs.columns, *(f"view_{n}" for n in names)))
+    rows = rows.select(F.col("doc_id").cast("long").alias("id"), *(F.col(f"`{c}`").alias(n) for c, n in zip(rows.columns[-len(names) :], names)))
 
     def run(batches):
+        keep("quality_classifier")
         for b in batches:
-            for lo in range(0, b.num_rows, 2000):
-                p = b.slice(lo, 2000)
-                t, m = text_features(p.column("_text")), meta_features([p.column(f"_m{i}") for i in range(count)], p.column("_size"))
-                yield pa.RecordBatch.from_arrays([p.column("_id"), p.column("y"), pa.array(list(t), pa.list_(pa.float32())), pa.array(list(m), pa.list_(pa.float32()))], ["id", "y", "t", "m"])
-
-    sample = rows.select("_id", "y", "_text", "_size", *(f"_m{i}" for i in range(count))).mapInArrow(run, "id long, y double, t array<float>, m array<float>")
-
-    def train(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
-        y = table.column("y").to_numpy(zero_copy_only=False).astype(np.float64)
-        held = ~np.isnan(y) & (mix(table.column("id").to_numpy().astype(np.uint64)) % np.uint64(3) == 0)
-        both = lambda a: len(np.unique(y[a])) == 2
-        known = ~np.isnan(y)
-        if both(known & ~held) and both(held):
-            matrix = lambda c: np.array(table.column(c).to_pylist(), np.float32)
-            model = co_train(matrix("t"), matrix("m"), y, held)
-        else:
-            model = {"prior": float(y[known].mean()) if known.any() else 1.0, "views": None}
-        return pa.table({"model": [pickle.dumps(model)]})
-
-    found = sample.withColumn("all", F.lit(True)).groupBy("all").applyInArrow(train, "model binary").first()
-    return pickle.loads(found["model"]) if found else {"prior": 1.0, "views": None}
+            for lo in range(0, b.num_rows, 1000):
+                p = b.slice(lo, 1000)
+                parts = [text_features(p.column("text")), meta_features([p.column(f"m{i}") for i in range(count)], p.column("size"))]
+                arrays = [pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel())) for x in parts]
+                yield pa.RecordBatch.from_arrays([p.column("id"), *arrays], ["id", "t", "m"])
+
+    with Scratch(docs.sparkSession) as scratch:
+        features = scratch.table(rows.mapInArrow(run, "id long, t array<float>, m array<float>"), "features")
+        tagged = features.join(F.broadcast(some), "id", "left").withColumn("held", F.pmod(F.xxhash64("id", F.lit("held")), F.lit(3)) == 0)
+        tagged = tagged.select("y", F.coalesce("held", F.lit(False)).alias("held"), *(array_to_vector(v).alias(v) for v in "tm"))
+        model = co_train(tagged)
+        if model["views"]:
+            seen = tagged.where("held AND y IS NOT NULL").select("y", *(vector_to_array(v).alias(v) for v in "tm")).collect()
+            log_odds = sum(_logit(np.array([r[v] for r in seen]), w) * a + b for v, (w, (a, b)) in model["views"].items())
+            model["auc"] = auc(np.array([r.y for r in seen]), log_odds)
+    return model
 
 
 def score(docs: DataFrame, model: dict, meta: list[str], threshold: float = 0.5) -> DataFrame:
     """docs with p_text, p_meta, score and keep (score >= threshold), which replace columns of those names: one pass, no shuffle.
 
     score combines the calibrated log-odds of the views, taken as independent: their sum less the prior's. Null and empty texts are
-    scored as texts without words.
+    scored as texts without words; repeated rows get equal scores.
     """
     count, results = len(meta), {"p_text": "double", "p_meta": "double", "score": "double", "keep": "boolean"}
     docs_cols = [c for c in docs.columns if c not in results]
@@ -175,20 +187,21 @@ def score(docs: DataFrame, model: dict, meta: list[str], threshold: float = 0.5)
         return docs.select(*docs_cols, *(F.lit(float(model["prior"])).alias(c) for c in ("p_text", "p_meta", "score")), F.lit(model["prior"] >= threshold).alias("keep"))
     base = math.log(model["prior"] / (1 - model["prior"]))
     views = model["views"]
+    text, size, *ms = names = free(docs.columns, "view_text", "view_size", *(f"view_m{i}" for i in range(count)))
 
     def run(batches):
+        keep("quality_classifier")
         for b in batches:
-            for lo in range(0, b.num_rows, 2000):
-                p = b.slice(lo, 2000)
-                parts = {"t": text_features(p.column("_text")), "m": meta_features([p.column(f"_m{i}") for i in range(count)], p.column("_size"))}
+            for lo in range(0, b.num_rows, 1000):
+                p = b.slice(lo, 1000)
+                parts = {"t": text_features(p.column(text)), "m": meta_features([p.column(c) for c in ms], p.column(size))}
                 lines = {v: _logit(parts[v], views[v][0]) * views[v][1][0] + views[v][1][1] for v in "tm"}
-                sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-                s = sigmoid(lines["t"] + lines["m"] - base)
-                found = [pa.array(x) for x in (sigmoid(lines["t"]), sigmoid(lines["m"]), s, s >= threshold)]
+                s = _sigmoid(lines["t"] + lines["m"] - base)
+                found = [pa.array(x) for x in (_sigmoid(lines["t"]), _sigmoid(lines["m"]), s, s >= threshold)]
                 yield pa.RecordBatch.from_arrays([p.column(c) for c in docs_cols] + found, [*docs_cols, *results])
 
     kinds = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs_cols] + [f"{c} {t}" for c, t in results.items()])
-    return _views(docs, meta).drop(*(c for c in results if c in docs.columns)).mapInArrow(run, kinds)
+    return _viewed(docs, meta, names).drop(*(c for c in results if c in docs.columns)).mapInArrow(run, kinds)
 
 
 #: Columns of documents that the metadata view reads, beside the size of the text.
@@ -200,8 +213,11 @@ def judge(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs that the classifier keeps."""
-    return judge(spark, docs, sf_dir).where("keep").select(docs.columns)
+    """docs that the classifier keeps. Columns of any names pass through."""
+    have = [c for c in COLUMNS if c in docs.columns]
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), COLUMNS)
+    rows = docs.select("text", *have, F.struct(*docs.columns).alias("row"))
+    return score(rows, model, COLUMNS).where("keep").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
