@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldaudit.llm.bpe import encoder, vocabulary
-from fieldaudit.llm.common import cut
+from fieldaudit.llm.common import cut, free, keep
 
 SEQUENCE, END = 1024, 2
 #: Documents in a partition that is packed at once, and rounds of exchange at most; after the last one, what is packed stands.
@@ -143,6 +143,7 @@ def pack(items: DataFrame, sequence: int = SEQUENCE, per_part: int = ITEMS, roun
     kinds = ", ".join(f"`{n}` {t}" for n, t in todo.dtypes)
 
     def run(table: pa.Table) -> pa.Table:
+        keep("packing")
         lengths = table.column("length").to_numpy()
         bound = lower_bound(lengths, sequence)
         used = lambda x: int(x[0].max()) + 1 if len(x[0]) else 0

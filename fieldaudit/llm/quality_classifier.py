@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -69,11 +70,9 @@ def meta_features(columns: list[pa.Array], sizes: pa.Array) -> np.ndarray:
     return out
 
 
-def _viewed(docs: DataFrame, meta: list[str], names: list[str]) -> DataFrame:
-    """docs with text, size and metadata under names of our own."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = [F.col(f"`{c}`").cast("string") if c in docs.columns else F.lit(None).cast("string") for c in meta]
-    return docs.withColumns(dict(zip(names, [text, F.length(text).cast("long"), *found])))
+def _views(docs: DataFrame, meta: list[str]) -> list[Column]:
+    """The text of docs and its metadata as strings; a column that docs lack is null."""
+    return [F.coalesce(F.col("text").cast("string"), F.lit("")), *(F.col(f"`{c}`").cast("string") if c in docs.columns else F.lit(None).cast("string") for c in meta)]
 
 
 def _logit(x: np.ndarray, w: tuple[np.ndarray, float]) -> np.ndarray:
@@ -149,17 +148,15 @@ def fit(docs: DataFrame, labels: DataFrame, meta: list[str], labelled: int = LAB
     """
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").cast("double").alias("y"))
     some = cut(known.orderBy(F.xxhash64("id"), "id").limit(labelled))
-    count = len(meta)
-    names = ["text", "size", *(f"m{i}" for i in range(count))]
-    rows = _viewed(docs, meta, free(docs.columns, *(f"view_{n}" for n in names)))
-    rows = rows.select(F.col("doc_id").cast("long").alias("id"), *(F.col(f"`{c}`").alias(n) for c, n in zip(rows.columns[-len(names) :], names)))
+    names = ["text", *(f"m{i}" for i in range(len(meta)))]
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), *(v.alias(n) for v, n in zip(_views(docs, meta), names)))
 
     def run(batches):
         keep("quality_classifier")
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 p = b.slice(lo, 1000)
-                parts = [text_features(p.column("text")), meta_features([p.column(f"m{i}") for i in range(count)], p.column("size"))]
+                parts = [text_features(p.column("text")), meta_features([p.column(n) for n in names[1:]], pc.utf8_length(p.column("text")))]
                 arrays = [pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel())) for x in parts]
                 yield pa.RecordBatch.from_arrays([p.column("id"), *arrays], ["id", "t", "m"])
 
@@ -181,27 +178,27 @@ def score(docs: DataFrame, model: dict, meta: list[str], threshold: float = 0.5)
     score combines the calibrated log-odds of the views, taken as independent: their sum less the prior's. Null and empty texts are
     scored as texts without words; repeated rows get equal scores.
     """
-    count, results = len(meta), {"p_text": "double", "p_meta": "double", "score": "double", "keep": "boolean"}
-    docs_cols = [c for c in docs.columns if c not in results]
+    results = ("p_text", "p_meta", "score")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (*results, "keep")]
     if not model["views"]:
-        return docs.select(*docs_cols, *(F.lit(float(model["prior"])).alias(c) for c in ("p_text", "p_meta", "score")), F.lit(model["prior"] >= threshold).alias("keep"))
+        return docs.select(*kept, *(F.lit(float(model["prior"])).alias(c) for c in results), F.lit(model["prior"] >= threshold).alias("keep"))
     base = math.log(model["prior"] / (1 - model["prior"]))
     views = model["views"]
-    text, size, *ms = names = free(docs.columns, "view_text", "view_size", *(f"view_m{i}" for i in range(count)))
 
-    def run(batches):
+    @F.arrow_udf(", ".join(f"{c} double" for c in results))
+    def judged(text: pa.Array, *others: pa.Array) -> pa.Array:
         keep("quality_classifier")
-        for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                p = b.slice(lo, 1000)
-                parts = {"t": text_features(p.column(text)), "m": meta_features([p.column(c) for c in ms], p.column(size))}
-                lines = {v: _logit(parts[v], views[v][0]) * views[v][1][0] + views[v][1][1] for v in "tm"}
-                s = _sigmoid(lines["t"] + lines["m"] - base)
-                found = [pa.array(x) for x in (_sigmoid(lines["t"]), _sigmoid(lines["m"]), s, s >= threshold)]
-                yield pa.RecordBatch.from_arrays([p.column(c) for c in docs_cols] + found, [*docs_cols, *results])
-
-    kinds = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs_cols] + [f"{c} {t}" for c, t in results.items()])
-    return _viewed(docs, meta, names).drop(*(c for c in results if c in docs.columns)).mapInArrow(run, kinds)
+        out = []
+        for lo in range(0, len(text), 1000):
+            t = text.slice(lo, 1000)
+            parts = {"t": text_features(t), "m": meta_features([o.slice(lo, 1000) for o in others], pc.utf8_length(t))}
+            z = {v: _logit(parts[v], w) * a + b for v, (w, (a, b)) in views.items()}
+            out.append(np.stack([_sigmoid(z["t"]), _sigmoid(z["m"]), _sigmoid(z["t"] + z["m"] - base)]))
+        return pa.StructArray.from_arrays([pa.array(x) for x in np.concatenate([*out, np.zeros((3, 0))], 1)], results)
+
+    (found,) = free(docs.columns, "judged")
+    told = docs.withColumn(found, judged(*_views(docs, meta)))
+    return told.select(*kept, *(F.col(f"{found}.{c}").alias(c) for c in results), (F.col(f"{found}.score") >= threshold).alias("keep"))
 
 
 #: Columns of documents that the metadata view reads, beside the size of the text.
