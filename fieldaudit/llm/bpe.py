@@ -1,7 +1,7 @@
 """Operator 9: byte-level BPE by speculation and verification.
 
-Texts are cut into words; a worker remembers the ids of words by the words themselves, and those it doesn't know yet are encoded together in
-NumPy: the longest token at each place is proposed for all words in lockstep, a word stands if every two neighbours are compatible, and only
+Texts are cut into words in NumPy; a worker remembers words with their ids, finds them by hash and compares their bytes, and those it doesn't
+know yet are encoded together: the longest token at each place is proposed for all words in lockstep, a word stands if every two neighbours are compatible, and only
 the rest are merged exactly. Two tokens are compatible if no merge between a right edge of the first and a left edge of the second could have
 come before the merges that swallow those edges; if all neighbours are compatible, merging the whole word gives the same tokens.
 """
@@ -12,22 +12,70 @@ import hashlib
 import heapq
 import json
 import re
+import unicodedata
 from collections.abc import Iterator
-from itertools import chain
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 
 from fieldaudit.llm.common import keep
+from fieldaudit.llm.hashing import SHORT, lanes, word_hashes
 
 NEVER = np.int64(1) << np.int64(30)
-#: Different words that a worker remembers, of LONG characters at most; beyond it, it begins anew. And characters that are encoded at once.
-KEEP, LONG, CHUNK = 200_000, 64, 1 << 20
-#: Fixed value: the words of the file's tokenizer.
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+#: Different words that a worker remembers; beyond it, it begins anew. And characters that are encoded at once.
+KEEP, CHUNK = 400_000, 1 << 19
+_LETTER, _NUMBER, _OTHER, _SPACE = 0, 1, 2, 3
 #: Where a word always ends: before white space that follows something else.
-GAP = regex.compile(r"(?<=\P{White_Space})\p{White_Space}")
+GAP = re.compile(r"(?<=[^\s\x85])\s")
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """Letter, number, white space or other, for each code point."""
+    kind = np.full(0x110000, _OTHER, np.uint8)
+    first = np.array([unicodedata.category(chr(c))[0] for c in range(0x110000)])
+    kind[first == "L"], kind[first == "N"] = _LETTER, _NUMBER
+    # Unicode's White_Space
+    kind[[*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = _SPACE
+    return kind
+
+
+def _bounds(cp: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Where words begin in the code points of several texts; edges: where texts begin.
+
+    The pattern is 's|'t|'re|'ve|'m|'ll|'d| ?letters| ?numbers| ?others|white space not before a word|white space.
+    """
+    n = len(cp)
+    kind = _kinds()[cp]
+    space = kind == _SPACE
+    edge = np.zeros(n + 1, bool)
+    edge[edges] = edge[n] = True
+    change = edge[:n].copy()
+    change[1:] |= kind[1:] != kind[:-1]
+    # the last blank before a word goes with it; another white space there is a word alone; the white space before it is a word
+    word = change & ~space
+    word[0] = False
+    at = np.flatnonzero(word & ~edge[:n])
+    at = at[space[at - 1]]
+    begin = change.copy()
+    begin[at - 1] = True
+    begin[at[cp[at - 1] == 32]] = False
+    # contractions: a lone ' that nothing has taken, then one of their endings
+    q = np.flatnonzero((cp == 39) & begin[:n])
+    if len(q):
+        pad = np.zeros(3, cp.dtype)
+        c = np.concatenate([cp, pad])
+        e = np.concatenate([edge, [True] * 3])
+        a, b = c[q + 1], c[q + 2]
+        one = ~e[q + 1] & np.isin(a, [ord(x) for x in "stmd"])
+        two = ~e[q + 1] & ~e[q + 2] & np.logical_or.reduce([(a == ord(x)) & (b == ord(y)) for x, y in ("re", "ve", "ll")])
+        size = np.where(one, 2, np.where(two, 3, 0))
+        for p, k in zip(q[size > 0], size[size > 0]):
+            begin[p + 1 : p + k] = False
+            if p + k < n and not e[p + k] and kind[p + k] == _LETTER:
+                begin[p + k] = True
+    return np.flatnonzero(begin)
 
 
 class Encoder:
@@ -69,7 +117,7 @@ class Encoder:
         for t, i in self.special.items():
             self.raw[i] = t.encode()
         self.names = [str(i) for i in range(size)]
-        self.known: dict[str, tuple[int, ...]] = {}
+        self._forget()
 
     def _edges(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each token's outermost parts, itself first, and the rank at which each is swallowed by the one before; -1 and 0 pad."""
@@ -225,49 +273,99 @@ class Encoder:
             ids[mended], ids[~mended] = np.concatenate(parts), keep
         return ids.astype(np.int32), first
 
-    def _learn(self, new: list[str]) -> None:
-        """Remembers the ids of these words."""
-        coded = [w.encode("utf-8", "surrogatepass") for w in new]
-        ends = np.cumsum([len(c) for c in coded])
-        ids, first = self.words(np.frombuffer(b"".join(coded), np.uint8), np.concatenate([[0], ends[:-1]]), ends)
-        flat, at = ids.tolist(), first.tolist()
-        self.known.update((w, tuple(flat[a:b])) for w, a, b in zip(new, at, at[1:]))
-
-    def _split(self, text: str) -> list[str]:
-        """The words of a text; an added token's string is a word of its own."""
-        if not self.cut_out or not self.cut_out.search(text):
-            return WORDS.findall(text)
-        return [w for part in self.cut_out.split(text) for w in ([part] if part in self.special else WORDS.findall(part))]
-
-    def parts(self, texts: pa.Array) -> Iterator[tuple[int, bool, list[int]]]:
+    def _forget(self) -> None:
+        """No words known: hashes, sorted, and numbers of words; their ids and their bytes, one after another, and where each word's begin."""
+        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.flat, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.spelled, self.spelled_at = np.zeros(8, np.uint8), np.zeros(1, np.int64)
+
+    def _slots(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The numbers of words, new ones made known; -1 where another word of that hash is known, which never hides behind it."""
+        different, where, back = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        if len(self.known) + len(different) > KEEP:
+            self._forget()
+        place = np.searchsorted(self.known, different)
+        slot = np.full(len(different), -1, np.int64)
+        if len(self.known):
+            near = np.minimum(place, len(self.known) - 1)
+            slot = np.where(self.known[near] == different, self.slot[near], -1)
+        if (new := np.flatnonzero(slot < 0)).size:
+            b, e = starts[where[new]], ends[where[new]]
+            ids, first = self.words(data, b, e)
+            slot[new] = np.arange(len(self.at) - 1, len(self.at) - 1 + len(new))
+            self.known, self.slot = np.insert(self.known, place[new], different[new]), np.insert(self.slot, place[new], slot[new])
+            self.at = np.concatenate([self.at, self.at[-1] + first[1:]])
+            self.flat = np.concatenate([self.flat, ids])
+            ends_at = np.cumsum(e - b)
+            text = data[np.repeat(b - (ends_at - (e - b)), e - b) + np.arange(ends_at[-1])]
+            self.spelled_at = np.concatenate([self.spelled_at, self.spelled_at[-1] + ends_at])
+            self.spelled = np.concatenate([self.spelled[:-8], text, np.zeros(8, np.uint8)])
+        slot = slot[back]
+        return np.where(self._spelled_so(slot, data, starts, ends), slot, -1)
+
+    def _spelled_so(self, slot: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whether the known words are the words data[starts:ends], by their bytes."""
+        size, at = ends - starts, self.spelled_at[slot]
+        same = self.spelled_at[slot + 1] - at == size
+        mine = np.concatenate([data, np.zeros(8, np.uint8)])
+        live = np.flatnonzero(same & (size <= SHORT))
+        for k in range(SHORT // 8):
+            if not live.size:
+                break
+            same[live] = lanes(mine, starts[live] + 8 * k, size[live] - 8 * k) == lanes(self.spelled, at[live] + 8 * k, size[live] - 8 * k)
+            live = live[same[live] & (size[live] > 8 * k + 8)]
+        for i in np.flatnonzero(same & (size > SHORT)).tolist():
+            same[i] = np.array_equal(data[starts[i] : ends[i]], self.spelled[at[i] : at[i] + size[i]])
+        return same
+
+    def _plain(self, text: str, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of several texts joined, none with an added token in it; edges: where each begins. Also where each text's ids begin."""
+        if not text:
+            return np.zeros(0, np.int32), np.zeros(len(edges) + 1, np.int64)
+        cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        n = len(cp)
+        begin = _bounds(cp, edges[edges < n])
+        data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        byte_at = np.arange(n + 1) if len(data) == n else np.concatenate([[0], np.cumsum(1 + (cp > 0x7F).astype(np.int64) + (cp > 0x7FF) + (cp > 0xFFFF))])
+        starts, ends = byte_at[begin], byte_at[np.append(begin[1:], n)]
+        use = self._slots(data, starts, ends)
+        flat, at = self.flat, self.at
+        if (lost := np.flatnonzero(use < 0)).size:
+            own = [np.array(self._exact(data[starts[i] : ends[i]].tobytes()), np.int32) for i in lost]
+            use[lost] = np.arange(len(at) - 1, len(at) - 1 + len(lost))
+            flat, at = np.concatenate([flat, *own]), np.concatenate([at, at[-1] + np.cumsum([len(x) for x in own])])
+        count = at[use + 1] - at[use]
+        stop = np.cumsum(count)
+        ids = flat[np.repeat(at[use] - (stop - count), count) + np.arange(stop[-1])]
+        word = np.searchsorted(begin, np.append(edges, n))
+        return ids, np.concatenate([[0], stop])[word]
+
+    def parts(self, texts: pa.Array) -> Iterator[tuple[int, bool, np.ndarray]]:
         """(number of the text, whether it ends here, ids): the texts' ids in order, a very long text in several parts. A null text is empty."""
-        group: list[tuple[int, bool, list[str]]] = []
+        group: list[tuple[int, bool, str]] = []
         held = 0
 
-        def flush() -> Iterator[tuple[int, bool, list[int]]]:
+        def flush() -> Iterator[tuple[int, bool, np.ndarray]]:
             nonlocal held
-            different = set(chain.from_iterable(words for _, _, words in group))
-            if len(self.known) > KEEP:
-                self.known.clear()
-            self.known.update((t, (i,)) for t, i in self.special.items())
-            if new := list(different - self.known.keys()):
-                self._learn(new)
-            for k, last, words in group:
-                yield k, last, list(chain.from_iterable(map(self.known.__getitem__, words)))
-            for w in new:
-                if len(w) > LONG:
-                    del self.known[w]
+            edges = np.concatenate([[0], np.cumsum([len(t) for _, _, t in group])]).astype(np.int64)[:-1]
+            ids, at = self._plain("".join(t for _, _, t in group), edges)
+            for i, (k, last, _) in enumerate(group):
+                yield k, last, ids[at[i] : at[i + 1]]
             group.clear()
             held = 0
 
         for k, text in enumerate(texts.to_pylist()):
             text, at = text or "", 0
-            whole = len(text) <= CHUNK or bool(self.cut_out and self.cut_out.search(text))
-            while not whole and len(text) - at > CHUNK and (gap := GAP.search(text, at + CHUNK)):
-                group.append((k, False, self._split(text[at : gap.start()])))
+            if self.cut_out and self.cut_out.search(text):
+                yield from flush()
+                found = [np.array([self.special[t]], np.int32) if t in self.special else self._plain(t, np.zeros(1, np.int64))[0] for t in self.cut_out.split(text)]
+                yield k, True, np.concatenate(found)
+                continue
+            while len(text) - at > CHUNK and (gap := GAP.search(text, at + CHUNK)):
+                group.append((k, False, text[at : gap.start()]))
                 at = gap.start()
                 yield from flush()
-            group.append((k, True, self._split(text[at:])))
+            group.append((k, True, text[at:]))
             held += len(text) - at
             if held >= CHUNK:
                 yield from flush()
@@ -277,7 +375,7 @@ class Encoder:
         """The ids of each text; a null text is empty."""
         before: list[np.ndarray] = []
         for _, last, ids in self.parts(texts):
-            before.append(np.array(ids, np.int32))
+            before.append(ids)
             if last:
                 yield before[0] if len(before) == 1 else np.concatenate(before)
                 before = []
@@ -290,15 +388,15 @@ class Encoder:
                 counts.append(0)
                 named.append(hashlib.sha256())
                 decoded.append(hashlib.sha256())
-            if ids:
-                named[k].update(("," * (counts[k] > 0) + ",".join(map(self.names.__getitem__, ids))).encode())
+            if len(ids):
+                named[k].update(("," * (counts[k] > 0) + ",".join(map(self.names.__getitem__, ids.tolist()))).encode())
                 decoded[k].update(self.decode(ids).encode())  # parts end between characters
             counts[k] += len(ids)
         return counts, [h.hexdigest() for h in named], [h.hexdigest() for h in decoded]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """Bytes of the tokens joined, as UTF-8 with bad parts replaced; an added token stands for its string."""
-        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
+        return b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
 def encoder(path: str) -> Encoder:

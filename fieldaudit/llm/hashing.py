@@ -32,14 +32,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def lanes(padded: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Eight bytes of padded (which has eight more than are asked for) from each place on, those beyond the left ones as zeros."""
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    return eight[at] & _MASKS[np.clip(left, 0, 8)]
+
+
 def word_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the words b[starts:ends], in lower case.
+    """Hashes of the words b[starts:ends].
 
     Eight bytes at a time are scrambled into the hash, with a key for each place, and the length at the end. So different words of one
     length of up to eight bytes never agree, and others only by chance: there is no family of words that agree whatever the keys are.
     """
-    padded = np.concatenate([_LOWER[b], np.zeros(8, np.uint8)])
-    eight = np.ndarray((len(b) + 1,), "<u8", padded, strides=(1,))
+    padded = np.concatenate([b, np.zeros(8, np.uint8)])
     size = ends - starts
     out = np.zeros(len(starts), np.uint64)
     live = np.flatnonzero(size <= SHORT)
@@ -47,7 +52,7 @@ def word_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
         if not live.size:
             break
         left = size[live] - 8 * k
-        out[live] = mix((out[live] + _KEYS[k]) ^ (eight[starts[live] + 8 * k] & _MASKS[np.minimum(left, 8)]))
+        out[live] = mix((out[live] + _KEYS[k]) ^ lanes(padded, starts[live] + 8 * k, left))
         live = live[left > 8]
     for i in np.flatnonzero(size > SHORT).tolist():
         out[i] = int.from_bytes(hashlib.blake2b(padded[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
@@ -73,7 +78,7 @@ def chunks(at: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the texts data[at[i]:at[i + 1]]: each word's hash, start and end in data, and the number of the first word of each text (and of one past the last)."""
+    """Of the texts data[at[i]:at[i + 1]]: each word's hash (A-Z as a-z), start and end in data, and the number of the first word of each text (and of one past the last)."""
     lo, hi = int(at[0]), int(at[-1])
     b = data[lo:hi]
     inside = ~_SPACE[b]
@@ -86,7 +91,7 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     begin[edge] = inside[edge]
     over[edge - 1] = inside[edge - 1]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(over) + 1
-    hashes = word_hashes(b, starts, ends)
+    hashes = word_hashes(_LOWER[b], starts, ends)
     return hashes, starts + lo, ends + lo, np.searchsorted(starts, at - lo)
 
 
