@@ -32,23 +32,28 @@ def fields(df: DataFrame, by: list[str], share: float, rule: str = "ceil_one", s
     return df.withColumn("removed", rank <= budget(share, F.count("*").over(w), rule))
 
 
-def groups(df: DataFrame, by: list[str], share: float, rule: str = "ceil_one", score: str = "score") -> DataFrame:
-    """Whole groups by their highest member, as many groups as the budget allows; a column without a group is one. Ties: the later name."""
-    unit = df.withColumn("_unit", F.coalesce("group_id", "feature_id"))
-    best = unit.groupBy(*by, "_unit").agg(F.max(score).alias("_best"))
+def groups(df: DataFrame, by: list[str], share: float, rule: str = "ceil_one", score: str = "score", singles: bool = False) -> DataFrame:
+    """Whole groups by their highest member, as many groups as the budget allows; ties: the later name. A column without a group stays, or,
+    with singles, is a group of its own."""
+    unit = df.withColumn("_unit", F.coalesce("group_id", "feature_id") if singles else F.col("group_id"))
+    best = unit.where("_unit IS NOT NULL").groupBy(*by, "_unit").agg(F.max(score).alias("_best"))
     w = Window.partitionBy(*by)
     rank = F.row_number().over(w.orderBy(F.col("_best").desc(), F.col("_unit").desc()))
     chosen = best.withColumn("removed", rank <= budget(share, F.count("*").over(w), rule)).drop("_best")
-    return unit.join(chosen, [*by, "_unit"]).drop("_unit")
+    return unit.join(chosen, [*by, "_unit"], "left").withColumn("removed", F.coalesce("removed", F.lit(False))).drop("_unit")
 
 
 def threshold(df: DataFrame, t: float, score: str = "score") -> DataFrame:
     return df.withColumn("removed", F.col(score) > t)
 
 
-def lifecycle(df: DataFrame, by: list[str], share: float | None = None, score: str = "score", late: tuple[str, ...] = ("post_event", "post_outcome")) -> DataFrame:
-    """Columns of a late stage or not available; with a share, those first and then by score, up to the budget."""
-    bad = F.col("lifecycle").isin(*late) | ~F.col("available")
+# The stages of a record's life that come after its outcome
+LATE = ("post_outcome", "future_window", "repayment", "closed")
+
+
+def lifecycle(df: DataFrame, by: list[str], share: float | None = None, score: str = "score", late: tuple[str, ...] = LATE) -> DataFrame:
+    """Columns of a late stage, not available, descended from the outcome or from a later table; with a share, those first and then by score, up to the budget."""
+    bad = F.col("lifecycle").isin(*late) | ~F.col("available") | F.col("outcome_descendant") | F.col("post_event_table")
     if share is None:
         return df.withColumn("removed", bad)
     w = Window.partitionBy(*by)
@@ -63,34 +68,33 @@ def random(df: DataFrame, by: list[str], share: float, seed: int, rule: str = "c
     return df.withColumn("removed", F.row_number().over(w.orderBy(h, "feature_id")) <= budget(share, F.count("*").over(w), rule))
 
 
-def labelled_components(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """nodes (cell, feature_id) with component: the smallest feature_id that edges (cell, src, dst) lead to.
+def labelled_components(edges: DataFrame) -> DataFrame:
+    """(feature_id, component) of the columns that edges (src, dst) touch: the smallest feature_id that edges lead to.
 
     Each round takes over the smallest label next door and that label's own label; it ends when a round changes nothing.
     """
-    both = edges.select("cell", F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("cell", "dst", "src")).distinct()
-    label = nodes.select("cell", F.col("feature_id").alias("a"), F.col("feature_id").alias("component"))
-    for _ in range(rounds):
-        near = both.join(label.withColumnRenamed("a", "b"), ["cell", "b"]).groupBy("cell", "a").agg(F.min("component").alias("near"))
-        step = label.join(near, ["cell", "a"], "left").select("cell", "a", F.least("component", F.coalesce("near", "component")).alias("component"))
-        jump = step.select("cell", F.col("a").alias("component"), F.col("component").alias("further"))
-        step = step.join(jump, ["cell", "component"]).select("cell", "a", F.col("further").alias("component")).checkpoint()
-        changed = step.join(label.withColumnRenamed("component", "old"), ["cell", "a"]).where("component <> old").isEmpty()
+    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).distinct().checkpoint()
+    label = both.select("a", F.col("a").alias("component")).distinct().checkpoint()
+    while True:
+        near = both.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
+        step = label.join(near, "a").select("a", F.least("component", "near").alias("component"))
+        jump = step.select(F.col("a").alias("component"), F.col("component").alias("further"))
+        step = step.join(jump, "component").select("a", F.col("further").alias("component")).checkpoint()
+        same = step.join(label.withColumnRenamed("component", "old"), "a").where("component <> old").isEmpty()
         label = step
-        if changed:
-            break
-    return nodes.join(label.withColumnRenamed("a", "feature_id"), ["cell", "feature_id"])
+        if same:
+            return label.withColumnRenamed("a", "feature_id")
 
 
 def graph_cut(df: DataFrame, edges: DataFrame, share: float, score: str = "score") -> DataFrame:
-    """Whole components of the edge graph by their highest member, as long as the columns removed stay within the budget; ties: the smaller
-    component first. df has cell, feature_id and score; without edges in a cell nothing is removed there."""
-    parts = labelled_components(df.select("cell", "feature_id"), edges)
-    linked = edges.select("cell").distinct()
-    df = df.join(parts, ["cell", "feature_id"])
-    best = df.groupBy("cell", "component").agg(F.max(score).alias("_best"), F.count("*").alias("_size")).join(linked, "cell")
+    """Whole components of the columns' graph by their highest member, as many components as the budget allows; ties: the one of the first column.
+
+    df has cell, feature_id, position and score. A column without an edge is in no component and stays.
+    """
+    df = df.join(F.broadcast(labelled_components(edges)), "feature_id", "left")
+    best = df.where("component IS NOT NULL").groupBy("cell", "component").agg(F.max(score).alias("_best"), F.min("position").alias("_first"))
     w = Window.partitionBy("cell")
-    rank = F.row_number().over(w.orderBy(F.col("_best").desc(), "component"))
+    rank = F.row_number().over(w.orderBy(F.col("_best").desc(), "_first"))
     best = best.withColumn("removed", rank <= budget(share, F.count("*").over(w))).select("cell", "component", "removed")
     return df.join(best, ["cell", "component"], "left").withColumn("removed", F.coalesce("removed", F.lit(False)))
 

@@ -6,6 +6,9 @@ prior (plus noise), 1 the whole signal.
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,12 +127,16 @@ def mixed_group(df: DataFrame, strength: float, seed: int, feature: str) -> Data
     return noisy_proxy(df.withColumn("m10_copy", F.col(feature)), strength, seed, "m10")
 
 
-def projections(df: DataFrame, strength: float, seed: int, k: int = 3) -> DataFrame:
-    """k columns that each hold a weighted label; the weights follow from the seed."""
-    import hashlib
+def projection_weights(seed: int, k: int) -> list[float]:
+    """k weights that follow from the seed like draws from a normal distribution, of either sign."""
+    draw = lambda i, part: (int(hashlib.md5(f"{seed}|M11|{part}|{i}".encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+    return [math.sqrt(-2 * math.log(draw(i, "r"))) * math.cos(2 * math.pi * draw(i, "a")) for i in range(k)]
 
-    weight = [1 + int(hashlib.md5(f"{seed}|M11|{i}".encode()).hexdigest()[:4], 16) / 65536 for i in range(k)]
-    return loo_prior(df, "_p").withColumns({f"m11_{i}": F.lit(strength * w) * (F.col("y") - F.col("_p")) + noise(f"m11_{i}", seed) for i, w in enumerate(weight)}).drop("_p")
+
+def projections(df: DataFrame, strength: float, seed: int, k: int = 3) -> DataFrame:
+    """k columns that each hold the label, weighted by projection_weights()."""
+    weights = projection_weights(seed, k)
+    return loo_prior(df, "_p").withColumns({f"m11_{i}": F.lit(strength * w) * (F.col("y") - F.col("_p")) + noise(f"m11_{i}", seed) for i, w in enumerate(weights)}).drop("_p")
 
 
 def complete_graph(columns: DataFrame, group: str) -> DataFrame:

@@ -60,6 +60,20 @@ def nested_bootstrap(df: DataFrame, outer: str, inner: str, value: str, by: list
     return drawn.join(F.broadcast(inners.select(outer, inner, "_in")), [outer, "_in"]).join(cells, [outer, inner]).groupBy(*by, "rep").agg(F.avg("_m").alias("stat"))
 
 
+def left_out_r2(df: DataFrame, category: str, x: str, y: str) -> DataFrame:
+    """n, r2_category, r2_both: R2 of the predictions that each row gets from the fit to all others, by category and by category and x.
+
+    A left-out residual is the residual over one less the row's leverage, so two passes of sums take the place of a fit for each row.
+    """
+    mean = df.groupBy(category).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"), F.count("*").alias("_c"))
+    rows = df.join(F.broadcast(mean), category).select("_c", F.col(y).alias("_y"), (F.col(x) - F.col("_mx")).alias("_u"), (F.col(y) - F.col("_my")).alias("_v"))
+    sums = rows.agg(F.sum(F.col("_u") * F.col("_u")).alias("_uu"), F.sum(F.col("_u") * F.col("_v")).alias("_uv"), (F.var_pop("_y") * F.count("*")).alias("_all"))
+    rows = rows.crossJoin(F.broadcast(sums))
+    one = F.col("_v") / (1 - 1 / F.col("_c"))
+    both = (F.col("_v") - F.col("_u") * F.col("_uv") / F.col("_uu")) / (1 - 1 / F.col("_c") - F.col("_u") * F.col("_u") / F.col("_uu"))
+    return rows.agg(F.count("*").alias("n"), (1 - F.sum(one * one) / F.first("_all")).alias("r2_category"), (1 - F.sum(both * both) / F.first("_all")).alias("r2_both"))
+
+
 def exact_sign_flip(df: DataFrame, by: list[str], value: str, tolerance: float = 1e-12) -> DataFrame:
     """by, n, mean, p: the share of all 2^n sign patterns of a group's values (24 at most) whose mean is as far from 0 as the observed."""
     groups = df.groupBy(*by).agg(F.collect_list(value).alias("_v"))

@@ -12,9 +12,9 @@ QUERIES, ORACLE = {}, {}
 COLUMNS = [*FEATURES, "m02", "m10_copy", "m10"]
 # The registry of the columns
 REGISTRY = [
-    ("x_quantity", 0, True, "pre_event", None, False, False), ("x_discount", 1, True, "at_event", None, False, False), ("x_tax", 2, True, "pre_event", None, False, True),
-    ("x_size", 3, True, "unknown", "part", False, False), ("x_price", 4, True, "pre_event", "part", False, False), ("m02", 5, False, "post_outcome", None, True, False),
-    ("m10_copy", 6, True, "pre_event", "M10", False, False), ("m10", 7, False, "post_event", "M10", True, True),
+    ("x_quantity", 0, True, "prediction_time", None, False, False), ("x_discount", 1, True, "source_specific", "part", False, False), ("x_tax", 2, True, "pre_outcome", None, False, True),
+    ("x_size", 3, True, "unknown", "part", False, False), ("x_price", 4, True, "prediction_time", "part", False, False), ("m02", 5, False, "post_outcome", None, True, False),
+    ("m10_copy", 6, True, "prediction_time", "M10", False, False), ("m10", 7, False, "future_window", "M10", True, True),
 ]
 EDGES = [("x_quantity", "m10_copy", 1.0), ("m10_copy", "m10", 0.8), ("x_size", "x_price", 0.4), ("m10", "x_tax", 0.2)]
 LEAKS = ("m02", "m10")
@@ -111,69 +111,86 @@ _MI = """, qe AS (SELECT {k}, quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6
 add("d1_mutual_information", lambda s, d: rounded(rankers.mutual_information(long(s, d).where("split = 'train'"), KEY), KEY, "mi"),
     _MI.format(k="dataset_id, feature_id", w="split = 'train'") + " SELECT dataset_id, feature_id, round(mi, 6) AS mi FROM mi")
 add("d2_correlation", lambda s, d: scores(s, d).select("dataset_id", "feature_id", "score"), " SELECT dataset_id, feature_id, score FROM sc")
-add("d5_instability", lambda s, d: rounded(rankers.instability(long(s, d), ["feature_id"], "source_id"), ["feature_id"], "instability"),
-    _MI.format(k="feature_id, source_id", w="true") + " SELECT feature_id, round(stddev_pop(mi), 6) AS instability FROM mi GROUP BY feature_id")
+_STAGE = "CASE lifecycle " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in rankers.LIFECYCLE.items()) + " ELSE 0.5 END"
+_SCALED = "CASE WHEN max({c}) OVER () > min({c}) OVER () THEN ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) ELSE {o} END"
+
+
+def _instability(s, d):
+    found = rankers.instability(long(s, d).where("split = 'train'"), ["feature_id"], "source_id").withColumn("_one", F.lit(1))
+    return found.withColumn("scaled", rankers.min_max("instability", ["_one"], 0.0))
+
+
+add("d5_instability", lambda s, d: rounded(_instability(s, d), ["feature_id"], "instability", "scaled"),
+    _MI.format(k="feature_id, source_id", w="split = 'train'") + f""", tc AS (SELECT source_id FROM splitted WHERE split = 'train' GROUP BY 1 HAVING count(*) > 10),
+    es AS (SELECT feature_id, CASE WHEN count(*) >= 2 THEN stddev_pop(mi) ELSE 0 END AS x FROM mi JOIN tc USING (source_id) GROUP BY feature_id)
+    SELECT feature_id, round(x, 6) AS instability, round({_SCALED.format(c='x', o=0)}, 6) AS scaled FROM es""")
 add("d6_availability_risk", lambda s, d: rankers.availability_risk(scores(s, d)).select("dataset_id", "feature_id", "availability_risk"),
-    """ SELECT dataset_id, feature_id, CAST(greatest(CASE lifecycle WHEN 'pre_event' THEN 0 WHEN 'at_event' THEN 0.3 WHEN 'post_event' THEN 0.8 WHEN 'post_outcome' THEN 1 ELSE 0.5 END,
+    f""" SELECT dataset_id, feature_id, CAST(greatest({_STAGE},
     CASE WHEN available THEN 0 ELSE 1 END, CASE WHEN outcome_descendant THEN 1 ELSE 0 END, CASE WHEN post_event_table THEN 0.9 ELSE 0 END) AS DOUBLE) AS availability_risk FROM sc""")
 
 
 def risks(s, d):
-    """Impact, availability, structure and instability of each column of the whole panel."""
-    mi = rankers.mutual_information(long(s, d).where("split = 'train'"), ["feature_id"])
+    """Impact, availability, structure and instability of each column, by the train rows of all datasets."""
+    train = long(s, d).where("split = 'train'").select("feature_id", "source_id", "value", "y")
+    mi = rankers.mutual_information(train, ["feature_id"])
     own = rankers.structural_risk(rankers.availability_risk(registry(s)), edges(s))
-    out = own.join(mi, "feature_id").join(rankers.instability(long(s, d), ["feature_id"], "source_id"), "feature_id").withColumn("_one", F.lit(1))
-    return out.withColumns({"i": rankers.min_max("mi", ["_one"]), "a": F.col("availability_risk"), "s": F.col("structural_risk"), "e": rankers.min_max("instability", ["_one"])}).drop("_one")
+    out = own.join(mi, "feature_id").join(rankers.instability(train, ["feature_id"], "source_id"), "feature_id").withColumn("_one", F.lit(1))
+    return out.withColumns({"i": rankers.min_max("mi", ["_one"]), "a": F.col("availability_risk"), "s": F.col("structural_risk"), "e": rankers.min_max("instability", ["_one"], 0.0)}).drop("_one")
 
 
 _RISK = (
     _MI.format(k="feature_id", w="split = 'train'")
-    + _MI.format(k="feature_id, source_id", w="true").replace("qe AS", "qe2 AS").replace("JOIN qe USING", "JOIN qe2 USING").replace("bn AS", "bn2 AS").replace("FROM bn)", "FROM bn2)").replace("tm AS", "tm2 AS").replace("FROM tm ", "FROM tm2 ").replace("mi AS (", "mi2 AS (")
-    + """, es AS (SELECT feature_id, stddev_pop(mi) AS instability FROM mi2 GROUP BY feature_id),
+    + _MI.format(k="feature_id, source_id", w="split = 'train'").replace("qe AS", "qe2 AS").replace("JOIN qe USING", "JOIN qe2 USING").replace("bn AS", "bn2 AS").replace("FROM bn)", "FROM bn2)").replace("tm AS", "tm2 AS").replace("FROM tm ", "FROM tm2 ").replace("mi AS (", "mi2 AS (")
+    + f""", tc AS (SELECT source_id FROM splitted WHERE split = 'train' GROUP BY 1 HAVING count(*) > 10),
+    es AS (SELECT feature_id, CASE WHEN count(*) >= 2 THEN stddev_pop(mi) ELSE 0 END AS instability FROM mi2 JOIN tc USING (source_id) GROUP BY feature_id),
     dg AS (SELECT feature_id, sum(w) AS d FROM (SELECT src AS feature_id, abs(weight) AS w FROM edges UNION ALL SELECT dst, abs(weight) FROM edges) GROUP BY feature_id),
-    st AS (SELECT r.*, CASE WHEN count(*) OVER (PARTITION BY group_id) > 1 AND group_id IS NOT NULL THEN count(*) OVER (PARTITION BY group_id) / 8.0 ELSE 0 END AS gs, coalesce(d, 0) AS d FROM registry r LEFT JOIN dg USING (feature_id)),
-    rs AS (SELECT feature_id, (mi - min(mi) OVER ()) / (max(mi) OVER () - min(mi) OVER ()) AS i,
-      greatest(CASE lifecycle WHEN 'pre_event' THEN 0 WHEN 'at_event' THEN 0.3 WHEN 'post_event' THEN 0.8 WHEN 'post_outcome' THEN 1 ELSE 0.5 END, CASE WHEN available THEN 0 ELSE 1 END,
-               CASE WHEN outcome_descendant THEN 1 ELSE 0 END, CASE WHEN post_event_table THEN 0.9 ELSE 0 END) AS a,
-      greatest((d - min(d) OVER ()) / (max(d) OVER () - min(d) OVER ()), gs) AS s,
-      (instability - min(instability) OVER ()) / (max(instability) OVER () - min(instability) OVER ()) AS e FROM st JOIN mi USING (feature_id) JOIN es USING (feature_id))"""
+    gz AS (SELECT group_id, count(*) AS g FROM registry WHERE group_id IS NOT NULL GROUP BY 1),
+    st AS (SELECT r.*, coalesce((g - 1) / CAST((SELECT greatest(1, max(g) - 1) FROM gz) AS DOUBLE), 0) AS gs, coalesce(d, 0) AS d FROM registry r LEFT JOIN dg USING (feature_id) LEFT JOIN gz USING (group_id)),
+    rs AS (SELECT feature_id, outcome_descendant, post_event_table, {_SCALED.format(c="mi", o=0.5)} AS i,
+      greatest({_STAGE}, CASE WHEN available THEN 0 ELSE 1 END, CASE WHEN outcome_descendant THEN 1 ELSE 0 END, CASE WHEN post_event_table THEN 0.9 ELSE 0 END) AS a,
+      greatest({_SCALED.format(c="d", o=0)}, gs) AS s, {_SCALED.format(c="instability", o=0)} AS e FROM st JOIN mi USING (feature_id) JOIN es USING (feature_id))"""
 )
 add("d7_structural_risk", lambda s, d: rounded(risks(s, d), ["feature_id"], "s"), _RISK + " SELECT feature_id, round(CAST(s AS DOUBLE), 6) AS s FROM rs")
 add("d8_composite", lambda s, d: rounded(risks(s, d).withColumn("composite", rankers.composite(None, {"i": 0.30, "a": 0.30, "s": 0.25, "e": 0.15})), ["feature_id"], "composite"),
     _RISK + " SELECT feature_id, round(CAST(0.30 * i + 0.30 * a + 0.25 * s + 0.15 * e AS DOUBLE), 6) AS composite FROM rs")
 add("d9_combinations", lambda s, d: rounded(rankers.combinations(risks(s, d), ["feature_id"]), ["feature_id", "combo"], "score"),
-    _RISK + " " + " UNION ALL ".join(f"SELECT feature_id, '{'+'.join(k).upper()}' AS combo, round(CAST(({' + '.join(k)}) / {len(k)}.0 AS DOUBLE), 6) AS score FROM rs" for k in ("i", "a", "s", "e", "ia", "is", "ase", "iase")))
+    _RISK + " " + " UNION ALL ".join(f"SELECT feature_id, '{n}' AS combo, round(CAST({x} AS DOUBLE), 6) AS score FROM rs" for n, x in {
+        "I": "i", "A": "a", "S": "s", "E": "e", "I+A": "(i + a) / 2.0", "I+S": "(i + s) / 2.0", "A+S+E": "0.4 * a + 0.4 * s + 0.2 * e", "I+A+S+E": "(i + a + s + e) / 4.0"}.items()))
 
 
 def cells(s, d):
     return scores(s, d).withColumn("cell", F.col("dataset_id"))
 
 
-def cell_edges(s, d):
-    return scores(s, d).select(F.col("dataset_id").alias("cell")).distinct().crossJoin(F.broadcast(edges(s)))
+def bad(s, d):
+    return scores(s, d).where("is_leak").select("feature_id").distinct()
 
 
-add("d10_distance_risk", lambda s, d: rankers.distance_risk(registry(s), edges(s), scores(s, d).where("is_leak AND feature_id = 'm10'").select("feature_id").distinct()),
-    """, b AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), h AS (SELECT 'm10' AS f, 0 AS k UNION SELECT b.b, k + 1 FROM h JOIN b ON b.a = h.f WHERE k < 3)
-    SELECT r.feature_id, CAST(min(k) AS INT) AS distance, CAST(CASE WHEN min(k) <= 1 THEN 0.9 WHEN min(k) = 2 THEN 0.6 WHEN min(k) = 3 THEN 0.3 ELSE 0.1 END AS DOUBLE) AS risk FROM registry r LEFT JOIN h ON h.f = r.feature_id GROUP BY 1""")
+_REACH = """, b AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), h AS (SELECT DISTINCT feature_id AS f, 0 AS k FROM sc WHERE is_leak UNION SELECT b.b, k + 1 FROM h JOIN b ON b.a = h.f WHERE k < 8),
+    ds AS (SELECT r.feature_id, CAST(min(k) AS INT) AS distance, CAST(CASE min(k) WHEN 0 THEN 0.9 WHEN 1 THEN 0.6 WHEN 2 THEN 0.3 ELSE CASE WHEN min(k) IS NULL THEN 0.3 ELSE 0.1 END END AS DOUBLE) AS risk FROM registry r LEFT JOIN h ON h.f = r.feature_id GROUP BY 1)"""
+add("d10_distance_risk", lambda s, d: rankers.distance_risk(registry(s), edges(s), bad(s, d)), _REACH + " SELECT * FROM ds")
+add("d10_alternate_risk", lambda s, d: rounded(rankers.alternate_risk(risks(s, d), rankers.distance_risk(registry(s), edges(s), bad(s, d))), ["feature_id"], "flag_risk", "distance_risk", "alternate_composite"),
+    _RISK + _REACH + """, al AS (SELECT rs.*, risk, CASE WHEN outcome_descendant AND post_event_table THEN 0.8 WHEN outcome_descendant THEN 0.9 WHEN post_event_table THEN 0.7 ELSE 0.5 END AS fr FROM rs JOIN ds USING (feature_id))
+    SELECT feature_id, round(CAST(fr AS DOUBLE), 6) AS flag_risk, round(risk, 6) AS distance_risk, round(CAST(greatest(0, least(1, 0.4 * fr + 0.4 * risk + 0.2 * i * fr)) AS DOUBLE), 6) AS alternate_composite FROM al""")
 flags = lambda df: df.select("dataset_id", "feature_id", "removed")
 _TOP = "row_number() OVER (PARTITION BY dataset_id ORDER BY score DESC, position DESC)"
 add("g1_keep_all", lambda s, d: flags(policies.keep_all(scores(s, d))), " SELECT dataset_id, feature_id, false AS removed FROM sc")
 add("g2_oracle", lambda s, d: flags(policies.oracle(scores(s, d))), " SELECT dataset_id, feature_id, is_leak AS removed FROM sc")
 add("g3_field_budget", lambda s, d: flags(policies.fields(scores(s, d), ["dataset_id"], 0.25)), f" SELECT dataset_id, feature_id, {_TOP} <= 2 AS removed FROM sc")
 add("g4_group_budget", lambda s, d: flags(policies.groups(scores(s, d), ["dataset_id"], 0.3)),
-    """, un AS (SELECT *, coalesce(group_id, feature_id) AS unit FROM sc), bs AS (SELECT dataset_id, unit, max(score) AS b FROM un GROUP BY ALL),
-    ch AS (SELECT dataset_id, unit, row_number() OVER (PARTITION BY dataset_id ORDER BY b DESC, unit DESC) <= ceil(0.3 * count(*) OVER (PARTITION BY dataset_id)) AS removed FROM bs)
-    SELECT dataset_id, feature_id, removed FROM un JOIN ch USING (dataset_id, unit)""")
+    """, bs AS (SELECT dataset_id, group_id, max(score) AS b FROM sc WHERE group_id IS NOT NULL GROUP BY ALL),
+    ch AS (SELECT dataset_id, group_id, row_number() OVER (PARTITION BY dataset_id ORDER BY b DESC, group_id DESC) <= greatest(1, ceil(0.3 * count(*) OVER (PARTITION BY dataset_id))) AS removed FROM bs)
+    SELECT dataset_id, feature_id, coalesce(removed, false) AS removed FROM sc LEFT JOIN ch USING (dataset_id, group_id)""")
 add("g5_threshold", lambda s, d: flags(policies.threshold(scores(s, d), 0.3)), " SELECT dataset_id, feature_id, score > 0.3 AS removed FROM sc")
-add("g6_graph_cut", lambda s, d: flags(policies.graph_cut(cells(s, d), cell_edges(s, d), 0.4)),
-    """, b AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), h AS (SELECT feature_id AS f, feature_id AS c FROM registry UNION SELECT b.b, h.c FROM h JOIN b ON b.a = h.f),
-    cp AS (SELECT f AS feature_id, min(c) AS component FROM h GROUP BY f), bs AS (SELECT dataset_id, component, max(score) AS b FROM sc JOIN cp USING (feature_id) GROUP BY ALL),
-    ch AS (SELECT dataset_id, component, row_number() OVER (PARTITION BY dataset_id ORDER BY b DESC, component) <= ceil(0.4 * count(*) OVER (PARTITION BY dataset_id)) AS removed FROM bs)
-    SELECT dataset_id, feature_id, removed FROM sc JOIN cp USING (feature_id) JOIN ch USING (dataset_id, component)""")
-add("g7_lifecycle", lambda s, d: flags(policies.lifecycle(scores(s, d), ["dataset_id"])), " SELECT dataset_id, feature_id, lifecycle IN ('post_event', 'post_outcome') OR NOT available AS removed FROM sc")
+add("g6_graph_cut", lambda s, d: flags(policies.graph_cut(cells(s, d), edges(s), 0.4)),
+    """, b AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), h AS (SELECT a AS f, a AS c FROM b UNION SELECT b.b, h.c FROM h JOIN b ON b.a = h.f),
+    cp AS (SELECT f AS feature_id, min(c) AS component FROM h GROUP BY f), bs AS (SELECT dataset_id, component, max(score) AS b, min(position) AS p FROM sc JOIN cp USING (feature_id) GROUP BY ALL),
+    ch AS (SELECT dataset_id, component, row_number() OVER (PARTITION BY dataset_id ORDER BY b DESC, p) <= greatest(1, ceil(0.4 * count(*) OVER (PARTITION BY dataset_id))) AS removed FROM bs)
+    SELECT dataset_id, feature_id, coalesce(removed, false) AS removed FROM sc LEFT JOIN cp USING (feature_id) LEFT JOIN ch USING (dataset_id, component)""")
+_LATE = "(lifecycle IN ('post_outcome', 'future_window', 'repayment', 'closed') OR NOT available OR outcome_descendant OR post_event_table)"
+add("g7_lifecycle", lambda s, d: flags(policies.lifecycle(scores(s, d), ["dataset_id"])), f" SELECT dataset_id, feature_id, {_LATE} AS removed FROM sc")
 add("g7_lifecycle_budget", lambda s, d: flags(policies.lifecycle(scores(s, d), ["dataset_id"], 0.4)),
-    """ SELECT dataset_id, feature_id, row_number() OVER (PARTITION BY dataset_id ORDER BY lifecycle IN ('post_event', 'post_outcome') OR NOT available DESC, score DESC, position DESC) <= 4 AS removed FROM sc""")
+    f""" SELECT dataset_id, feature_id, row_number() OVER (PARTITION BY dataset_id ORDER BY {_LATE} DESC, score DESC, position DESC) <= 4 AS removed FROM sc""")
 add("g8_random_removal", lambda s, d: flags(policies.random(scores(s, d), ["dataset_id"], 0.25, S)),
     f" SELECT dataset_id, feature_id, row_number() OVER (PARTITION BY dataset_id ORDER BY md5('{S}|' || dataset_id || '|' || feature_id), feature_id) <= 2 AS removed FROM sc")
 add("g9_audit_quarantine", lambda s, d: flags(policies.fields(scores(s, d), ["dataset_id"], 0.3, "ceil")), f" SELECT dataset_id, feature_id, {_TOP} <= 3 AS removed FROM sc")
@@ -185,7 +202,7 @@ add("g10_policy_result", lambda s, d: rounded(policies.result(policies.fields(sc
 add("g11_unique_budgets", lambda s, d: policies.unique_budgets(scores(s, d).groupBy("dataset_id").agg(F.count("*").alias("n_columns")), [0.05, 0.1, 0.2, 0.3]).select("dataset_id", "share", "k", "fitted_share"),
     """, ct AS (SELECT dataset_id, count(*) AS n FROM sc GROUP BY dataset_id), bg AS (SELECT dataset_id, share, CAST(greatest(1, round_even(share * n, 0)) AS INT) AS k FROM ct, (VALUES (CAST(0.05 AS DOUBLE)), (0.1), (0.2), (0.3)) v(share))
     SELECT *, min(share) OVER (PARTITION BY dataset_id, k) AS fitted_share FROM bg""")
-add("g12_semantic_groups", lambda s, d: policies.groups(scores(s, d), ["dataset_id"], 0.3).groupBy("dataset_id", F.coalesce("group_id", "feature_id").alias("unit")).agg(F.count("*").alias("n_columns"), F.max("removed").alias("removed")),
+add("g12_semantic_groups", lambda s, d: policies.groups(scores(s, d), ["dataset_id"], 0.3, singles=True).groupBy("dataset_id", F.coalesce("group_id", "feature_id").alias("unit")).agg(F.count("*").alias("n_columns"), F.max("removed").alias("removed")),
     """, un AS (SELECT *, coalesce(group_id, feature_id) AS unit FROM sc), bs AS (SELECT dataset_id, unit, max(score) AS b, count(*) AS n_columns FROM un GROUP BY ALL)
     SELECT dataset_id, unit, n_columns, row_number() OVER (PARTITION BY dataset_id ORDER BY b DESC, unit DESC) <= ceil(0.3 * count(*) OVER (PARTITION BY dataset_id)) AS removed FROM bs""")
 add("g13_selection_digest", lambda s, d: policies.digest(policies.fields(scores(s, d), ["dataset_id"], 0.25), ["dataset_id"], "field"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldaudit.operators import ledger as L
 from fieldaudit.operators import metrics
-from fieldaudit.plans.tables import CATEGORIES, LEDGER, categories, ledger
+from fieldaudit.plans.tables import CATEGORIES, LEDGER, categories, ledger, read
 
 QUERIES, ORACLE = {}, {}
 KEY = ["dataset_id", "mechanism", "strength", "model", "seed"]
@@ -94,8 +94,6 @@ add("a7_two_stage_mean", lambda s, d: rounded(L.two_stage_mean(led(s, d), ["data
 add("a8_seed_coverage", lambda s, d: led(s, d).groupBy("dataset_id").agg(F.countDistinct("mechanism", "model", "seed").alias("n_combinations")), "SELECT dataset_id, count(DISTINCT (mechanism, model, seed)) AS n_combinations FROM ledger GROUP BY 1")
 add("a9_extreme_labels", lambda s, d: led(s, d).groupBy("mechanism", "model").agg(F.round(F.avg("paired_harm"), 6).alias("m")).groupBy("mechanism").agg(F.max_by("model", F.struct("m", "model")).alias("worst"), F.min_by("model", F.struct("m", "model")).alias("best")),
     """, m AS (SELECT mechanism, model, round(avg(paired_harm), 6) AS m FROM ledger GROUP BY ALL) SELECT mechanism, arg_max(model, (m, model)) AS worst, arg_min(model, (m, model)) AS best FROM m GROUP BY mechanism""")
-add("a10_method_range", lambda s, d: led(s, d).groupBy("mechanism", "model").agg(F.avg("diagnostic_ap").alias("m")).groupBy("mechanism").agg(F.round(F.max("m"), 6).alias("best"), F.round(F.min("m"), 6).alias("worst"), F.round(F.max("m") - F.min("m"), 6).alias("spread"), (F.max("m") < 0.5).alias("low_everywhere")),
-    """, m AS (SELECT mechanism, model, avg(diagnostic_ap) AS m FROM ledger GROUP BY ALL) SELECT mechanism, round(max(m), 6) AS best, round(min(m), 6) AS worst, round(max(m) - min(m), 6) AS spread, max(m) < 0.5 AS low_everywhere FROM m GROUP BY mechanism""")
 add("a11_scopes", lambda s, d: L.scopes(led(s, d), ["mechanism", "model", "strength"], [F.count("*").alias("n"), F.round(F.avg("paired_harm"), 6).alias("mean")]),
     "SELECT 'overall' AS scope, 'all' AS level, count(*) AS n, round(avg(paired_harm), 6) AS mean FROM ledger " + " ".join(f"UNION ALL SELECT '{c}', CAST({c} AS VARCHAR), count(*), round(avg(paired_harm), 6) FROM ledger GROUP BY {c}" for c in ("mechanism", "model", "strength")))
 add("a12_leave_one_out", lambda s, d: rounded(L.leave_one_out(led(s, d), "dataset_id", "paired_harm"), ["left_out", "n"], "mean"),
@@ -135,15 +133,24 @@ add("e12_false_repair_flags", lambda s, d: L.scopes(metrics.directional_repair(l
     _REPAIR + " " + " UNION ALL ".join(f"SELECT '{n}' AS scope, {lv} AS level, count(*) AS n, count(*) FILTER (NOT none) AS n_eligible, " + ", ".join(f"CAST(sum(CAST({c} AS INT)) AS BIGINT) AS {k}" for k, c in _FR.items()) + f" FROM rep {g}" for n, lv, g in (("overall", "'all'", ""), ("mechanism", "mechanism", "GROUP BY mechanism"), ("model", "model", "GROUP BY model"))))
 add("t11_flag_examples", lambda s, d: metrics.directional_repair(led(s, d), "clean_auc", "full_auc", "governed_auc").where("overcorrection > 0.1").withColumn("rank", F.row_number().over(Window.partitionBy("mechanism").orderBy(F.round("overcorrection", 6).desc(), *KEY))).where("rank <= 20").select(*KEY, "rank"),
     _REPAIR + f" SELECT {_K}, CAST(k AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY mechanism ORDER BY round(overcorrection, 6) DESC, {_K}) AS k FROM rep WHERE overcorrection > 0.1) WHERE k <= 20")
-add("q1_required_columns", lambda s, d: _columns(s, d), "SELECT * FROM (VALUES ('status')) v(missing)")
+# Columns that the panel and the ledger are made from, and one that a later release is to bring
+REQUIRED = {"lineitem": ("l_orderkey", "l_returnflag", "l_shipdate", "l_commitdate"), "supplier": ("s_suppkey", "s_nationkey", "s_rating"), "part": ("p_partkey", "p_size", "p_retailprice")}
 
 
 def _columns(s, d):
-    """Names of required columns that the ledger lacks."""
-    df = led(s, d)
-    need = s.createDataFrame([(c,) for c in (*KEY, "paired_harm", "status")], "missing string")
-    have = df.limit(0).select(F.lit("").alias("missing")).union(s.createDataFrame([(c,) for c in df.columns], "missing string"))
-    return need.join(have, "missing", "left_anti")
+    """Required columns that a table lacks, with the table's number of rows."""
+    out = None
+    for table, need in REQUIRED.items():
+        df = read(s, d, table)
+        absent = [c for c in need if c not in df.columns]
+        rows = df.agg(F.count("*").alias("n_rows")).select(F.lit(table).alias("table_name"), "n_rows", F.explode(F.array(*map(F.lit, absent)).cast("array<string>")).alias("missing"))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+add("q1_required_columns", _columns, "SELECT r.table_name, n_rows, missing FROM (VALUES " + ", ".join(f"('{t}', '{c}')" for t, need in REQUIRED.items() for c in need) + """) r(table_name, missing)
+    JOIN (SELECT 'lineitem' AS table_name, count(*) AS n_rows FROM lineitem UNION ALL SELECT 'supplier', count(*) FROM supplier UNION ALL SELECT 'part', count(*) FROM part) USING (table_name)
+    WHERE NOT EXISTS (SELECT 1 FROM information_schema.columns i WHERE i.table_name = r.table_name AND i.column_name = r.missing)""")
 
 
 add("q2_not_finite", lambda s, d: L.not_finite(led(s, d).withColumn("diagnostic_ap", F.when(F.col("model") != "rf", F.col("diagnostic_ap"))), ["clean_auc", "full_auc", "diagnostic_ap"]),
@@ -158,10 +165,19 @@ add("q7_group_digest", lambda s, d: L.table_digest(led(s, d), ["dataset_id"], ["
     """SELECT dataset_id, count(*) AS n, CAST(sum(CAST('0x' || substr(sha256(concat_ws('|', mechanism, strength, model, seed, n_rows)), 1, 10) AS BIGINT)) AS BIGINT) AS digest FROM ledger GROUP BY 1""")
 add("s11_table_profile", lambda s, d: led(s, d).agg(F.count("*").alias("n"), F.countDistinct(*KEY).alias("n_keys"), F.array_join(F.sort_array(F.collect_set("mechanism")), ",").alias("mechanisms"), F.array_join(F.sort_array(F.collect_set("model")), ",").alias("models")),
     f"SELECT count(*) AS n, count(DISTINCT ({_K})) AS n_keys, (SELECT string_agg(DISTINCT mechanism, ',' ORDER BY mechanism) FROM ledger) AS mechanisms, (SELECT string_agg(DISTINCT model, ',' ORDER BY model) FROM ledger) AS models FROM ledger")
-_D = "CASE WHEN {c} >= 0.55 THEN 'HIGH' WHEN {c} >= 0.45 THEN 'MEDIUM' ELSE 'LOW' END"
-add("c1_profiles", lambda s, d: led(s, d).groupBy("mechanism", "model").agg(F.avg("diagnostic_ap").alias("x"), F.avg("paired_harm").alias("h")).select("mechanism", "model", F.expr(_D.format(c="x")).alias("detectability"), F.expr("CASE WHEN h > 0.02 THEN 'HARMFUL' WHEN h < -0.02 THEN 'NEGATIVE' ELSE 'NEUTRAL' END").alias("exploitability")).withColumn("profile", F.concat_ws("/", "detectability", "exploitability")),
-    f""", m AS (SELECT mechanism, model, {_D.format(c='avg(diagnostic_ap)')} AS detectability, CASE WHEN avg(paired_harm) > 0.02 THEN 'HARMFUL' WHEN avg(paired_harm) < -0.02 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS exploitability FROM ledger GROUP BY mechanism, model)
-    SELECT *, detectability || '/' || exploitability AS profile FROM m""")
+_D = "CASE WHEN {x} >= 0.80 THEN 'HIGH' WHEN {x} >= 0.30 THEN 'MEDIUM' ELSE 'LOW' END"
+_X = "CASE WHEN {h} >= 0.02 AND {r} >= 0.60 THEN 'HIGH' WHEN {h} >= 0.005 OR {r} >= 0.20 THEN 'CONDITIONAL' ELSE 'LOW' END"
+
+
+def _profiles(s, d):
+    """Classes of detectability and, by mean harm and the share of cells harmed by more than 0.01, of exploitability; C1 where a mechanism contaminates."""
+    m = led(s, d).groupBy("mechanism", "model").agg(F.avg("diagnostic_ap").alias("x"), F.avg("paired_harm").alias("h"), F.avg((F.col("paired_harm") > 0.01).cast("int")).alias("r"))
+    m = m.select("mechanism", "model", F.expr(_D.format(x="x")).alias("detectability"), F.expr(_X.format(h="h", r="r")).alias("exploitability"))
+    return m.withColumn("profile", F.concat(F.lit("C1-D"), F.substring("detectability", 1, 1), F.lit("-X"), F.substring("exploitability", 1, 1)))
+
+
+add("c1_profiles", _profiles, f""", m AS (SELECT mechanism, model, {_D.format(x='avg(diagnostic_ap)')} AS detectability, {_X.format(h='avg(paired_harm)', r='avg(CAST(paired_harm > 0.01 AS INT))')} AS exploitability FROM ledger GROUP BY mechanism, model)
+    SELECT *, 'C1-D' || left(detectability, 1) || '-X' || left(exploitability, 1) AS profile FROM m""")
 add("c2_three_axes", lambda s, d: _axes(s, d), f""", ax AS (SELECT mechanism, category, avg(diagnostic_ap) AS det, stddev_samp(diagnostic_ap) AS det_std, avg(paired_harm) AS harm, avg(directional_repair) AS repair FROM (SELECT * FROM rep) JOIN {CATEGORIES} USING (mechanism) GROUP BY ALL)
     SELECT mechanism, category, {_r('det', 'det_std', 'harm', 'repair')} FROM ax""")
 ORACLE["c2_three_axes"] = LEDGER + _REPAIR + ORACLE["c2_three_axes"][len(LEDGER) :]

@@ -89,7 +89,7 @@ a AS (SELECT row_id, {[_order.index(i) for i in range(4)]}[CAST(CASE WHEN k <= 2
 SELECT row_id, CAST(m09_source AS INT) AS m09_source, """ + ", ".join(f"CAST(m09_source = {i} AS INT) AS m09_{i}" for i in range(4)) + " FROM a"
 add("m10_mixed_group", lambda s, d: _r(probes.mixed_group(panel(s, d), 0.8, S, "x_quantity"), "m10_copy", "m10"),
     f"SELECT row_id, round(x_quantity, 6) AS m10_copy, round(0.8 * (y - prior) + {_noise('m10')}, 6) AS m10 FROM placed")
-_weight = [1 + int(__import__("hashlib").md5(f"{S}|M11|{i}".encode()).hexdigest()[:4], 16) / 65536 for i in range(3)]
+_weight = probes.projection_weights(S, 3)
 add("m11_projections", lambda s, d: _r(probes.projections(panel(s, d), 0.8, S), "m11_0", "m11_1", "m11_2"),
     "SELECT row_id, " + ", ".join(f"round(CAST({0.8 * w!r} AS DOUBLE) * (y - prior) + {_noise(f'm11_{i}')}, 6) AS m11_{i}" for i, w in enumerate(_weight)) + " FROM placed")
 add("m12_composed", lambda s, d: _r(probes.compose(panel(s, d), lambda p: probes.noisy_proxy(p, 0.8, S), lambda p: probes.mixed_group(p, 0.5, S, "x_tax")), "m02", "m10_copy", "m10"),

@@ -58,21 +58,37 @@ add("b5_category_interval", lambda s, d: rounded(stats.interval(stats.nested_boo
     _DRAW + _NEST + f", sc AS (SELECT rep, category, avg(stat) AS stat FROM st JOIN {CATEGORIES} USING (mechanism) GROUP BY ALL) " + _iv("sc", "category"))
 
 
-def _task_matrix(s, d, which="dataset_id < 12"):
-    df = led(s, d).where(which).join(F.broadcast(categories(s)), "mechanism").groupBy("dataset_id").pivot("category", ["boundary", "simple", "structured"]).agg(F.avg("paired_harm"))
+def _method_range(s, d):
+    """Best and worst method of each mechanism, their range, and whether even the best is low: its bootstrap interval ends below 0.30."""
+    point = led(s, d).groupBy("mechanism", "model").agg(F.avg("diagnostic_ap").alias("m")).groupBy("mechanism").agg(F.max("m").alias("best"), F.min("m").alias("worst"))
+    drawn = stats.unit_bootstrap(led(s, d), "dataset_id", "diagnostic_ap", ["mechanism", "model"], REPS, S).groupBy("mechanism", "rep").agg(F.max("stat").alias("best"))
+    high = drawn.groupBy("mechanism").agg(F.percentile("best", F.lit(0.975)).alias("best_high"))
+    out = point.join(high, "mechanism").withColumn("spread", F.col("best") - F.col("worst"))
+    return out.select("mechanism", (F.col("best_high") < 0.30).alias("low_everywhere"), *(F.round(c, 6).alias(c) for c in ("best", "worst", "spread", "best_high")))
+
+
+add("a10_method_range", _method_range, _DRAW + _UNIT.format(by="mechanism, model", v="diagnostic_ap", t="ledger") + """, mx AS (SELECT rep, mechanism, max(stat) AS b FROM st GROUP BY ALL), hi AS (SELECT mechanism, quantile_cont(b, 0.975) AS best_high FROM mx GROUP BY 1),
+    m AS (SELECT mechanism, model, avg(diagnostic_ap) AS m FROM ledger GROUP BY ALL), p AS (SELECT mechanism, max(m) AS best, min(m) AS worst FROM m GROUP BY 1)
+    SELECT mechanism, best_high < 0.30 AS low_everywhere, round(best, 6) AS best, round(worst, 6) AS worst, round(best - worst, 6) AS spread, round(best_high, 6) AS best_high FROM p JOIN hi USING (mechanism)""")
+
+
+def _task_matrix(s, d):
+    df = led(s, d).join(F.broadcast(categories(s)), "mechanism").groupBy("dataset_id").pivot("category", ["boundary", "simple", "structured"]).agg(F.avg("paired_harm"))
     pair = lambda n, a, b: F.struct(F.lit(n).alias("contrast"), F.round(F.col(a) - F.col(b), 9).alias("v"))
     each = F.explode(F.array(pair("boundary_structured", "boundary", "structured"), pair("simple_boundary", "simple", "boundary"), pair("simple_structured", "simple", "structured")))
     return df.select("dataset_id", each.alias("_c")).select("dataset_id", "_c.contrast", "_c.v")
 
 
-_MATRIX = f""", mx AS (SELECT dataset_id, avg(paired_harm) FILTER (category = 'boundary') AS b, avg(paired_harm) FILTER (category = 'simple') AS s, avg(paired_harm) FILTER (category = 'structured') AS t FROM {_CAT} WHERE dataset_id < 12 GROUP BY 1),
+# the sums of all sign patterns of either half of a group's values, and how many of their pairs are as far from 0 as the observed sum
+_HALF = """{n} AS (SELECT g, list_sum([0.0] || list_transform(range({low}, {high}), lambda i: CASE WHEN (bits >> (i - {low})) & 1 = 1 THEN v[i + 1] ELSE -v[i + 1] END)) AS x FROM gv, range(8192) b(bits) WHERE bits < (1 << ({high} - ({low}))))"""
+_FLIP = ", " + _HALF.format(n="lf", low="0", high="len(v) // 2") + ", " + _HALF.format(n="rf", low="len(v) // 2", high="len(v)") + """,
+    sf AS (SELECT g, any_value(len(v)) AS n, any_value(list_sum(v) / len(v)) AS mean, avg(CAST(abs(lf.x + rf.x) >= abs(list_sum(v)) - 1e-12 AS INT)) AS p FROM lf JOIN rf USING (g) JOIN gv USING (g) GROUP BY g)"""
+_MATRIX = f""", mx AS (SELECT dataset_id, avg(paired_harm) FILTER (category = 'boundary') AS b, avg(paired_harm) FILTER (category = 'simple') AS s, avg(paired_harm) FILTER (category = 'structured') AS t FROM {_CAT} GROUP BY 1),
     ct AS (SELECT dataset_id, 'boundary_structured' AS contrast, round(b - t, 9) AS v FROM mx UNION ALL SELECT dataset_id, 'simple_boundary', round(s - b, 9) FROM mx UNION ALL SELECT dataset_id, 'simple_structured', round(s - t, 9) FROM mx),
-    gv AS (SELECT contrast, list(v ORDER BY dataset_id) AS v FROM ct GROUP BY 1),
-    sf AS (SELECT contrast, len(v) AS n, list_sum(v) / len(v) AS mean, avg(CAST(abs(list_sum(list_transform(range(len(v)), lambda i: CASE WHEN (bits >> i) & 1 = 1 THEN v[i + 1] ELSE -v[i + 1] END))) >= abs(list_sum(v)) - 1e-12 AS INT)) AS p
-           FROM gv, range(4096) b(bits) WHERE bits < (1 << len(v)) GROUP BY contrast, v)"""
-add("b9_exact_sign_flip", lambda s, d: rounded(stats.exact_sign_flip(_task_matrix(s, d), ["contrast"], "v"), ["contrast", "n"], "mean", "p"), _MATRIX + " SELECT contrast, CAST(n AS INT) AS n, round(mean, 6) AS mean, round(p, 6) AS p FROM sf")
+    gv AS (SELECT contrast AS g, list(v ORDER BY dataset_id) AS v FROM ct WHERE v IS NOT NULL GROUP BY 1)""" + _FLIP
+add("b9_exact_sign_flip", lambda s, d: rounded(stats.halved_sign_flip(_task_matrix(s, d), ["contrast"], "v"), ["contrast", "n"], "mean", "p"), _MATRIX + " SELECT g AS contrast, CAST(n AS INT) AS n, round(mean, 6) AS mean, round(p, 6) AS p FROM sf")
 _HOLM = ", hl AS (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p) + 1) * p AS a FROM sf), hm AS (SELECT *, least(1.0, max(a) OVER (ORDER BY p ROWS UNBOUNDED PRECEDING)) AS p_holm FROM hl)"
-add("b6_category_contrasts", lambda s, d: rounded(stats.holm(stats.exact_sign_flip(_task_matrix(s, d), ["contrast"], "v"), "p"), ["contrast"], "mean", "p", "p_holm"), _MATRIX + _HOLM + " SELECT contrast, round(mean, 6) AS mean, round(p, 6) AS p, round(p_holm, 6) AS p_holm FROM hm")
+add("b6_category_contrasts", lambda s, d: rounded(stats.holm(stats.halved_sign_flip(_task_matrix(s, d), ["contrast"], "v"), "p"), ["contrast"], "mean", "p", "p_holm"), _MATRIX + _HOLM + " SELECT g AS contrast, round(mean, 6) AS mean, round(p, 6) AS p, round(p_holm, 6) AS p_holm FROM hm")
 add("b11_holm", lambda s, d: rounded(stats.holm(led(s, d).groupBy("mechanism").agg(F.round(F.avg(F.abs("paired_harm")) / 4, 9).alias("p")), "p"), ["mechanism"], "p", "p_holm"),
     """, sf AS (SELECT mechanism, round(avg(abs(paired_harm)) / 4, 9) AS p FROM ledger GROUP BY 1)""" + _HOLM + " SELECT mechanism, round(p, 6) AS p, round(p_holm, 6) AS p_holm FROM hm")
 add("b10_sampled_sign_flip", lambda s, d: rounded(stats.sampled_sign_flip(led(s, d).groupBy("dataset_id").agg(F.round(F.avg("paired_harm"), 9).alias("v")), "dataset_id", "v", 500, S), [], "mean", "p"),
@@ -149,35 +165,34 @@ add("b25_stratified", lambda s, d: rounded(L.quantile_bin(led(s, d), "paired_har
     """, e AS (SELECT quantile_cont(paired_harm, [0.25, 0.5, 0.75]) AS e FROM ledger) SELECT CAST(len(list_filter(e, lambda x: x < paired_harm)) AS INT) AS bin, model, count(*) AS n, round(avg(diagnostic_ap), 6) AS mean_ap,
     round(avg(CAST(governed_auc > clean_auc AS INT)), 6) AS positive_share FROM ledger, e GROUP BY ALL""")
 add("b27_detectability_intervals", lambda s, d: rounded(stats.interval(stats.nested_bootstrap(led(s, d), "dataset_id", "seed", "diagnostic_ap", ["mechanism"], REPS, S), ["mechanism"], "stat"), ["mechanism"], *IV), _DRAW + _NEST.replace("paired_harm", "diagnostic_ap") + _iv("st", "mechanism"))
-add("b28_case_studies", lambda s, d: _cases(s, d), """, t AS (SELECT mechanism, dataset_id, round(avg(paired_harm), 9) AS v FROM ledger WHERE dataset_id < 5 GROUP BY ALL), g AS (SELECT mechanism, list(v ORDER BY dataset_id) AS v, bool_and(v > 0) AS all_positive FROM t GROUP BY 1)
-    SELECT mechanism, all_positive, round(list_sum(v) / len(v), 6) AS mean, round(avg(CAST(abs(list_sum(list_transform(range(len(v)), lambda i: CASE WHEN (bits >> i) & 1 = 1 THEN v[i + 1] ELSE -v[i + 1] END))) >= abs(list_sum(v)) - 1e-12 AS INT)), 6) AS p
-    FROM g, range(32) b(bits) WHERE bits < (1 << len(v)) GROUP BY mechanism, all_positive, v""")
+def _all_cases(s, d):
+    t = led(s, d).groupBy("mechanism", "dataset_id").agg(F.round(F.avg("paired_harm"), 9).alias("v"))
+    return rounded(stats.halved_sign_flip(t, ["mechanism"], "v").join(t.groupBy("mechanism").agg(F.min(F.col("v") > 0).alias("all_positive")), "mechanism"), ["mechanism", "all_positive"], "mean", "p")
 
 
-def _cases(s, d):
-    t = led(s, d).where("dataset_id < 5").groupBy("mechanism", "dataset_id").agg(F.round(F.avg("paired_harm"), 9).alias("v"))
-    return rounded(stats.exact_sign_flip(t, ["mechanism"], "v").join(t.groupBy("mechanism").agg(F.min(F.col("v") > 0).alias("all_positive")), "mechanism"), ["mechanism", "all_positive"], "mean", "p")
+add("b28_case_studies", _all_cases, ", gv AS (SELECT mechanism AS g, list(v ORDER BY dataset_id) AS v FROM (SELECT mechanism, dataset_id, round(avg(paired_harm), 9) AS v FROM ledger GROUP BY ALL) GROUP BY 1)" + _FLIP + """
+    SELECT g AS mechanism, (SELECT bool_and(x > 0) FROM (SELECT unnest(v) AS x)) AS all_positive, round(mean, 6) AS mean, round(p, 6) AS p FROM sf JOIN gv USING (g)""")
 
 
 def _auc_bootstrap(s, d):
     """Difference of two columns' areas under the curve over drawn entities of each dataset: weights by cluster, both from one draw."""
-    p = panel(s, d).where("dataset_id < 3").select("dataset_id", "entity_id", "y", "x_quantity", "x_discount")
+    p = panel(s, d).select("dataset_id", "entity_id", "y", "x_quantity", "x_discount")
     units = stats.numbered(p.select("entity_id").distinct(), "entity_id")
     n = units.count()
     weight = stats.draws(s, 20, n, S).join(F.broadcast(units), "unit").groupBy("rep", "entity_id").agg(F.count("*").cast("double").alias("w"))
     rows = p.join(weight, "entity_id")
     a = {c: metrics.auroc(rows, ["dataset_id", "rep"], c, weight="w").select("dataset_id", "rep", F.col("auroc").alias(c)) for c in ("x_quantity", "x_discount")}
-    both = a["x_quantity"].join(a["x_discount"], ["dataset_id", "rep"]).withColumn("effect", F.col("x_quantity") - F.col("x_discount"))
+    both = a["x_quantity"].join(a["x_discount"], ["dataset_id", "rep"]).withColumn("effect", F.col("x_quantity") - F.col("x_discount")).where("effect IS NOT NULL")
     return rounded(both, ["dataset_id", "rep"], "effect")
 
 
 _AUC = ", " + ", ".join(f"""f_{c} AS (SELECT dataset_id, rep, {c} AS v, sum(w * y) AS p, sum(w * (1 - y)) AS q FROM rw GROUP BY ALL),
     a_{c} AS (SELECT dataset_id, rep, sum(p * (below - q / 2)) / (sum(p) * sum(q)) AS a FROM (SELECT *, sum(q) OVER (PARTITION BY dataset_id, rep ORDER BY v ROWS UNBOUNDED PRECEDING) AS below FROM f_{c}) GROUP BY ALL)""" for c in ("x_quantity", "x_discount"))
 QUERIES["b13_auc_bootstrap"], ORACLE["b13_auc_bootstrap"] = _auc_bootstrap, PANEL + f""",
-    pp AS (SELECT * FROM panel WHERE dataset_id < 3), un AS (SELECT entity_id, row_number() OVER (ORDER BY entity_id) - 1 AS unit FROM (SELECT DISTINCT entity_id FROM pp)), nu AS (SELECT count(*) AS n FROM un),
+    pp AS (SELECT * FROM panel), un AS (SELECT entity_id, row_number() OVER (ORDER BY entity_id) - 1 AS unit FROM (SELECT DISTINCT entity_id FROM pp)), nu AS (SELECT count(*) AS n FROM un),
     dr AS (SELECT rep, CAST(floor({u_sql(f"'{S}|' || rep || '|' || slot")} * n) AS BIGINT) AS unit FROM nu, range(20) r(rep), range(100000) s(slot) WHERE slot < n),
     wt AS (SELECT rep, entity_id, CAST(count(*) AS DOUBLE) AS w FROM dr JOIN un USING (unit) GROUP BY ALL), rw AS (SELECT pp.*, rep, w FROM pp JOIN wt USING (entity_id)){_AUC}
-    SELECT dataset_id, rep, round(x.a - z.a, 6) AS effect FROM a_x_quantity x JOIN a_x_discount z USING (dataset_id, rep)"""
+    SELECT dataset_id, rep, round(x.a - z.a, 6) AS effect FROM a_x_quantity x JOIN a_x_discount z USING (dataset_id, rep) WHERE x.a IS NOT NULL AND z.a IS NOT NULL AND NOT isnan(x.a)"""
 add("c4_claims", lambda s, d: _claims(s, d), f""", m AS (SELECT avg(paired_harm) FILTER (category = 'simple') AS s, avg(paired_harm) FILTER (category = 'structured') AS t, avg(diagnostic_ap) AS x FROM {_CAT})
     SELECT 'simple_exceeds_structured' AS claim_id, CASE WHEN s > t + 0.01 THEN 'SUPPORTED' WHEN s > t THEN 'WEAK' ELSE 'NOT_SUPPORTED' END AS status, round(s - t, 6) AS value FROM m
     UNION ALL SELECT 'detectable', CASE WHEN x > 0.55 THEN 'SUPPORTED' WHEN x > 0.45 THEN 'WEAK' ELSE 'NOT_SUPPORTED' END, round(x, 6) FROM m""")
@@ -204,13 +219,14 @@ def _gate(s, d):
 
 
 def _rest_r2(s, d):
-    """R2 over cells of mechanism and model of the simple line, with each mechanism left out in turn."""
-    m = _mech(s, d)
-    left = m.select(F.col("mechanism").alias("left_out")).distinct()
-    return rounded(stats.regression(m.join(F.broadcast(left), F.col("mechanism") != F.col("left_out")), "x", "h", ["left_out"]), ["left_out"], "slope", "r2")
+    m = _mech(s, d).join(F.broadcast(categories(s)), "mechanism")
+    return rounded(stats.left_out_r2(m, "category", "x", "h"), ["n"], "r2_category", "r2_both")
 
 
-add("b16_leave_one_out_r2", _rest_r2, _MECH + " SELECT l.left_out, round(regr_slope(h, x), 6) AS slope, round(regr_r2(h, x), 6) AS r2 FROM mm, (SELECT DISTINCT mechanism AS left_out FROM mm) l WHERE mechanism <> l.left_out GROUP BY 1")
+add("b16_leave_one_out_r2", _rest_r2, _MECH + f""", c AS (SELECT * FROM mm JOIN {CATEGORIES} USING (mechanism)), l AS (SELECT a.item AS out, b.* FROM c a JOIN c b ON a.item <> b.item),
+    k AS (SELECT out, category, avg(x) AS mx, avg(h) AS mh FROM l GROUP BY ALL), b AS (SELECT out, sum((x - mx) * (h - mh)) / sum((x - mx) * (x - mx)) AS b FROM l JOIN k USING (out, category) GROUP BY out),
+    p AS (SELECT c.h, mh AS pc, mh + b * (x - mx) AS pf FROM c JOIN k ON k.out = c.item AND k.category = c.category JOIN b ON b.out = c.item)
+    SELECT count(*) AS n, round(1 - sum((h - pc) * (h - pc)) / (var_pop(h) * count(*)), 6) AS r2_category, round(1 - sum((h - pf) * (h - pf)) / (var_pop(h) * count(*)), 6) AS r2_both FROM p""")
 
 
 def _pearson_bootstrap(s, d):
@@ -226,17 +242,8 @@ add("b8_correlation_bootstrap", _pearson_bootstrap, _MECH + f""", un AS (SELECT
     c AS (SELECT rep, corr(x, h) AS r FROM dr JOIN un USING (unit) GROUP BY rep) SELECT round(quantile_cont(r, 0.025), 6) AS low, round(quantile_cont(r, 0.975), 6) AS high FROM c WHERE NOT isnan(r)""")
 
 
-# The queries above that DuckDB can only follow over some datasets, over all of them: without SQL, tests hold them against brute force.
-QUERIES["b9_sign_flip_whole"] = lambda s, d: rounded(stats.halved_sign_flip(_task_matrix(s, d, "true"), ["contrast"], "v"), ["contrast", "n"], "mean", "p")
-QUERIES["b6_category_contrasts_whole"] = lambda s, d: rounded(stats.holm(stats.halved_sign_flip(_task_matrix(s, d, "true"), ["contrast"], "v"), "p"), ["contrast"], "mean", "p", "p_holm")
-
-
-def _all_cases(s, d):
-    t = led(s, d).groupBy("mechanism", "dataset_id").agg(F.round(F.avg("paired_harm"), 9).alias("v"))
-    return rounded(stats.halved_sign_flip(t, ["mechanism"], "v").join(t.groupBy("mechanism").agg(F.min(F.col("v") > 0).alias("all_positive")), "mechanism"), ["mechanism", "all_positive"], "mean", "p")
-
-
-QUERIES["b28_case_studies_whole"] = _all_cases
+QUERIES["b9_sign_flip_whole"], QUERIES["b6_category_contrasts_whole"], QUERIES["b28_case_studies_whole"] = QUERIES["b9_exact_sign_flip"], QUERIES["b6_category_contrasts"], QUERIES["b28_case_studies"]
+ORACLE |= {"b9_sign_flip_whole": ORACLE["b9_exact_sign_flip"], "b6_category_contrasts_whole": ORACLE["b6_category_contrasts"], "b28_case_studies_whole": ORACLE["b28_case_studies"]}
 
 
 def _whole_auc_bootstrap(s, d):

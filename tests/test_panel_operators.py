@@ -79,12 +79,12 @@ def removed(df):
 
 
 def test_policies(spark):
-    rows = [(0, f, i, s, g, life, True) for i, (f, s, g, life) in enumerate([("a", 0.9, "g", "pre_event"), ("b", 0.8, "g", "pre_event"), ("c", 0.7, "g", "post_outcome"), ("d", 0.1, None, "pre_event")])]
-    df = spark.createDataFrame(rows, "cell int, feature_id string, position int, score double, group_id string, lifecycle string, available boolean")
+    rows = [(0, f, i, s, g, life, True, False, late) for i, (f, s, g, life, late) in enumerate([("a", 0.9, "g", "prediction_time", False), ("b", 0.8, "g", "pre_outcome", False), ("c", 0.7, "g", "post_outcome", False), ("d", 0.1, None, "prediction_time", True)])]
+    df = spark.createDataFrame(rows, "cell int, feature_id string, position int, score double, group_id string, lifecycle string, available boolean, outcome_descendant boolean, post_event_table boolean")
     assert removed(policies.fields(df, ["cell"], 0.25)) == {"a"} and removed(policies.groups(df, ["cell"], 0.5)) == {"a", "b", "c"}
-    assert removed(policies.lifecycle(df, ["cell"])) == {"c"} and removed(policies.fields(df, ["cell"], 0.0)) == set()
-    edges = spark.createDataFrame([(0, "a", "b"), (0, "b", "c")], "cell int, src string, dst string")
-    assert removed(policies.graph_cut(df, edges, 0.5)) == {"a", "b", "c"} and removed(policies.graph_cut(df, edges.limit(0), 0.5)) == set()
+    assert removed(policies.lifecycle(df, ["cell"])) == {"c", "d"} and removed(policies.groups(df, ["cell"], 1.0)) == {"a", "b", "c"} and removed(policies.fields(df, ["cell"], 0.0)) == set()
+    edges = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
+    assert removed(policies.graph_cut(df, edges, 1.0)) == {"a", "b", "c"} and removed(policies.graph_cut(df, edges.limit(0), 0.5)) == set()
     assert len(removed(policies.random(df, ["cell"], 0.5, 3))) == 2
     a, b = (policies.digest(df.withColumn("removed", F.col("position").isin(1, 3)).orderBy(F.col("position").desc() if d else "position"), ["cell"], u).first().digest for d, u in ((0, "field"), (1, "field")))
     assert a == b != policies.digest(df.withColumn("removed", F.col("position").isin(1, 3)), ["cell"], "group").first().digest
