@@ -78,3 +78,11 @@ def regime(columns: DataFrame, level: str) -> DataFrame:
     if level == "O2":
         return columns.select(*shown, "available")
     raise ValueError(f"no regime {level!r}")
+
+
+def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """df with columns renamed by a map; a name that isn't there, or one that would then be there twice, is an error."""
+    out = [names.get(c, c) for c in df.columns]
+    if (absent := set(names) - set(df.columns)) or len(set(out)) < len(out):
+        raise ValueError(f"can't rename: absent {sorted(absent)}, columns {out}")
+    return df.withColumnsRenamed(names)

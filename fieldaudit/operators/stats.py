@@ -182,3 +182,19 @@ def dose_slope(df: DataFrame, by: list[str], level: str, value: str) -> DataFram
     return df.withColumn("_z", z).groupBy(*by).agg(F.avg(F.col("_z") * F.col(value)).alias("slope"))
 
 
+
+
+def permuted_increment(df: DataFrame, category: str, item: str, x: str, y: str, reps: int, seed: int) -> DataFrame:
+    """n_reps, r2_increment, p: what x adds to R2 over the category, and how often it adds as much where x is dealt out anew within each.
+
+    Within a category both sides are centred, so a replicate is one sum of products; items are as few as a ledger has.
+    """
+    w = Window.partitionBy(category)
+    rows = df.select(category, item, F.col(y).alias("_y"), (F.col(x) - F.avg(x).over(w)).alias("_u"), (F.col(y) - F.avg(y).over(w)).alias("_v"), F.row_number().over(w.orderBy(item)).alias("_k"))
+    reps_ = df.sparkSession.range(reps).withColumnRenamed("id", "rep")
+    shuffled = rows.select(category, item, "_u").crossJoin(F.broadcast(reps_)).withColumn("_h", uniform(str(seed), "perm", F.col("rep"), F.col(item)))
+    shuffled = shuffled.select("rep", category, F.col("_u"), F.row_number().over(Window.partitionBy("rep", category).orderBy("_h", item)).alias("_k"))
+    null = shuffled.join(rows.select(category, "_k", "_v"), [category, "_k"]).groupBy("rep").agg(F.sum(F.col("_u") * F.col("_v")).alias("_null"))
+    seen = rows.agg(F.sum(F.col("_u") * F.col("_v")).alias("_uv"), F.sum(F.col("_u") * F.col("_u")).alias("_uu"), (F.var_pop("_y") * F.count("*")).alias("_all"))
+    far = (F.col("_null") * F.col("_null") >= F.col("_uv") * F.col("_uv") - 1e-12).cast("int")
+    return null.crossJoin(F.broadcast(seen)).agg(F.count("*").alias("n_reps"), F.first(F.col("_uv") * F.col("_uv") / F.col("_uu") / F.col("_all")).alias("r2_increment"), ((1 + F.sum(far)) / (F.count("*") + 1)).alias("p"))

@@ -94,8 +94,6 @@ add("m11_projections", lambda s, d: _r(probes.projections(panel(s, d), 0.8, S),
     "SELECT row_id, " + ", ".join(f"round(CAST({0.8 * w!r} AS DOUBLE) * (y - prior) + {_noise(f'm11_{i}')}, 6) AS m11_{i}" for i, w in enumerate(_weight)) + " FROM placed")
 add("m12_composed", lambda s, d: _r(probes.compose(panel(s, d), lambda p: probes.noisy_proxy(p, 0.8, S), lambda p: probes.mixed_group(p, 0.5, S, "x_tax")), "m02", "m10_copy", "m10"),
     f"SELECT row_id, round(0.8 * (y - prior) + {_noise('m02')}, 6) AS m02, round(x_tax, 6) AS m10_copy, round(0.5 * (y - prior) + {_noise('m10')}, 6) AS m10 FROM placed")
-add("q9_base_unchanged", lambda s, d: probes.same_base(panel(s, d), probes.noisy_proxy(panel(s, d), 0.8, S), ["row_id", "y", *FEATURES]).groupBy("side").agg(F.count("*").alias("n")),
-    "SELECT CAST('' AS VARCHAR) AS side, CAST(0 AS BIGINT) AS n WHERE false")
 
 
 def _next_time(s, d):

@@ -82,7 +82,10 @@ def _task_matrix(s, d):
 # the sums of all sign patterns of either half of a group's values, and how many of their pairs are as far from 0 as the observed sum
 _HALF = """{n} AS (SELECT g, list_sum([0.0] || list_transform(range({low}, {high}), lambda i: CASE WHEN (bits >> (i - {low})) & 1 = 1 THEN v[i + 1] ELSE -v[i + 1] END)) AS x FROM gv, range(8192) b(bits) WHERE bits < (1 << ({high} - ({low}))))"""
 _FLIP = ", " + _HALF.format(n="lf", low="0", high="len(v) // 2") + ", " + _HALF.format(n="rf", low="len(v) // 2", high="len(v)") + """,
-    sf AS (SELECT g, any_value(len(v)) AS n, any_value(list_sum(v) / len(v)) AS mean, avg(CAST(abs(lf.x + rf.x) >= abs(list_sum(v)) - 1e-12 AS INT)) AS p FROM lf JOIN rf USING (g) JOIN gv USING (g) GROUP BY g)"""
+    tt AS (SELECT g, abs(list_sum(v)) - 1e-12 AS t FROM gv), qs AS (SELECT g, x AS v, 1 AS k FROM rf UNION ALL SELECT g, t - x, 0 FROM lf JOIN tt USING (g) UNION ALL SELECT g, -t - x, 2 FROM lf JOIN tt USING (g)),
+    cn AS (SELECT g, k, sum(CAST(k = 1 AS INT)) OVER (PARTITION BY g ORDER BY v, k ROWS UNBOUNDED PRECEDING) AS n, sum(CAST(k = 1 AS INT)) OVER (PARTITION BY g) AS nr FROM qs),
+    far AS (SELECT g, sum(CASE k WHEN 0 THEN nr - n WHEN 2 THEN n ELSE 0 END) / CAST(any_value(nr) * count(*) FILTER (k = 0) AS DOUBLE) AS p FROM cn GROUP BY g),
+    sf AS (SELECT g, len(v) AS n, list_sum(v) / len(v) AS mean, CASE WHEN t <= 0 THEN 1 ELSE p END AS p FROM gv JOIN tt USING (g) JOIN far USING (g))"""
 _MATRIX = f""", mx AS (SELECT dataset_id, avg(paired_harm) FILTER (category = 'boundary') AS b, avg(paired_harm) FILTER (category = 'simple') AS s, avg(paired_harm) FILTER (category = 'structured') AS t FROM {_CAT} GROUP BY 1),
     ct AS (SELECT dataset_id, 'boundary_structured' AS contrast, round(b - t, 9) AS v FROM mx UNION ALL SELECT dataset_id, 'simple_boundary', round(s - b, 9) FROM mx UNION ALL SELECT dataset_id, 'simple_structured', round(s - t, 9) FROM mx),
     gv AS (SELECT contrast AS g, list(v ORDER BY dataset_id) AS v FROM ct WHERE v IS NOT NULL GROUP BY 1)""" + _FLIP
