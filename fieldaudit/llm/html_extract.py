@@ -7,10 +7,10 @@ import re
 import string
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldaudit.llm.common import cut
+from fieldaudit.llm.common import cut, keep
 
 # Element names of HTML by what they do to a text
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -22,11 +22,14 @@ CONTAINERS = frozenset("article main section div td body".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alert".split())
 #: Words of class and id names, between other letters' ends, that mark parts beside the article.
 BESIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|aside|widget\w*|related|recommend\w*|header|masthead|footer|foot|"
-    r"cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|comments?|commentlist|respond|replies|reply|disqus|discussion|share\w*|sharing|social\w*|newsletter|subscribe|signup|login|"
-    r"pagination|pager|toolbar|copyright|legal|disclaimer|tags?|hidden)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|aside|widget\w*|related|recommend\w*|header|masthead|footer|"
+    r"cookies?|consent|gdpr|notification|popup|modal|overlay|comments?|commentlist|respond|replies|reply|disqus|share\w*|sharing|social\w*|newsletter|subscribe|signup|login|"
+    r"pagination|pager|toolbar|hidden)(?:$|[\s_-])",
     re.I,
 )
+#: Words that mark such parts as often as articles on these things: an element with one goes if it has up to SLIGHT unlinked characters.
+SLIGHT_WORDS = re.compile(r"(?:^|[\s_-])(?:notice|alert|side|discussion|copyright|legal|disclaimer|tags?|foot)(?:$|[\s_-])", re.I)
+SLIGHT = 600
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?/][^>]*+>?", re.S
 )
@@ -55,129 +58,193 @@ def general(tag: str, attr: dict[str, str]) -> str:
     return tag + "".join(f".{c}" for c in names)
 
 
-def parse(page: str) -> tuple[list[tuple[str, str]], dict[str, int], dict[str, int]]:
-    """The blocks of text outside skipped parts, each with the path of its nearest container, a score and all such text for every container's path.
+class Page:
+    """The blocks of text outside skipped parts and the tree of containers they stand in.
 
-    A container scores the characters of its own blocks, less those in links; parents get half of that, and so on, so that the nearest
-    element that holds most of the article wins over the page as a whole. article and main count double. The third result has no halves.
+    Containers of one path are one node: its number's parent and step (see general()) are numbers and short strings, so a page of any depth
+    takes memory in proportion to its length. Parents have smaller numbers than their children; 0 is the page as a whole.
     """
-    stack: list[tuple[str, str, bool]] = []  # tag, path of the nearest container, within a skipped part
-    blocks: list[tuple[str, str]] = []
-    score: dict[str, int] = {}
-    whole: dict[str, int] = {}
-    buffer: list[str] = []
-    linked = 0
-    path, skip = "", False
-
-    def flush() -> None:
-        nonlocal linked
-        if buffer:
-            text = " ".join(html.unescape("".join(buffer)).split())
-            buffer.clear()
-            if text:
-                blocks.append((path, text))
-                full, at = max(0, len(text) - 2 * linked), path
-                worth = full
-                while at and full:
-                    whole[at] = whole.get(at, 0) + full
-                    score[at] = score.get(at, 0) + worth * (2 if at.rsplit(">", 1)[-1].split(".")[0] in ("article", "main") else 1)
-                    at, worth = at.rpartition(">")[0], worth // 2
-        linked = 0
-
-    def close(tag: str, within: frozenset[str] = frozenset()) -> None:
-        nonlocal path, skip
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == tag:
-                if any(t[0] in BLOCKS for t in stack[k:]):
-                    flush()
-                del stack[k:]
-                path, skip = (stack[-1][1], stack[-1][2]) if stack else ("", False)
-                return
-            if stack[k][0] in within:
-                return
 
-    at, n, links = 0, len(page), 0
-    while at < n:
-        m = TOKEN.search(page, at)
-        end = m.start() if m else n
-        if end > at and not skip:
-            buffer.append(page[at:end])
-            linked += (end - at) * (links > 0)
-        if not m:
-            break
-        at = m.end()
-        tag, inner = (m[2] or m[5] or "").lower(), m[3] or m[6] or ""
-        if not tag:
-            continue
-        if m[1] or m[4]:
-            links -= tag == "a" and links > 0
-            if tag == "br":
+    def __init__(self, page: str):
+        self.parent, self.step, self.named = [0], [""], {}
+        self.blocks: list[tuple[int, str, int]] = []  # node, text, unlinked characters
+        self._read(page)
+        n = len(self.parent)
+        self.whole = [0] * n  # unlinked characters, of the node and below
+        self.score = [0.0] * n  # those of the node itself and half of each child's score; article and main count double
+        for node, _, full in self.blocks:
+            self.whole[node] += full
+            self.score[node] += full
+        for node in range(n - 1, 0, -1):
+            self.whole[self.parent[node]] += self.whole[node]
+            self.score[self.parent[node]] += self.score[node] / 2
+        for node in range(1, n):
+            self.score[node] *= 2 if self.tag(node) in ("article", "main") else 1
+
+    def tag(self, node: int) -> str:
+        return self.step[node].split(".", 1)[0]
+
+    def _node(self, parent: int, step: str) -> int:
+        if (found := self.named.get((parent, step))) is None:
+            found = self.named[parent, step] = len(self.parent)
+            self.parent.append(parent)
+            self.step.append(step)
+        return found
+
+    def _read(self, page: str) -> None:
+        stack: list[tuple[str, int, bool, int, bool]] = []  # tag, node, within a skipped part, blocks before, whether it goes if it is slight
+        opened: dict[str, int] = {}
+        buffer: list[str] = []
+        linked, node, skip, main = 0, 0, False, 0
+
+        def flush() -> None:
+            nonlocal linked
+            if buffer:
+                text = " ".join(html.unescape("".join(buffer)).split())
+                buffer.clear()
+                if text:
+                    self.blocks.append((node, text, max(0, len(text) - 2 * linked)))
+            linked = 0
+
+        def pop(k: int) -> None:
+            nonlocal node, skip, main
+            if any(t[0] in BLOCKS or t[4] for t in stack[k:]):
+                flush()
+            for tag, _, _, before, slight in reversed(stack[k:]):
+                opened[tag] -= 1
+                main -= tag in ("article", "main")
+                if slight and sum(full for _, _, full in self.blocks[before:]) <= SLIGHT:
+                    del self.blocks[before:]
+            del stack[k:]
+            node, skip = (stack[-1][1], stack[-1][2]) if stack else (0, False)
+
+        def close(tag: str, within: frozenset[str] = frozenset()) -> None:
+            if not opened.get(tag):
+                return
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == tag:
+                    return pop(k)
+                if stack[k][0] in within:
+                    return None
+
+        at, n, links = 0, len(page), 0
+        while at < n:
+            m = TOKEN.search(page, at)
+            end = m.start() if m else n
+            if end > at and not skip:
+                buffer.append(page[at:end])
+                linked += (end - at) * (links > 0)
+            if not m:
+                break
+            at = m.end()
+            tag, inner = (m[2] or m[5] or "").lower(), m[3] or m[6] or ""
+            if not tag:
+                continue
+            if m[1] or m[4]:
+                links -= tag == "a" and links > 0
+                if tag != "br":
+                    close(tag, frozenset({"td", "th", "table"}) if tag in ("li", "p") else frozenset())
                 continue
-            close(tag, frozenset({"td", "th", "table"}) if tag in ("li", "p") else frozenset())
-            continue
-        if tag in VOID:
-            if tag in ("br", "hr") and not skip:
-                buffer.append(" ") if tag == "br" else flush()
-            continue
-        if tag in CLOSES_P:
-            close("p", frozenset({"td", "th", "li", "div", "article", "section", "main", "body", "table"}))
-        elif tag in ("li", "tr", "td", "th", "dt", "dd", "option"):
-            for other in {"td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}.get(tag, (tag,)):
-                close(other, frozenset({"ul", "ol", "table", "dl", "select", "div", "article"}))
-        if tag in BLOCKS:
-            flush()
-        attr = _attributes(inner)
-        links += tag == "a"
-        skip = skip or _skipped(tag, attr)
-        if tag in CONTAINERS and not skip:
-            path = f"{path}>{general(tag, attr)}"
-        if tag in RAW:
-            over = re.compile(rf"</{tag}", re.I).search(page, at)
-            at = over.start() if over else n
-        stack.append((tag, path, skip))
-        if inner.rstrip().endswith("/") and tag in ("svg", "iframe"):
-            stack.pop()
-            path, skip = (stack[-1][1], stack[-1][2]) if stack else ("", False)
-    flush()
-    return blocks, score, whole
-
-
-def best(score: dict[str, int]) -> str:
-    """The path of the highest score, the longer one among equals."""
-    return max(score, key=lambda p: (score[p], len(p), p), default="")
-
-
-def climbed(path: str, whole: dict[str, int]) -> str:
-    """path, or the lowest container above it that has all of the text: an article over sibling containers stays whole. article and main end the climb."""
-    out = at = path
-    while ">" in at[1:] and at.rpartition(">")[2].split(".")[0] not in ("article", "main"):
-        at = at.rpartition(">")[0]
-        out = at if whole.get(at, 0) > whole.get(out, 0) else out
-    return out
-
-
-def within(blocks: list[tuple[str, str]], path: str) -> list[str]:
-    return [t for p, t in blocks if p == path or p.startswith(f"{path}>")]
+            if tag in VOID:
+                if tag in ("br", "hr") and not skip:
+                    buffer.append(" ") if tag == "br" else flush()
+                continue
+            if tag in CLOSES_P:
+                close("p", frozenset({"td", "th", "li", "div", "article", "section", "main", "body", "table"}))
+            elif tag in ("li", "tr", "td", "th", "dt", "dd", "option"):
+                for other in {"td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}.get(tag, (tag,)):
+                    close(other, frozenset({"ul", "ol", "table", "dl", "select", "div", "article"}))
+            if tag in ("article", "main") and opened.get("nav"):
+                close("nav")  # one that bad markup has left open
+                links = 0
+            if tag in BLOCKS:
+                flush()
+            attr = _attributes(inner)
+            links += tag == "a"
+            slight = False
+            if not skip:
+                # a header within the article holds its title
+                skip = _skipped(tag, attr) and not (tag == "header" and main and not BESIDE.search(attr.get("class", "")))
+                names = f"{attr.get('class', '')} {attr.get('id', '')}" if attr and tag not in ("html", "body", "article", "main") else ""
+                slight = not skip and bool(names) and bool(SLIGHT_WORDS.search(names))
+                if slight:
+                    flush()
+            if tag in CONTAINERS and not skip:
+                node = self._node(node, general(tag, attr))
+            if tag in RAW:
+                over = re.compile(rf"</{tag}", re.I).search(page, at)
+                at = over.start() if over else n
+            stack.append((tag, node, skip, len(self.blocks), slight))
+            opened[tag] = opened.get(tag, 0) + 1
+            main += tag in ("article", "main")
+            if inner.rstrip().endswith("/") and tag in ("svg", "iframe"):
+                pop(len(stack) - 1)
+        flush()
+        pop(0)
+
+    def path(self, node: int) -> str:
+        steps = []
+        while node:
+            steps.append(self.step[node])
+            node = self.parent[node]
+        return ">".join(reversed(steps))
+
+    def find(self, path: str) -> int:
+        """The node of a path, 0 if it isn't here."""
+        node = 0
+        for step in path.split(">"):
+            node = self.named.get((node, step), 0)
+            if not node:
+                return 0
+        return node
+
+    def best(self) -> int:
+        """The node of the highest score, the deepest one among equals."""
+        return max(range(1, len(self.parent)), key=lambda k: (self.score[k], k), default=0)
+
+    def climbed(self, node: int) -> int:
+        """node, or the lowest container above it that has all of the text: an article over sibling containers stays whole. article and main end the climb."""
+        out = node
+        while self.parent[node] and self.tag(node) not in ("article", "main"):
+            node = self.parent[node]
+            out = node if self.whole[node] > self.whole[out] else out
+        return out
+
+    def within(self, node: int) -> list[str]:
+        """The blocks of a node and of those below it."""
+        inside = [False] * len(self.parent)
+        for k in range(len(self.parent)):
+            inside[k] = k == node or (k > 0 and inside[self.parent[k]])
+        return [text for k, text, _ in self.blocks if inside[k]]
 
 
 def host_of(url):
     """Between the first :// and the next /, ? or #, lower-cased; null or no ://: empty."""
-    rest = F.when(F.instr(url, "://") > 0, F.substring_index(F.expr("substring(url, instr(url, '://') + 3)"), "/", 1)).otherwise(F.lit(""))
+    rest = F.when(F.instr(url, "://") > 0, F.substring_index(url.substr(F.instr(url, "://") + 3, F.length(url)), "/", 1)).otherwise(F.lit(""))
     return F.coalesce(F.translate(F.substring_index(F.substring_index(rest, "?", 1), "#", 1), string.ascii_uppercase, string.ascii_lowercase), F.lit(""))
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """host and path: the path that most of the host's pages chose for their main container, weighted by nothing but the page."""
+    """host and path: the path that most of the host's pages chose for their main container, weighted by nothing but the page. Paths of over
+    PATH characters have no vote: they are no template's."""
 
     def run(batches):
+        keep("html_extract")
         for batch in batches:
-            paths = [climbed(best(score), whole) for _, score, whole in (parse(p or "") for p in batch.column("html").to_pylist())]
+            paths = []
+            for page in batch.column("html").to_pylist():
+                tree = Page(page or "")
+                path = tree.path(tree.climbed(tree.best()))
+                paths.append(path if len(path) <= PATH else "")
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(paths, pa.string())], ["host", "path"])
 
     chosen = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(run, "host string, path string")
     count = chosen.where("path <> ''").groupBy("host", "path").agg(F.count("*").alias("n"))
-    first = F.row_number().over(Window.partitionBy("host").orderBy(F.col("n").desc(), F.length("path").desc(), "path"))
-    return count.withColumn("rank", first).where("rank = 1").select("host", "path")
+    return count.groupBy("host").agg(F.max_by("path", F.struct("n", F.length("path"), "path")).alias("path"))
+
+
+#: Characters of a host's path at most.
+PATH = 2_000
 
 
 def extract(pages: DataFrame, limit: int = 20_000) -> DataFrame:
@@ -185,8 +252,9 @@ def extract(pages: DataFrame, limit: int = 20_000) -> DataFrame:
     page with text beside that container, of the one above that has both.
 
     Blocks are joined by a line feed in page order, white space inside them is one space. Null and empty pages and pages without text give
-    an empty text; repeated rows give their texts again. Hosts' paths are small strings, one a host; up to limit of them are broadcast, more
-    are joined by a shuffle of the pages (a host of very many pages is then split by Spark's handling of skewed joins).
+    an empty text; repeated rows give their texts again; extra columns aren't read. A page of any length or depth takes memory in proportion
+    to its length. Hosts' paths are strings of up to PATH characters, one a host; up to limit of them are broadcast, more are joined by a
+    shuffle of the pages (a host of very many pages is then split by Spark's handling of skewed joins).
     """
     paths = cut(votes(pages))
     paths = F.broadcast(paths) if paths.limit(limit + 1).count() <= limit else paths
@@ -194,18 +262,20 @@ def extract(pages: DataFrame, limit: int = 20_000) -> DataFrame:
     schema = "page_id long, url string, text string, n_chars long, path string, agreed boolean"
 
     def run(batches):
+        keep("html_extract")
         for batch in batches:
             texts, used, agreed = [], [], []
             for page, path in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist()):
-                blocks, score, whole = parse(page or "")
-                path = climbed(path, whole) if path and path in whole else path
-                found = within(blocks, path) if path else []
+                tree = Page(page or "")
+                node = tree.find(path) if path else 0
+                node = tree.climbed(node) if node else 0
+                found = tree.within(node) if node else []
                 agreed.append(bool(found))
                 if not found:
-                    path = climbed(best(score), whole)
-                    found = within(blocks, path) if path else [t for _, t in blocks]
+                    node = tree.climbed(tree.best())
+                    found = tree.within(node)
                 texts.append("\n".join(found))
-                used.append(path)
+                used.append(tree.path(node)[:PATH])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id").cast(pa.int64()), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(used, pa.string()), pa.array(agreed, pa.bool_())],
                 ["page_id", "url", "text", "n_chars", "path", "agreed"],
