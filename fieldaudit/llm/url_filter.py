@@ -14,23 +14,41 @@ from fieldaudit.llm.html_extract import host_of
 GRAMS, BUCKETS = (3, 4, 5), 1 << 15
 #: The rules of the query: the verdict, then the host, a slash and how the path goes on.
 RULES = ["block com/en/", "allow example.com/en/7", "block net/de/", "block example.net/de/8", "block org/es/"]
-# The labelled URLs, by the name that stands before the domain
+# The labelled URLs, by the name that stands before the domain and by what stands in the path
 BLOCKED = (
-    "casino casino-win online-casino royal-casino poker poker-room slots free-slots jackpot bets free-bets sports-bets betting pills cheap-pills buy-pills pharmacy-deal viagra cialis "
-    "spam spam-farm spam-links link-farm seo-links adult adult-x adult-chat xxx xxx-cams porn free-porn sex sex-cams escort ads-track ads ad-track adserver ad-network track-clicks clickbait "
-    "replica-watches payday-loans fast-loans crack-download warez torrent-crack malware phishing-login"
+    "casino casino-win online-casino royal-casino vegas-casino poker poker-room free-poker video-poker slots free-slots mega-slots slot-machine jackpot jackpot-city bets free-bets sports-bets bet-now betting "
+    "live-betting pills cheap-pills buy-pills diet-pills pharmacy-deal cheap-pharmacy viagra cheap-viagra cialis spam spam-farm spam-links link-farm seo-links buy-links adult adult-x adult-chat adult-cams xxx "
+    "xxx-cams free-xxx porn free-porn porn-tube live-porn sex sex-cams free-sex sex-chat escort escorts-city ads ads-track ad-track ad-network adserver ad-server track-clicks click-track clickbait replica-watches "
+    "fake-watches payday-loans fast-loans loans-now crack-download warez free-warez torrent-crack malware phishing-login free-cash win-cash"
 ).split()
 ALLOWED = (
-    "news daily-news science physics history library archive museum garden kitchen recipes travel weather climate health school college university courses research journal books poetry music theatre "
-    "cinema sports football market economy finance law justice politics city council transport railway energy water forest animals birds ocean space software docs developer blog notes writing photos "
-    "maps wiki help community support shop store home about then there other ther thing with from and for are was ing tion ment ent est ver sch eit que les des los las con por"
+    "news daily-news local-news science science-daily physics chemistry history local-history library city-library archive web-archive museum art-museum garden my-garden kitchen recipes bread-recipes travel "
+    "train-travel weather climate health public-health school high-school college university courses open-courses research journal law-journal books old-books poetry music folk-music theatre cinema sports football "
+    "market economy finance law justice politics city city-council town transport railway energy water forest animals birds ocean space software free-software docs developer blog my-blog notes writing photos maps "
+    "street-maps wiki help community support shop book-shop store home gallery letters language grammar dictionary"
 ).split()
-DOMAINS, PATHS = ("example.com", "example.net", "example.org"), ("/en/12", "/de/345", "/fr/6789.html", "/es/28/", "/")
+BAD_PATHS = ("/casino/bonus", "/buy/pills", "/xxx/videos/3", "/free-porn", "/win/cash-now", "/poker/play?id=7", "/ads/click?u=9", "/viagra-cheap.html")
+GOOD_PATHS = ("/", "/about.html", "/news/2024/05/12", "/docs/install", "/en/12", "/de/345", "/fr/6789.html", "/es/28/", "/blog/a-walk-by-the-river", "/articles/history-of-bread", "/library/catalogue?page=2")
+DOMAINS = ("example.com", "example.net", "example.org", "site.test", "pages.example", "host.invalid")
+
+
+def labelled_urls() -> list[tuple[str, float, str]]:
+    """(url, 1 for block or 0 for allow, name): names under several domains and subdomains; blocked names and, on one row in eight of
+    allowed names, blocked paths. More rows are allowed than blocked, and a url without host and path is allowed."""
+    out = [("no-scheme", 0.0, "")]
+    for names, y in ((BLOCKED, 1.0), (ALLOWED, 0.0)):
+        for i, name in enumerate(names):
+            for j in range(4 if y else 8):
+                sub, domain = ("", "www.", "m.", "cdn.")[(i + j) % 4], DOMAINS[(i + 2 * j) % len(DOMAINS)]
+                bad_path = y == 0 and j == 3
+                path = BAD_PATHS[i % len(BAD_PATHS)] if bad_path else GOOD_PATHS[(i + j) % len(GOOD_PATHS)]
+                out.append((f"https://{sub}{name}.{domain}{path}", 1.0 if bad_path else y, name))
+    return out
 
 
 def path_of(url: Column) -> Column:
     """What follows the host up to ? or #; null or no ://: empty."""
-    rest = F.when(F.instr(url, "://") > 0, F.regexp_extract(F.expr("substring(url, instr(url, '://') + 3)"), r"^[^/?#]*(/[^?#]*)", 1)).otherwise(F.lit(""))
+    rest = F.when(F.instr(url, "://") > 0, F.regexp_extract(url.substr(F.instr(url, "://") + 3, F.length(url)), r"^[^/?#]*(/[^?#]*)", 1)).otherwise(F.lit(""))
     return F.coalesce(rest, F.lit(""))
 
 
@@ -54,15 +72,8 @@ def grams(host: Column, path: Column) -> Column:
 
 
 def train(spark: SparkSession, labelled: list[tuple[str, float]] | None = None) -> LogisticRegressionModel:
-    """A regression fitted to a small table of (url, 1 for block or 0 for allow), by default the names above under each domain."""
-    if labelled is None:
-        labelled = [
-            (f"https://{sub}{name}.{domain}{PATHS[(i + j) % len(PATHS)]}", y)
-            for names, y in ((BLOCKED, 1.0), (ALLOWED, 0.0))
-            for i, name in enumerate(names)
-            for j, domain in enumerate(DOMAINS)
-            for sub in ("", ("www.", "m.", "blog.")[(i + j) % 3])
-        ]
+    """A regression fitted to a small table of (url, 1 for block or 0 for allow), by default labelled_urls()."""
+    labelled = [(url, y) for url, y, _ in labelled_urls()] if labelled is None else labelled
     rows = spark.createDataFrame(labelled, "url string, label double").coalesce(1)
     rows = rows.select("label", grams(host_of(F.col("url")), path_of(F.col("url"))).alias("grams"))
     rows = HashingTF(numFeatures=BUCKETS, binary=True, inputCol="grams", outputCol="features").transform(rows)
@@ -72,7 +83,8 @@ def train(spark: SparkSession, labelled: list[tuple[str, float]] | None = None)
 def judge(pages: DataFrame, rules: list[str], model: LogisticRegressionModel, threshold: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict and p_block of every row, alone: one pass over the url column, no shuffle.
 
-    A null url or one without :// has an empty host and path and is judged on those. Repeated rows give equal verdicts.
+    A null url or one without :// has an empty host and path and is judged on those. Repeated rows give equal verdicts, a url of any length
+    is judged whole, an empty table gives no rows, and extra columns aren't read.
     """
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = rows.withColumns({"rule": by_rule(F.col("host"), F.col("path"), rules), "grams": grams(F.col("host"), F.col("path"))})

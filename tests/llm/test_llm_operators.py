@@ -351,3 +351,130 @@ def test_articles_over_sibling_containers_stay_whole(spark):
     for i, parts in want.items():
         lines = got[i].text.split("\n")
         assert lines[: len(parts)] == [" ".join(p.split()) for p in parts] and set(lines[len(parts) :]) <= {"links only"}
+
+
+def mirrored(n):
+    """The Thue-Morse word of n letters and its complement: polynomial hashes modulo a power of two can't tell them apart."""
+    w, other = "a", str.maketrans("ab", "ba")
+    while len(w) < n:
+        w += w.translate(other)
+    return w[:n], w[:n].translate(other)
+
+
+def test_words_of_equal_polynomial_hash_stay_apart(spark):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pairs = [mirrored(n) for n in (64, 1024, 4096)]
+    some = [w for pair in pairs for w in pair] + [f"x {a} y {b}" for a, b in pairs]
+    for t, ids in zip(some, bpe.encoder(bpe.vocabulary()).encode(pa.array(some))):
+        assert ids.tolist() == library.encode(t, add_special_tokens=False).ids
+    rows = [(2 * k + i, " ".join([pair[i]] * 5 + [f"{pair[i]}{j}" for j in range(8)])) for k, pair in enumerate(pairs) for i in (0, 1)]
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.component_id == r.doc_id for r in found)
+
+
+def test_encoder_survives_hashes_that_collide(monkeypatch):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    real = bpe.word_hashes
+    monkeypatch.setattr(bpe, "word_hashes", lambda *a: real(*a) & np.uint64(15))
+    coder = bpe.Encoder(bpe.vocabulary())
+    for t in texts(3)[:12]:
+        for ids in coder.encode(pa.array([t, t])):
+            assert ids.tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_links_are_decided_by_words():
+    base = [f"w{i}" for i in range(100)]
+    assert near_dup.similar_words(" ".join(base), " ".join(base[:-3])) and not near_dup.similar_words(" ".join(base), " ".join(base[:40] + ["x"] * 60))
+    assert not near_dup.similar_words("", "") and near_dup.similar_words("A b", "a  B")
+
+
+@pytest.mark.parametrize("name", ["normal", "lognormal", "outlier", "huge"])
+def test_recall_whatever_the_lengths(spark, name):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(2000, 32))
+    if name == "lognormal":
+        x *= np.exp(r.normal(0, 1.5, (2000, 1)))
+    elif name != "normal":
+        x[7] *= {"outlier": 1e4, "huge": 1e30}[name]
+    frame = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(x)], "vec_id long, embedding array<double>, score string")
+    got = {}
+    for row in ann.nearest(frame, frame.where("vec_id % 50 = 0"), shard=700, block=20).collect():
+        got.setdefault(row.query_id, set()).add(row.vec_id)
+    hits = 0
+    for q in range(0, 2000, 50):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.lexsort((np.arange(2000), -s))[:20].tolist()))
+    assert hits >= 0.9 * 20 * 40
+
+
+LAYOUTS = {
+    "sections of other classes": ("<body><div id=main><p>One and some words.</p><div class=section>Two and some.</div><div class=section2>Three and some.</div></div></body>", ["One and some words.", "Two and some.", "Three and some."]),
+    "headline in the article's header": ("<body><header>Site</header><article><header><h1>Head</h1></header><p>Body of it.</p></article></body>", ["Head", "Body of it."]),
+    "open nav": ("<body><nav><a href=x>Home</a><article><p>Body of it.</p></article></body>", ["Body of it."]),
+    "a class that is the subject": ("<body><div class='legal-news'><p>" + "Long text on law. " * 50 + "</p></div><div class='tags'>a b</div></body>", [("Long text on law. " * 50).strip()]),
+    "comments": ("<body><main><p>The text itself.</p></main><div class=comments><p>Longer than the text itself, by a reader.</p></div></body>", ["The text itself."]),
+    "table": ("<body><article><table><tr><td>a<td>b</table><p>Text.</article></body>", ["a", "b", "Text."]),
+    "references": ("<body><article><p>A &lt;b&gt; &#233;&nbsp;&amp;   c</p></article></body>", ["A <b> é & c"]),
+    "no container": ("just text <b>and more</b>", ["just text and more"]),
+    "form and script": ("<body><article><script>var x='</p>'</script><p>Kept.</p><form><p>Gone</p></form></article></body>", ["Kept."]),
+    "cookie notice": ("<body><div class='cookie-bar'>We use them</div><div class=text><p>Kept text here.</p></div><aside>Side</aside></body>", ["Kept text here."]),
+}
+
+
+@pytest.mark.parametrize("name", list(LAYOUTS))
+def test_page_layouts(name):
+    page, want = LAYOUTS[name]
+    tree = html_extract.Page(page)
+    assert tree.within(tree.climbed(tree.best())) == want
+
+
+def test_deep_pages():
+    tree = html_extract.Page('<div class="a">' * 100_000 + "text" + "</div>" * 100_000)
+    assert tree.within(tree.climbed(tree.best())) == ["text"]
+    tree = html_extract.Page("<div>" * 30_000 + "text" + "</b>" * 30_000)
+    assert tree.within(tree.best()) == ["text"]
+
+
+def test_a_host_votes_for_its_pages(spark):
+    """On one page a box beside the article is longer; the path that the host's other pages chose decides."""
+    usual = '<body><div class="post"><section class="story"><p>' + "An article that goes on. " * 20 + "</p></section></div></body>"
+    odd = '<body><article class="teaser"><p>' + "A long teaser of something else. " * 30 + '</p></article><div class="post"><section class="story"><p>Short story.</p></section></div></body>'
+    rows = [(i, f"http://h.example/{i}", usual if i else odd, "x") for i in range(5)]
+    got = {r.page_id: r for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, path string")).collect()}
+    assert got[0].agreed and "Short story." in got[0].text and got[1].text == ("An article that goes on. " * 20).strip()
+
+
+def test_clashing_columns_pass_through_stages(spark, tmp_path):
+    names = ["keep", "score", "p_text", "p_meta", "kept", "n_words", "cleaned", "counted", "clean", "hash", "first", "row", "spans", "judged", "text_"]
+    text = " ".join(f"word{i}." for i in range(70))
+    rows = [(i, f"{text} {i}" if i < 6 else (None, "", text)[i - 6], "en", "s", *[f"{n}{i}" for n in names]) for i in range(9)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for stage in (quality_classifier.stage, quality_rules.stage, near_dup.stage, substring_dedup.stage):
+        for some in (frame, frame.limit(0)):
+            out = stage(spark, some, str(tmp_path))
+            assert out.columns == frame.columns
+            got = out.collect()
+            assert all(r[n] == f"{n}{r.doc_id}" for r in got for n in names)
+        assert got == []
+
+
+def test_url_model_on_held_out_names(spark):
+    """Names that share no row with the training table: three in four names train, the rest is judged."""
+    rows = url_filter.labelled_urls()
+    held = {n for _, _, n in rows if zlib.crc32(n.encode()) % 4 == 0}
+    model = url_filter.train(spark, [(u, y) for u, y, n in rows if n not in held])
+    test = [(i, u, y) for i, (u, y, n) in enumerate(rows) if n in held]
+    got = url_filter.judge(spark.createDataFrame(test, "page_id int, url string, label double"), [], model).select("page_id", "verdict").collect()
+    right = {r.page_id: r.verdict == "block" for r in got}
+    accuracy = sum(right[i] == (y == 1) for i, _, y in test) / len(test)
+    print("held-out accuracy", accuracy, len(test))
+    assert len(test) > 100 and accuracy >= 0.8
+
+
+def test_urls_without_rows_or_end(spark):
+    model = test_url_filter.__dict__.setdefault("model", url_filter.train(spark))
+    frame = spark.createDataFrame([(1, "http://news.example.org/" + "a/" * 20_000, "x", "y"), (2, None, "x", "y")], "page_id long, url string, host string, verdict string")
+    assert [r.verdict for r in url_filter.judge(frame, [], model).orderBy("page_id").collect()] == ["allow", "allow"]
+    assert url_filter.judge(frame.limit(0), [], model).count() == 0
