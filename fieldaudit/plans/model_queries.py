@@ -1,4 +1,4 @@
-"""Queries that fit learners: no SQL can check their digits; tests hold their directions."""
+"""Queries that fit learners: no SQL can check their digits; tests hold the directions of the learners and rankers that they call."""
 
 from __future__ import annotations
 
