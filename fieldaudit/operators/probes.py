@@ -16,10 +16,14 @@ from fieldaudit.functions.draws import normal, uniform
 from fieldaudit.operators.order import by_hash, by_time, with_count
 
 NOISE = 0.1
+#: A panel with this column has its priors already: loo_prior(df, PRIOR) once, and probes after it don't aggregate the panel again.
+PRIOR = "loo_prior"
 
 
 def loo_prior(df: DataFrame, name: str = "prior") -> DataFrame:
     """The mean label of all other rows, 0.5 for a row alone."""
+    if PRIOR in df.columns:
+        return df.withColumn(name, F.col(PRIOR))
     total = df.agg(F.count("*").alias("_n"), F.sum("y").alias("_y"))
     return df.crossJoin(F.broadcast(total)).withColumn(name, F.when(F.col("_n") > 1, (F.col("_y") - F.col("y")) / (F.col("_n") - 1)).otherwise(F.lit(0.5))).drop("_n", "_y")
 
@@ -95,14 +99,20 @@ def subgroup(df: DataFrame, strength: float, seed: int, prevalence: float = 0.3)
     return loo_prior(df, "_p").withColumn("m07", F.when(inside, F.lit(strength) * (F.col("y") - F.col("_p")) + noise("m07", seed)).otherwise(F.lit(0.0))).drop("_p")
 
 
+#: The place of a row in its class, which source_assignment() at any strength takes from a panel that has it.
+PLACE = "m09_place"
+
+
+def source_places(df: DataFrame, seed: int) -> DataFrame:
+    return by_hash(df, F.md5(F.concat_ws("|", F.lit(f"{seed}M09"), "row_id")), by=["y"]).withColumnRenamed("pos", PLACE)
+
+
 def source_assignment(df: DataFrame, strength: float, seed: int, sources: int = 4, least: int = 5) -> DataFrame:
     """m09_source, drawn with odds that depend on the label, and an indicator for each: the first rows of each class in hash order go round
     the sources so that each has at least so many; the numbers of the sources are shuffled."""
-    import math
-
     delta = [-1 + 2 * i / (sources - 1) for i in range(sources)]
     odds = {y: [math.exp((3 if y else -3) * strength * d) for d in delta] for y in (0, 1)}
-    placed = by_hash(df, F.md5(F.concat_ws("|", F.lit(f"{seed}M09"), "row_id")), by=["y"])
+    placed = df if PLACE in df.columns else source_places(df, seed)
     u = uniform(str(seed), "M09u", F.col("row_id"))
 
     def drawn(y: int) -> Column:
@@ -115,10 +125,11 @@ def source_assignment(df: DataFrame, strength: float, seed: int, sources: int =
             out = F.when(u < edge, F.lit(i)).otherwise(out)
         return out
 
-    raw = F.when(F.col("pos") <= sources * least, F.pmod(F.col("pos") - 1, F.lit(sources)).cast("int")).otherwise(F.when(F.col("y") == 1, drawn(1)).otherwise(drawn(0)))
+    raw = F.when(F.col(PLACE) <= sources * least, F.pmod(F.col(PLACE) - 1, F.lit(sources)).cast("int")).otherwise(F.when(F.col("y") == 1, drawn(1)).otherwise(drawn(0)))
     order = sorted(range(sources), key=lambda i: (i * 7 + seed * 3) % (sources + 1))
     named = F.element_at(F.array(*(F.lit(order.index(i)) for i in range(sources))), (raw + 1).cast("int"))
-    out = placed.withColumn("m09_source", named).drop("pos")
+    out = placed.withColumn("m09_source", named)
+    out = out if PLACE in df.columns else out.drop(PLACE)
     return out.withColumns({f"m09_{i}": (F.col("m09_source") == i).cast("int") for i in range(sources)})
 
 
@@ -146,10 +157,12 @@ def complete_graph(columns: DataFrame, group: str) -> DataFrame:
 
 
 def compose(df: DataFrame, *probes) -> DataFrame:
-    """df with the columns of several probes (functions of a panel)."""
+    """df with the columns of several probes (functions of a panel), which share one computation of the priors."""
+    had = PRIOR in df.columns
+    df = loo_prior(df, PRIOR)
     for probe in probes:
         df = probe(df)
-    return df
+    return df if had else df.drop(PRIOR)
 
 
 def same_base(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFrame:

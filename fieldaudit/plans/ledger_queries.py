@@ -125,12 +125,6 @@ _REPAIR = """, g AS (SELECT *, full_auc - clean_auc AS gap, governed_auc - clean
     rep AS (SELECT *, CASE WHEN none THEN 0 ELSE abs(gap) - same_side_residual END AS directional_repair, CASE WHEN NOT none THEN (abs(gap) - same_side_residual) / abs(gap) END AS directional_repair_fraction FROM h)"""
 add("e10_directional_repair", lambda s, d: rounded(metrics.directional_repair(led(s, d), "clean_auc", "full_auc", "governed_auc"), [*KEY, "opportunity_class"], *_DR),
     _REPAIR + f" SELECT {_K}, CASE WHEN none THEN 'zero' ELSE 'nonzero' END AS opportunity_class, {_r(*_DR)} FROM rep")
-_FR = {
-    "fr1_residual": "same_side_residual > 0.1", "fr2_overcorrected": "overcorrection > 0.1", "fr3_distorted": "introduced_distortion > 0.01", "fr4_worse_than_full": "directional_repair < 0",
-    "fr5_utility_lost": "governed_auc < clean_auc - 0.2", "fr6_score_only": "directional_repair > 0 AND diagnostic_ap < 0.45",
-}
-add("e12_false_repair_flags", lambda s, d: L.scopes(metrics.directional_repair(led(s, d), "clean_auc", "full_auc", "governed_auc"), ["mechanism", "model"], [F.count("*").alias("n"), F.sum((F.col("opportunity_class") == "nonzero").cast("int")).alias("n_eligible"), *(F.sum(F.expr(f"CAST({c} AS INT)")).alias(k) for k, c in _FR.items())]),
-    _REPAIR + " " + " UNION ALL ".join(f"SELECT '{n}' AS scope, {lv} AS level, count(*) AS n, count(*) FILTER (NOT none) AS n_eligible, " + ", ".join(f"CAST(sum(CAST({c} AS INT)) AS BIGINT) AS {k}" for k, c in _FR.items()) + f" FROM rep {g}" for n, lv, g in (("overall", "'all'", ""), ("mechanism", "mechanism", "GROUP BY mechanism"), ("model", "model", "GROUP BY model"))))
 add("t11_flag_examples", lambda s, d: metrics.directional_repair(led(s, d), "clean_auc", "full_auc", "governed_auc").where("overcorrection > 0.1").withColumn("rank", F.row_number().over(Window.partitionBy("mechanism").orderBy(F.round("overcorrection", 6).desc(), *KEY))).where("rank <= 20").select(*KEY, "rank"),
     _REPAIR + f" SELECT {_K}, CAST(k AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY mechanism ORDER BY round(overcorrection, 6) DESC, {_K}) AS k FROM rep WHERE overcorrection > 0.1) WHERE k <= 20")
 # Columns that the panel and the ledger are made from, and one that a later release is to bring
