@@ -44,6 +44,14 @@ def localization(df: DataFrame, by: list[str], score: str = "score", truth: str
     return average_precision(df, by, score, truth).join(ranked, by)
 
 
+def pearson(x: str | Column, y: str | Column) -> Column:
+    """An aggregate: the correlation of x and y over rows that have both, null where either is constant (F.corr divides by zero there)."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.when(spread > 0, F.covar_pop(x, y) / spread)
+
+
 def losses(df: DataFrame, by: list[str], probability: str, label: str = "y", eps: float = 1e-15) -> DataFrame:
     p, y = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), F.col(probability))), F.col(label)
     return df.groupBy(*by).agg(F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("log_loss"), F.avg((F.col(probability) - y) * (F.col(probability) - y)).alias("brier"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldaudit.operators.metrics import pearson
+
 # The weight of a column's place in the life of a record; any other place weighs 0.5
 LIFECYCLE = {
     "prediction_time": 0.0, "pre_outcome": 0.0, "post_outcome": 1.0, "future_window": 1.0, "repayment": 0.8, "closed": 0.8,
@@ -28,7 +30,7 @@ def mutual_information(df: DataFrame, by: list[str], bins: int = 10) -> DataFram
 
 def correlation(df: DataFrame, by: list[str]) -> DataFrame:
     """by, corr: absolute correlation with y, 0 where it isn't defined."""
-    return df.groupBy(*by).agg(F.coalesce(F.nanvl(F.abs(F.corr("value", F.col("y").cast("double"))), F.lit(0.0)), F.lit(0.0)).alias("corr"))
+    return df.groupBy(*by).agg(F.coalesce(F.nanvl(F.abs(pearson("value", F.col("y").cast("double"))), F.lit(0.0)), F.lit(0.0)).alias("corr"))
 
 
 def min_max(column: str, by: list[str], constant: float = 0.5) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldaudit.functions.draws import pick, uniform
+from fieldaudit.operators.metrics import pearson
 
 
 def numbered(units: DataFrame, key: str, name: str = "unit") -> DataFrame:
@@ -130,7 +131,7 @@ def correlations(df: DataFrame, x: str, y: str, by: list[str] | None = None) ->
     by = by or []
     ranked = df.withColumns({"_x": average_rank(by, x), "_y": average_rank(by, y)})
     cos = F.sum(F.col(x) * F.col(y)) / F.sqrt(F.sum(F.col(x) * F.col(x)) * F.sum(F.col(y) * F.col(y)))
-    return ranked.groupBy(*by).agg(F.corr(x, y).alias("pearson"), F.corr("_x", "_y").alias("spearman"), cos.alias("cosine"))
+    return ranked.groupBy(*by).agg(pearson(x, y).alias("pearson"), pearson("_x", "_y").alias("spearman"), cos.alias("cosine"))
 
 
 def kendall(df: DataFrame, item: str, x: str, y: str) -> DataFrame:

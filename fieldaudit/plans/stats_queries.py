@@ -236,7 +236,7 @@ def _pearson_bootstrap(s, d):
     """Interval of the correlation over drawn cells of mechanism and model; draws without spread are skipped."""
     units = stats.numbered(_mech(s, d), "item")
     n = units.count()
-    c = stats.draws(s, REPS, n, S).join(F.broadcast(units), "unit").groupBy("rep").agg(F.corr("x", "h").alias("r")).where("r IS NOT NULL AND NOT isnan(r)")
+    c = stats.draws(s, REPS, n, S).join(F.broadcast(units), "unit").groupBy("rep").agg(metrics.pearson("x", "h").alias("r")).where("r IS NOT NULL AND NOT isnan(r)")
     return c.agg(F.round(F.percentile("r", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("r", F.lit(0.975)), 6).alias("high"))
 
 

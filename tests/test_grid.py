@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fieldaudit.operators import grid
+from fieldaudit.operators import grid, rankers, stats
 from fieldaudit.operators.ledger import GateError
 
 BASE, CELLS = ["a", "b"], [grid.Cell("M01", "S2", ["p"], ["p"]), grid.Cell("M09", "S2", ["q0", "q1"], ["q0", "q1"], "M09")]
@@ -81,3 +81,11 @@ def test_flags_of_false_repairs(spark):
     names = "dataset_id int, cell int, mechanism string, strength string, run string, strict_distance_reduction double, recall double, same_side_residual double, overcorrection double, legitimate_retention double, n_hit int, partial boolean"
     got = {r.dataset_id: [k for k in ("fr1", "fr2", "fr3", "fr4", "fr5", "fr6") if r[k]] for r in grid.false_repairs(spark.createDataFrame(rows, names)).collect()}
     assert got == {i: flags for i, (_, _, flags) in enumerate(cases.values())}
+
+
+def test_correlations_with_a_constant_side_are_null_or_0(spark):
+    df = spark.createDataFrame([("k", 1.0, 0, 2.0), ("k", 1.0, 1, 3.0), ("k", None, 1, 1.0), ("v", 1.0, 0, 5.0), ("v", 2.0, 1, 1.0), ("v", 4.0, 1, None), ("one", 3.0, 1, 2.0)], "feature_id string, value double, y int, z double")
+    got = {r.feature_id: r["corr"] for r in rankers.correlation(df, ["feature_id"]).collect()}
+    assert got["k"] == got["one"] == 0 and got["v"] == pytest.approx(0.7559289460184544)
+    both = {r.feature_id: r for r in stats.correlations(df.where("value IS NOT NULL AND z IS NOT NULL"), "value", "z", ["feature_id"]).collect()}
+    assert both["k"].pearson is None and both["one"].pearson is None and both["v"].pearson == pytest.approx(-1)
