@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldaudit.operators import models, policies
+from fieldaudit.plans import grid_queries
 from fieldaudit.plans.column_queries import COLUMNS, LEAKS, probed, scores
 from fieldaudit.plans.tables import FEATURES
 
@@ -41,4 +42,5 @@ QUERIES = {
     "d3_coefficient_rank": lambda s, d: models.coefficient_rank(_rows(s, d), COLUMNS),
     "d4_permutation_rank": lambda s, d: models.permutation_rank(_rows(s, d), COLUMNS),
     "g15_governance_matrix": governance,
+    "l5_evaluation_grid": lambda s, d: models.evaluation_grid(grid_queries.injected(s, d).checkpoint(), FEATURES, grid_queries.CELLS, ["lr"], ["dataset_id"]),
 }

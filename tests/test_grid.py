@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fieldaudit.operators import grid, rankers, stats
+from fieldaudit.operators import grid, models, rankers, stats
 from fieldaudit.operators.ledger import GateError
 
 BASE, CELLS = ["a", "b"], [grid.Cell("M01", "S2", ["p"], ["p"]), grid.Cell("M09", "S2", ["q0", "q1"], ["q0", "q1"], "M09")]
@@ -89,3 +89,22 @@ def test_correlations_with_a_constant_side_are_null_or_0(spark):
     assert got["k"] == got["one"] == 0 and got["v"] == pytest.approx(0.7559289460184544)
     both = {r.feature_id: r for r in stats.correlations(df.where("value IS NOT NULL AND z IS NOT NULL"), "value", "z", ["feature_id"]).collect()}
     assert both["k"].pearson is None and both["one"].pearson is None and both["v"].pearson == pytest.approx(-1)
+
+
+def test_fitted_grid_keeps_failures_as_rows(spark, made, monkeypatch):
+    rows = made[0]
+    df = spark.createDataFrame(rows, "dataset_id int, split string, y int, a double, b double, p double, q0 double, q1 double").checkpoint()
+    once, fits = models.fit, []
+
+    def fit(panel, columns, name, seed=1):
+        fits.append(columns)
+        return once(panel, [] if "q1" in columns else columns, name, seed)  # no columns: the fit fails
+
+    monkeypatch.setattr(models, "fit", fit)
+    got = {(r.dataset_id, r.mechanism): r for r in models.evaluation_grid(df, BASE, CELLS, ["lr"], ["dataset_id"]).collect()}
+    assert len(got) == 6 and fits == [BASE, [*BASE, "p"], [*BASE, "q0", "q1"]]  # one clean fit for both cells
+    for k in (1, 2):
+        good, bad = got[k, "M01"], got[k, "M09"]
+        assert good.status == "SUCCESS" and good.failure_reason is None and good.paired_harm == pytest.approx(good.full_auc - good.clean_auc) and good.paired_harm > 0
+        assert bad.status == "FAILURE" and bad.failure_reason and bad.clean_auc == good.clean_auc
+    assert got[0, "M01"].status == "FAILURE"
