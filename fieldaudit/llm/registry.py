@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldaudit.llm import ann, bpe, html_extract, near_dup, packing, quality_classifier, quality_rules, substring_dedup, url_filter, warc
+from fieldaudit.llm import ann, bpe, fill_middle, html_extract, near_dup, packing, periodic_runs, quality_classifier, quality_rules, secret_scan, substring_dedup, url_filter, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_quality_rules": quality_rules.query,
     "op9_bpe_roundtrip": bpe.query,
     "op10_quality_classifier": quality_classifier.query,
+    "op11_secret_scan": secret_scan.query,
+    "op12_periodic_runs": periodic_runs.query,
+    "op13_fill_in_middle": fill_middle.query,
 }
 
 ORACLE_SQL = {
     "op5_warc_revisits": warc.SQL,
     "op7_ngram_jaccard_join": near_dup.SQL,
     "op8_quality_rules": quality_rules.SQL,
+    "op13_fill_in_middle": fill_middle.SQL,
 }
