@@ -24,6 +24,71 @@ def positions(df: DataFrame, order: list[Column], bucket: Column, sums: dict[str
     return out.drop("_bucket", "_before", "_n", *(f"_{p}_{k}" for p in "xsb" for k in sums))
 
 
+#: Rows that are broadcast at most, of a few numbers each; larger sides are joined by a shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df (narrow and already computed) marked for broadcast if it has few enough rows, else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def parts(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df with _part, which never falls along the order: ranges of about equal counts, as many as shuffles have partitions.
+
+    Spark samples the ranges, so the result is checkpointed: every reader sees the same ones. Rows should differ in the order's columns, as
+    equal ones share a part.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+
+
+def _before(parted: DataFrame, by: list[str], rows: Column) -> DataFrame:
+    """by, _part, _rows, _before, _all: rows of each part of a group, of its earlier parts and of all of them. A group has at most as many rows here as there are parts."""
+    total = parted.groupBy(*by, "_part").agg(F.sum(rows).alias("_rows"))
+    along, whole = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
+    return total.select("*", F.coalesce(F.sum("_rows").over(along), F.lit(0)).alias("_before"), F.sum("_rows").over(whole).alias("_all"))
+
+
+def ranked(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """df with pos, from 1 within each group in an order without ties. Ranges of the order are numbered by themselves and moved on by the rows
+    before them, so neither a group nor a value of the order's first column has to fit in a task."""
+    one = by or ["_one"]
+    df = df if by else df.withColumn("_one", F.lit(1))
+    parted = parts(df, [*map(F.col, one), *order])
+    inner = parted.withColumn("_n", F.row_number().over(Window.partitionBy(*one, "_part").orderBy(*order)))
+    out = inner.join(_before(parted, one, F.lit(1)).drop("_rows", "_all"), [*one, "_part"]).withColumn("pos", F.col("_before") + F.col("_n")).drop("_part", "_n", "_before")
+    return out if by else out.drop("_one")
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, at: list[float]) -> DataFrame:
+    """by, q: exact quantiles of a column's values that aren't null, linear between neighbours, as an array in the order of at.
+
+    Different values are counted, put in ranges and ranked through the ranges' totals; only the ranges that hold a wanted rank are then
+    numbered. No buffer holds a group's values, and a value of very many rows is one row.
+    """
+    one = by or ["_one"]
+    df = df if by else df.withColumn("_one", F.lit(1))
+    flat = df.where(F.col(value).isNotNull()).groupBy(*one, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    parted = parts(flat, [*map(F.col, one), F.col("_v")])
+    before = _before(parted, one, F.col("_c"))
+    place = lambda p, end: end((F.col("_all") - 1) * F.lit(float(p))).cast("long")
+    wanted = F.array(*(F.struct(F.lit(2 * i + j).alias("k"), place(p, end).alias("r")) for i, p in enumerate(at) for j, end in enumerate((F.floor, F.ceil))))
+    asked = before.withColumn("_w", F.explode(F.filter(wanted, lambda w: (w["r"] >= F.col("_before")) & (w["r"] < F.col("_before") + F.col("_rows")))))
+    asked = asked.groupBy(*one, "_part").agg(F.first("_before").alias("_before"), F.first("_all").alias("_all"), F.collect_list("_w").alias("_w"))
+    inner = parted.join(asked, [*one, "_part"])
+    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(*one, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    hits = inner.withColumn("_to", upto).withColumn("_w", F.explode(F.filter("_w", lambda w: (w["r"] < F.col("_to")) & (w["r"] >= F.col("_to") - F.col("_c")))))
+    ends = hits.groupBy(*one).agg(F.first("_all").alias("_all"), F.map_from_entries(F.collect_list(F.struct("_w.k", "_v"))).alias("_m"))
+
+    def between(i: int, p: float) -> Column:
+        h = (F.col("_all") - 1) * F.lit(float(p))
+        low, high = F.element_at("_m", F.lit(2 * i)), F.element_at("_m", F.lit(2 * i + 1))
+        return F.when(low == high, low).otherwise((F.ceil(h) - h) * low + (h - F.floor(h)) * high)
+
+    return ends.select(*by, F.array(*(between(i, p) for i, p in enumerate(at))).alias("q"))
+
+
 def by_time(df: DataFrame, sums: dict[str, Column] | None = None, by: list[str] | None = None) -> DataFrame:
     """positions() in the order of (ts, row_id)."""
     return positions(df, [F.col("ts"), F.col("row_id")], F.to_date("ts"), sums, by)

@@ -53,14 +53,20 @@ def read_results(spark: SparkSession, path: str, schema: str, status: str = "COM
     return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path).where(F.col("status") == status)
 
 
-def choose_file(spark: SparkSession, path: str, suffixes: list[str]) -> str:
-    """The largest file at path; among equals that of the first suffix, then by name."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length")
-    rank = F.coalesce(*(F.when(F.col("path").endswith(x), F.lit(i)) for i, x in enumerate(suffixes)), F.lit(len(suffixes)))
-    first = files.orderBy(F.col("length").desc(), rank, "path").first()
-    if first is None:
-        raise GateError(f"no file at {path}")
-    return first.path
+def choose_file(spark: SparkSession, path: str, suffixes: list[str], like: str = "", first: tuple[str, ...] = ()) -> str:
+    """The file at path (folders below it included) whose name, in lower case, fits the pattern `like` and ends as one of suffixes.
+
+    Names in `first` come before others, in their order; then the largest file, then that of the first suffix, then by name. Only names and
+    sizes are read. No such file is an error.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    files = files.withColumn("_name", F.lower(F.element_at(F.split(F.url_decode("path"), "/"), -1)))
+    ends = F.coalesce(*(F.when(F.col("_name").endswith(x), F.lit(i)) for i, x in enumerate(suffixes)))
+    named = F.coalesce(*(F.when(F.col("_name") == x, F.lit(i)) for i, x in enumerate(first)), F.lit(len(first)))
+    best = files.where(ends.isNotNull() & F.col("_name").rlike(like)).orderBy(named, F.col("length").desc(), ends, "_name", "path").first()
+    if best is None:
+        raise GateError(f"no file at {path} ends as one of {suffixes} and fits {like!r}")
+    return best.path
 
 
 def lineage(spark: SparkSession, path: str) -> DataFrame:
