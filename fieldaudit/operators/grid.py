@@ -17,6 +17,8 @@ from fieldaudit.operators import metrics, policies
 #: What values and weights are multiplied with before they are rounded to whole numbers.
 VALUE, WEIGHT = 10**6, 10**9
 RUN = ["dataset_id", "cell", "run"]
+#: The cell of the run on base columns alone.
+BASE = -1
 LEAST = 1e-12
 
 
@@ -32,9 +34,15 @@ class Cell:
 
 
 def registry(spark: SparkSession, base: list[str], cells: list[Cell]) -> DataFrame:
-    """cell (its place), mechanism, strength, feature_id, position, is_leak, group_id: the columns of each cell, base first."""
-    rows = [(k, c.mechanism, c.strength, f, i, f in c.leaks, c.group if f in c.columns else None) for k, c in enumerate(cells) for i, f in enumerate([*base, *c.columns])]
-    return spark.createDataFrame(rows, "cell int, mechanism string, strength string, feature_id string, position int, is_leak boolean, group_id string")
+    """cell (its place), mechanism, strength, feature_id, position, is_leak, group_id, own_strict: the columns of each cell, base first.
+
+    own_strict: the cell adds a sound column, which its strict view keeps, so it has a strict run of its own; the others share that of the base.
+    """
+    rows = [
+        (k, c.mechanism, c.strength, f, i, f in c.leaks, c.group if f in c.columns else None, len(c.leaks) < len(c.columns))
+        for k, c in enumerate(cells) for i, f in enumerate([*base, *c.columns])
+    ]
+    return spark.createDataFrame(rows, "cell int, mechanism string, strength string, feature_id string, position int, is_leak boolean, group_id string, own_strict boolean")
 
 
 def fitted(train: DataFrame) -> DataFrame:
@@ -46,11 +54,13 @@ def fitted(train: DataFrame) -> DataFrame:
     return out.select("dataset_id", "feature_id", F.coalesce(weight, F.lit(0)).alias("weight"), F.coalesce(correlation, F.lit(0.0)).alias("score"))
 
 
-def selections(columns: DataFrame, share: float, seeds: list[int]) -> DataFrame:
-    """columns (dataset_id, cell, registry, weight, score) by run, with removed: strict (once for all cells: leaks go), full, p3 (the budget
-    by score) and p2_<seed> (the same budget by chance)."""
+def selections(columns: DataFrame, share: float, seeds: list[int], n_base: int) -> DataFrame:
+    """columns (dataset_id, cell, registry, weight, score) by run, with removed: strict (leaks go; base columns alone as cell BASE, once for
+    all cells that keep nothing of their own, and a run for each cell that does), full, p3 (the budget by score) and p2_<seed> (the same budget
+    by chance)."""
     by = ["dataset_id", "cell"]
-    runs = {"strict": policies.oracle(columns.where("cell = 0")), "full": policies.keep_all(columns), "p3": policies.fields(columns, by, share)}
+    base = columns.where("cell = 0").withColumns({"cell": F.lit(BASE), "is_leak": F.col("is_leak") | (F.col("position") >= F.lit(n_base))})
+    runs = {"strict": policies.oracle(base.unionByName(columns.where("own_strict"))), "full": policies.keep_all(columns), "p3": policies.fields(columns, by, share)}
     runs |= {f"p2_{k}": policies.random(columns, by, share, k) for k in seeds}
     out = None
     for name, df in runs.items():
@@ -74,7 +84,7 @@ def areas(rows: DataFrame, chosen: DataFrame, base: list[str], cells: list[Cell]
     for i in range(len(base)):
         score = score + F.get("_w", F.lit(i)) * F.get("_x", F.lit(i))
     for j in range(widest):
-        score = score + F.coalesce(F.get("_w", F.lit(len(base) + j)) * F.get(F.get("_own", F.col("cell")), F.lit(j)), F.lit(0))
+        score = score + F.coalesce(F.get("_w", F.lit(len(base) + j)) * F.get(F.get("_own", F.greatest("cell", F.lit(0))), F.lit(j)), F.lit(0))
     return metrics.auroc(x.join(weights, "dataset_id").select(*RUN, "y", score.alias("score")), RUN, "score").select(*RUN, "auroc")
 
 
@@ -82,11 +92,14 @@ def ledger(auc: DataFrame, columns: DataFrame) -> DataFrame:
     """One row per dataset and cell: clean_auc, full_auc, paired_harm, diagnostic_ap, top_k_recall, n_leak and status; a cell without an area
     (a class is missing among its rows) stays, as FAILURE."""
     by = ["dataset_id", "cell"]
-    clean = auc.where("run = 'strict'").select("dataset_id", F.col("auroc").alias("clean_auc"))
+    strict = auc.where("run = 'strict'")
+    clean, own = strict.where(F.col("cell") == BASE).select("dataset_id", F.col("auroc").alias("_base")), strict.where(F.col("cell") != BASE).select(*by, F.col("auroc").alias("_own"))
     full = auc.where("run = 'full'").select(*by, F.col("auroc").alias("full_auc"))
     found = metrics.localization(columns, by).select(*by, F.col("ap").alias("diagnostic_ap"), "top_k_recall", F.col("n_true").alias("n_leak"))
-    names = columns.select("cell", "mechanism", "strength").distinct()
-    out = found.join(full, by, "left").join(clean, "dataset_id", "left").join(F.broadcast(names), "cell").withColumn("paired_harm", F.col("full_auc") - F.col("clean_auc"))
+    names = columns.select("cell", "mechanism", "strength", "own_strict").distinct()
+    out = found.join(full, by, "left").join(clean, "dataset_id", "left").join(own, by, "left").join(F.broadcast(names), "cell")
+    out = out.withColumn("clean_auc", F.when(F.col("own_strict"), F.col("_own")).otherwise(F.col("_base"))).drop("_own", "_base", "own_strict")
+    out = out.withColumn("paired_harm", F.col("full_auc") - F.col("clean_auc"))
     return out.withColumn("status", F.when(F.col("paired_harm").isNull(), "FAILURE").otherwise("SUCCESS"))
 
 

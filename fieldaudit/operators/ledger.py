@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldaudit.operators.order import quantiles
+
 
 class GateError(ValueError):
     """A table doesn't hold what an operator needs."""
@@ -113,14 +115,21 @@ def average_rank(by: list[str], value: str) -> Column:
 
 def quantile_bin(df: DataFrame, value: str, bins: int = 4) -> DataFrame:
     """df with bin 0.. by edges between quantiles, each bin with its upper edge."""
-    edges = df.agg(F.percentile(value, F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("_e"))
+    edges = quantiles(df, [], value, [i / bins for i in range(1, bins)]).withColumnRenamed("q", "_e")
     return df.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("_e", lambda e: e < F.col(value)))).drop("_e")
 
 
-def scopes(df: DataFrame, factors: list[str], aggregates: list[Column]) -> DataFrame:
-    """scope, level and aggregates: over all rows, and over each level of each factor, in one pass (grouping sets)."""
-    each = F.explode(F.array(F.struct(F.lit("overall").alias("scope"), F.lit("all").alias("level")), *(F.struct(F.lit(f).alias("scope"), F.col(f).cast("string").alias("level")) for f in factors)))
-    return df.withColumn("_s", each).groupBy("_s.scope", "_s.level").agg(*aggregates)
+def scopes(df: DataFrame, factors: list[str], sums: dict[str, Column]) -> DataFrame:
+    """scope, level, n and sums: over all rows, and over each level of each factor.
+
+    Rows are first summed by all factors together; grouping sets then expand those sums, one row each, and not the rows.
+    """
+    cells = df.select(*(F.col(f).cast("string").alias(f) for f in factors), *(c.alias(k) for k, c in sums.items())).groupBy(*factors).agg(F.count("*").alias("n"), *(F.sum(k).alias(k) for k in sums))
+    out = cells.groupingSets([[], *([f] for f in factors)], *factors).agg(F.grouping_id(*factors).alias("_g"), F.sum("n").alias("n"), *(F.sum(k).alias(k) for k in sums))
+    left = [2 ** len(factors) - 1 - 2 ** (len(factors) - 1 - i) for i in range(len(factors))]  # grouping_id's bits are set for factors summed over
+    pick = lambda of: F.coalesce(*(F.when(F.col("_g") == g, of(f)) for g, f in zip(left, factors)))
+    whole = F.col("_g") == 2 ** len(factors) - 1
+    return out.select(F.when(whole, F.lit("overall")).otherwise(pick(F.lit)).alias("scope"), F.when(whole, F.lit("all")).otherwise(pick(F.col)).alias("level"), "n", *sums)
 
 
 def not_finite(df: DataFrame, columns: list[str]) -> DataFrame:

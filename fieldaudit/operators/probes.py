@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldaudit.functions.draws import normal, uniform
-from fieldaudit.operators.order import by_hash, by_time, with_count
+from fieldaudit.operators.order import by_hash, by_time, quantiles, with_count
 
 NOISE = 0.1
 #: A panel with this column has its priors already: loo_prior(df, PRIOR) once, and probes after it don't aggregate the panel again.
@@ -42,7 +42,7 @@ def noisy_proxy(df: DataFrame, strength: float, seed: int, name: str = "m02", st
 
 def interaction(df: DataFrame, strength: float, seed: int, feature: str) -> DataFrame:
     """The label with its sign turned where the feature is below its median."""
-    mid = df.agg(F.percentile(F.col(feature), F.lit(0.5)).alias("_mid"))
+    mid = quantiles(df, [], feature, [0.5]).select(F.get("q", F.lit(0)).alias("_mid"))
     side = F.when(F.col(feature) >= F.col("_mid"), F.lit(1.0)).otherwise(F.lit(-1.0))
     return df.crossJoin(F.broadcast(mid)).withColumn("m03", F.lit(strength) * (2 * F.col("y") - 1) * side + noise("m03", seed)).drop("_mid")
 

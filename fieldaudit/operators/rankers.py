@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldaudit.operators.metrics import pearson
+from fieldaudit.operators.order import quantiles
 
 # The weight of a column's place in the life of a record; any other place weighs 0.5
 LIFECYCLE = {
@@ -19,7 +20,7 @@ def mutual_information(df: DataFrame, by: list[str], bins: int = 10) -> DataFram
 
     A different estimator from those by nearest neighbours: values differ, the order of columns is what it is for.
     """
-    edges = df.groupBy(*by).agg(F.percentile("value", F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("_e"))
+    edges = quantiles(df, by, "value", [i / bins for i in range(1, bins)]).withColumnRenamed("q", "_e")
     placed = df.join(edges, by).withColumn("_b", F.size(F.filter("_e", lambda e: e < F.col("value"))))
     joint = placed.groupBy(*by, "_b", "y").agg(F.count("*").cast("double").alias("_n"))
     all_, of_b, of_y = Window.partitionBy(*by), Window.partitionBy(*by, "_b"), Window.partitionBy(*by, "y")

@@ -15,6 +15,8 @@ from fieldaudit.plans.tables import FEATURES, PANEL, melted, melted_sql, panel,
 QUERIES, ORACLE = {}, {}
 # Two of the protocol's strengths
 STRENGTHS = {"S2": 0.3, "S4": 0.7}
+# The kinds of dataset, in turn by number
+ARCHETYPES = ("linear", "interaction", "nonlinear", "sparse", "drifting")
 SHARE, SEEDS = 0.25, [1, 2, 3]
 _PARTS = {"M01": ["m01"], "M02": ["m02"], "M04": ["m04"], "M06": ["m06_0", "m06_1", "m06_2"], "M07": ["m07"], "M09": ["m09_0", "m09_1", "m09_2", "m09_3"], "M10": ["m10_copy", "m10"], "M11": ["m11_0", "m11_1", "m11_2"]}
 CELLS = [grid.Cell(m, s, [f"{c}_{s}" for c in own], [f"{c}_{s}" for c in own if c != "m10_copy"], m if len(own) > 1 else None) for m, own in _PARTS.items() for s in STRENGTHS]
@@ -43,7 +45,7 @@ def book(s, d):
     rows = injected(s, d).checkpoint()
     fit = grid.fitted(melted(rows.where("split = 'train'"), [*FEATURES, *ADDED], ["dataset_id", "y"]))
     columns = fit.join(F.broadcast(grid.registry(s, FEATURES, CELLS)), "feature_id").checkpoint()
-    chosen = grid.selections(columns, SHARE, SEEDS).checkpoint()
+    chosen = grid.selections(columns, SHARE, SEEDS, len(FEATURES)).checkpoint()
     return columns, chosen, grid.areas(rows.where("split = 'test'"), chosen, FEATURES, CELLS).checkpoint()
 
 
@@ -80,7 +82,8 @@ gl AS ({melted_sql("wide", [*FEATURES, *ADDED], "dataset_id, row_id, split, y")}
 ft AS (SELECT dataset_id, feature_id, avg(value) FILTER (y = 1) AS a, avg(value) FILTER (y = 0) AS b, var_pop(value) AS v, corr(value, y) AS c FROM gl WHERE split = 'train' GROUP BY ALL),
 cc AS (SELECT dataset_id, r.*, coalesce(CAST(CASE WHEN v > 1e-12 THEN round((a - b) / v * {grid.WEIGHT}) END AS BIGINT), 0) AS weight, CASE WHEN v > 1e-12 THEN coalesce(round(abs(c), 6), 0) ELSE 0 END AS score
        FROM (SELECT * FROM (VALUES {_CELLS}) t(cell, mechanism, strength, feature_id, position, is_leak, group_id)) r JOIN ft USING (feature_id)),
-se AS (SELECT *, 'strict' AS run, is_leak AS removed FROM cc WHERE cell = 0 UNION ALL SELECT *, 'full', false FROM cc
+se AS (SELECT * REPLACE (-1 AS cell), 'strict' AS run, position >= {len(FEATURES)} AS removed FROM cc WHERE cell = 0
+       UNION ALL SELECT *, 'strict', is_leak FROM cc WHERE mechanism = 'M10' UNION ALL SELECT *, 'full', false FROM cc
        UNION ALL SELECT *, 'p3', row_number() OVER ({_BY} ORDER BY score DESC, position DESC) <= {_K} FROM cc
        {" ".join(f"UNION ALL SELECT *, 'p2_{k}', row_number() OVER ({_BY} ORDER BY md5('{k}|' || dataset_id || '|' || cell || '|' || feature_id), feature_id) <= {_K} FROM cc" for k in SEEDS)}),
 lin AS (SELECT dataset_id, cell, run, row_id, any_value(y) AS y, sum(CASE WHEN removed THEN 0 ELSE weight END * CAST(round(value * {grid.VALUE}) AS BIGINT)) AS s FROM gl JOIN se USING (dataset_id, feature_id) WHERE split = 'test' GROUP BY ALL),
@@ -91,8 +94,9 @@ fl AS (SELECT dataset_id, cell, score, count(*) AS n, sum(CAST(is_leak AS INT))
 hp AS (SELECT *, t * sum(t) OVER w / CAST(sum(n) OVER w AS DOUBLE) AS h FROM fl WINDOW w AS ({_BY} ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
 ap AS (SELECT dataset_id, cell, sum(t) AS n_leak, sum(h) / sum(t) AS diagnostic_ap FROM hp GROUP BY ALL),
 tk AS (SELECT dataset_id, cell, mechanism, strength, count(*) FILTER (is_leak AND k <= 5) / CAST(count(*) FILTER (is_leak) AS DOUBLE) AS top_k_recall FROM (SELECT *, row_number() OVER ({_BY} ORDER BY score DESC, position DESC) AS k FROM cc) GROUP BY ALL),
-bk AS (SELECT *, full_auc - clean_auc AS paired_harm FROM tk JOIN ap USING (dataset_id, cell) LEFT JOIN (SELECT dataset_id, cell, auroc AS full_auc FROM auc WHERE run = 'full') USING (dataset_id, cell)
-       LEFT JOIN (SELECT dataset_id, auroc AS clean_auc FROM auc WHERE run = 'strict') USING (dataset_id)),
+bk AS (SELECT *, CASE WHEN mechanism = 'M10' THEN own_auc ELSE base_auc END AS clean_auc, full_auc - clean_auc AS paired_harm FROM tk JOIN ap USING (dataset_id, cell) LEFT JOIN (SELECT dataset_id, cell, auroc AS full_auc FROM auc WHERE run = 'full') USING (dataset_id, cell)
+       LEFT JOIN (SELECT dataset_id, auroc AS base_auc FROM auc WHERE run = 'strict' AND cell = -1) USING (dataset_id)
+       LEFT JOIN (SELECT dataset_id, cell, auroc AS own_auc FROM auc WHERE run = 'strict' AND cell >= 0) USING (dataset_id, cell)),
 rm AS (SELECT dataset_id, cell, run, count(*) FILTER (removed AND is_leak) AS n_hit, count(*) FILTER (removed AND is_leak) / CAST(count(*) FILTER (is_leak) AS DOUBLE) AS recall,
               count(*) FILTER (removed AND is_leak) / CAST(count(*) FILTER (removed) AS DOUBLE) AS deletion_precision, count(*) FILTER (NOT removed AND NOT is_leak) / CAST(count(*) FILTER (NOT is_leak) AS DOUBLE) AS legitimate_retention,
               count(*) FILTER (removed AND group_id IS NOT NULL) BETWEEN 1 AND count(group_id) - 1 AS partial FROM se WHERE run LIKE 'p%' GROUP BY ALL),
@@ -134,13 +138,15 @@ add("e12_false_repair_audit", lambda s, d: grid.false_repairs(_repairs(s, d)).se
 
 
 def _flag_counts(s, d):
-    """Counts of each flag and of the keys where it could arise: over all keys, per mechanism and per strength."""
+    """Counts of each flag and of the keys where it could arise: over all keys, per mechanism, per strength and per archetype of dataset."""
     flagged = grid.false_repairs(_repairs(s, d)).withColumn("gain_grouped", F.col("gain") & (F.col("mechanism") == "M09"))
-    return L.scopes(flagged, ["mechanism", "strength"], [F.count("*").alias("n"), *(F.sum(F.coalesce(F.col(c), F.lit(False)).cast("int")).alias(c) for c in [*_FLAGS, "gain_grouped"])])
+    flagged = flagged.withColumn("archetype", F.element_at(F.array(*map(F.lit, ARCHETYPES)), F.pmod("dataset_id", F.lit(len(ARCHETYPES))) + 1))
+    return L.scopes(flagged, ["mechanism", "strength", "archetype"], {c: F.coalesce(F.col(c), F.lit(False)).cast("int") for c in [*_FLAGS, "gain_grouped"]})
 
 
+_ARCHETYPE = f"{list(ARCHETYPES)}[dataset_id % 5 + 1]"
 _SUMS = ", ".join(f"count(*) FILTER ({c}) AS {c}" for c in _FLAGS) + ", count(*) FILTER (gain AND mechanism = 'M09') AS gain_grouped"
-add("e12_false_repair_flags", _flag_counts, " UNION ALL ".join(f"SELECT '{n}' AS scope, {lv} AS level, count(*) AS n, {_SUMS} FROM fr {g}" for n, lv, g in (("overall", "'all'", ""), ("mechanism", "mechanism", "GROUP BY mechanism"), ("strength", "strength", "GROUP BY strength"))))
+add("e12_false_repair_flags", _flag_counts, " UNION ALL ".join(f"SELECT '{n}' AS scope, {lv} AS level, count(*) AS n, {_SUMS} FROM fr {g}" for n, lv, g in (("overall", "'all'", ""), ("mechanism", "mechanism", "GROUP BY mechanism"), ("strength", "strength", "GROUP BY strength"), ("archetype", _ARCHETYPE, "GROUP BY dataset_id % 5"))))
 add("g16_baseline", lambda s, d: rounded(grid.baseline(_repairs(s, d)), KEY, "clean_auc", "full_auc"), f"SELECT dataset_id, mechanism, strength, {_r('clean_auc', 'full_auc')} FROM rp WHERE run = 'p3'")
 add("e6_grid_harm", lambda s, d: rounded(_ledger(s, d).groupBy("mechanism", "strength").agg(F.count("paired_harm").alias("n"), F.avg("paired_harm").alias("harm"), F.avg((F.col("paired_harm") > 0.01).cast("int")).alias("harm_rate"), F.avg("diagnostic_ap").alias("detectability"), F.avg(metrics.exploitation_ratio(F.col("full_auc"), F.col("clean_auc"))).alias("exploitation")), ["mechanism", "strength", "n"], "harm", "harm_rate", "detectability", "exploitation"),
     """SELECT mechanism, strength, count(paired_harm) AS n, round(avg(paired_harm), 6) AS harm, round(avg(CAST(paired_harm > 0.01 AS INT)), 6) AS harm_rate, round(avg(diagnostic_ap), 6) AS detectability,

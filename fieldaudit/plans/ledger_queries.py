@@ -94,7 +94,7 @@ add("a7_two_stage_mean", lambda s, d: rounded(L.two_stage_mean(led(s, d), ["data
 add("a8_seed_coverage", lambda s, d: led(s, d).groupBy("dataset_id").agg(F.countDistinct("mechanism", "model", "seed").alias("n_combinations")), "SELECT dataset_id, count(DISTINCT (mechanism, model, seed)) AS n_combinations FROM ledger GROUP BY 1")
 add("a9_extreme_labels", lambda s, d: led(s, d).groupBy("mechanism", "model").agg(F.round(F.avg("paired_harm"), 6).alias("m")).groupBy("mechanism").agg(F.max_by("model", F.struct("m", "model")).alias("worst"), F.min_by("model", F.struct("m", "model")).alias("best")),
     """, m AS (SELECT mechanism, model, round(avg(paired_harm), 6) AS m FROM ledger GROUP BY ALL) SELECT mechanism, arg_max(model, (m, model)) AS worst, arg_min(model, (m, model)) AS best FROM m GROUP BY mechanism""")
-add("a11_scopes", lambda s, d: L.scopes(led(s, d), ["mechanism", "model", "strength"], [F.count("*").alias("n"), F.round(F.avg("paired_harm"), 6).alias("mean")]),
+add("a11_scopes", lambda s, d: L.scopes(led(s, d), ["mechanism", "model", "strength"], {"mean": F.col("paired_harm")}).withColumn("mean", F.round(F.col("mean") / F.col("n"), 6)),
     "SELECT 'overall' AS scope, 'all' AS level, count(*) AS n, round(avg(paired_harm), 6) AS mean FROM ledger " + " ".join(f"UNION ALL SELECT '{c}', CAST({c} AS VARCHAR), count(*), round(avg(paired_harm), 6) FROM ledger GROUP BY {c}" for c in ("mechanism", "model", "strength")))
 add("a12_leave_one_out", lambda s, d: rounded(L.leave_one_out(led(s, d), "dataset_id", "paired_harm"), ["left_out", "n"], "mean"),
     "SELECT l.left_out, count(*) AS n, round(avg(paired_harm), 6) AS mean FROM ledger, (SELECT DISTINCT dataset_id AS left_out FROM ledger) l WHERE dataset_id <> l.left_out GROUP BY 1")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldaudit.operators import order, probes
+from fieldaudit.operators import neighbours, order, probes
 from fieldaudit.plans.tables import FEATURES, PANEL, melted, melted_sql, normal_sql, panel, u_sql
 
 S = 7  # seed
@@ -145,26 +145,28 @@ add("s12_table_digest", lambda s, d: __import__("fieldaudit.operators.ledger", f
     """SELECT dataset_id, count(*) AS n, CAST(sum(CAST('0x' || substr(sha256(concat_ws('|', row_id, entity_id, source_id, y)), 1, 10) AS BIGINT)) AS BIGINT) AS digest FROM panel GROUP BY 1""")
 
 
-def neighbours(s, d, k=5):
-    """Each vector of an id divisible by 10 and its k nearest of the others, by exact distance: queries against all rows, in blocks."""
-    from pyspark.sql import Window
-
+def _vectors(s, d):
     from fieldaudit.plans.tables import read
 
-    e = read(s, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    q = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("q_id"), F.col("label").alias("q_label"), F.col("v").alias("q"))
-    n = max(1, -(-q.count() // 500))  # blocks of about 500 queries
-    blocks = q.groupBy(F.pmod(F.xxhash64("q_id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("q_id", "q_label", "q")).alias("qs"))
-    dealt = e.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(blocks, "block").select("vec_id", "label", "v", F.explode("qs").alias("x")).where("vec_id <> x.q_id")
-    dist = F.round(F.aggregate(F.zip_with("v", "x.q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, t: a + t), 9)
-    rank = F.row_number().over(Window.partitionBy("q_id").orderBy("dist", "vec_id"))
-    return dealt.select(F.col("x.q_id").alias("q_id"), F.col("x.q_label").alias("q_label"), "vec_id", "label", dist.alias("dist")).withColumn("rank", rank).where(F.col("rank") <= k)
+    return read(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"))
+
+
+def _vote(s, d):
+    """For each vector of an id divisible by 10, the vote of its five nearest of the others for its own label."""
+    e = _vectors(s, d)
+    near = neighbours.nearest(e.where("id % 10 = 0"), e, 5)
+    return neighbours.votes(near, e, F.col("q_label")).select("q_id", F.round("vote", 6).alias("vote"))
+
+
+def _purity(s, d):
+    """How often the nearest vector, and the five nearest, have the label of a vector: over all vectors."""
+    e = _vectors(s, d)
+    return neighbours.purity(neighbours.nearest(e, e, 5), e, [1, 5]).select(F.round("purity_1", 6).alias("purity_1"), F.round("purity_5", 6).alias("purity_5"))
 
 
 _KNN = """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT q.vec_id AS q_id, q.label AS q_label, e.vec_id, e.label,
-    round(list_sum(list_transform(range(1, len(e.v) + 1), lambda i: (e.v[i] - q.v[i]) * (e.v[i] - q.v[i]))), 9) AS dist FROM e q JOIN e ON q.vec_id % 10 = 0 AND e.vec_id <> q.vec_id),
+    round(list_sum(list_transform(range(1, len(e.v) + 1), lambda i: (e.v[i] - q.v[i]) * (e.v[i] - q.v[i]))), 9) AS dist FROM e q JOIN e ON {which} AND e.vec_id <> q.vec_id),
     r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY dist, vec_id) AS rank FROM p QUALIFY rank <= 5)"""
-QUERIES["j11_neighbour_join"] = lambda s, d: neighbours(s, d).groupBy("q_id").agg(F.round(F.sum((F.col("label") == F.col("q_label")).cast("int") / (F.sqrt("dist") + 1e-9)) / F.sum(1 / (F.sqrt("dist") + 1e-9)), 6).alias("vote"))
-ORACLE["j11_neighbour_join"] = _KNN + " SELECT q_id, round(sum(CAST(label = q_label AS INT) / (sqrt(dist) + 1e-9)) / sum(1 / (sqrt(dist) + 1e-9)), 6) AS vote FROM r GROUP BY q_id"
-QUERIES["j12_neighbour_purity"] = lambda s, d: neighbours(s, d).agg(F.round(F.avg(F.when(F.col("rank") == 1, (F.col("label") == F.col("q_label")).cast("int"))), 6).alias("purity_1"), F.round(F.avg((F.col("label") == F.col("q_label")).cast("int")), 6).alias("purity_5"))
-ORACLE["j12_neighbour_purity"] = _KNN + " SELECT round(avg(CAST(label = q_label AS INT)) FILTER (rank = 1), 6) AS purity_1, round(avg(CAST(label = q_label AS INT)), 6) AS purity_5 FROM r"
+QUERIES["j11_neighbour_join"], QUERIES["j12_neighbour_purity"] = _vote, _purity
+ORACLE["j11_neighbour_join"] = _KNN.format(which="q.vec_id % 10 = 0") + " SELECT q_id, round(sum(CAST(label = q_label AS INT) / (sqrt(dist) + 1e-9)) / sum(1 / (sqrt(dist) + 1e-9)), 6) AS vote FROM r GROUP BY q_id"
+ORACLE["j12_neighbour_purity"] = _KNN.format(which="true") + " SELECT round(avg(CAST(label = q_label AS INT)) FILTER (rank = 1), 6) AS purity_1, round(avg(CAST(label = q_label AS INT)), 6) AS purity_5 FROM r"
