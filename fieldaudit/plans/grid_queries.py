@@ -37,7 +37,7 @@ def injected(s, d):
         p = p.withColumn("m04", prior + F.lit(x) * (F.coalesce("_f", prior) - prior) + probes.noise("m04", S))
         p = probes.compose(p, *(lambda q, f=f, x=x: f(q, x, S) for f in simple), lambda q, x=x: probes.mixed_group(q, x, S, "x_quantity"))
         p = p.select("row_id", "dataset_id", "split", "y", "_f", probes.PRIOR, probes.PLACE, *FEATURES, *(c for c in ADDED if c in p.columns), *(F.round(F.col(c).cast("double"), 6).alias(f"{c}_{name}") for c in made))
-    return p.select("dataset_id", "split", "y", *FEATURES, *ADDED)
+    return p.select("row_id", "dataset_id", "split", "y", *FEATURES, *ADDED)
 
 
 def book(s, d):

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from fieldaudit.operators import models, policies
+from fieldaudit.operators import models
 from fieldaudit.plans import grid_queries
-from fieldaudit.plans.column_queries import COLUMNS, LEAKS, probed, scores
+from fieldaudit.plans.column_queries import COLUMNS, LEAKS, probed
 from fieldaudit.plans.tables import FEATURES
 
 ORACLE: dict[str, str] = {}
@@ -21,26 +19,11 @@ def _paired(name):
     return lambda s, d: models.paired_scores(_rows(s, d), FEATURES, list(LEAKS), name, ["dataset_id"])
 
 
-def governance(s, d):
-    """Strict, full and governed areas under the curve of one learner for the removal that a field budget makes of the pooled ranking."""
-    rows = _rows(s, d)
-    pooled = scores(s, d).groupBy("feature_id", "position").agg(F.avg("score").alias("score")).withColumn("cell", F.lit(0))
-    chosen = policies.fields(pooled, ["cell"], 0.25).where("NOT removed").orderBy("position")
-    kept = [r.feature_id for r in chosen.select("feature_id", "position").collect()]  # names of columns, as many as the panel has
-    views = {"strict": FEATURES, "full": COLUMNS, "governed": kept}
-    out = None
-    for view, columns in views.items():
-        auc = models.paired_scores(rows, columns, [], "lr", []).select(F.lit(view).alias("view"), F.col("clean_auc").alias("auroc"), F.lit(len(columns)).alias("n_columns"))
-        out = auc if out is None else out.union(auc)
-    return out
-
-
 QUERIES = {
     "l1_logistic_scores": _paired("lr"),
     "l2_forest_scores": _paired("rf"),
     "l3_boosted_scores": _paired("gbt"),
     "d3_coefficient_rank": lambda s, d: models.coefficient_rank(_rows(s, d), COLUMNS),
     "d4_permutation_rank": lambda s, d: models.permutation_rank(_rows(s, d), COLUMNS),
-    "g15_governance_matrix": governance,
     "l5_evaluation_grid": lambda s, d: models.evaluation_grid(grid_queries.injected(s, d).checkpoint(), FEATURES, grid_queries.CELLS, ["lr"], ["dataset_id"]),
 }

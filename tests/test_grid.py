@@ -29,7 +29,7 @@ def made(spark):
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("feature_id"), F.col(c).alias("value")) for c in ALL)))
     long = df.where("split = 'train'").select("dataset_id", "y", each.alias("f")).select("dataset_id", "y", "f.*")
     columns = grid.fitted(long).join(grid.registry(spark, BASE, CELLS), "feature_id").checkpoint()
-    chosen = grid.selections(columns, 0.25, [1, 2]).checkpoint()
+    chosen = grid.selections(columns, 0.25, [1, 2], len(BASE)).checkpoint()
     return rows, columns, chosen, grid.areas(df.where("split = 'test'"), chosen, BASE, CELLS).checkpoint()
 
 

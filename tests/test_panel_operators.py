@@ -164,3 +164,21 @@ def test_halved_sign_flip_is_exact_and_whole_queries_read_every_dataset(spark):
         want[d, rep] = area[0] - area[1]
     got = {(x.dataset_id, x.rep): x.effect for x in plans.stats_queries.auc_effects(p, weights).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_blocks_of_neighbours_match_all_pairs(spark):
+    import numpy as np
+
+    from fieldaudit.operators import neighbours
+
+    rng = np.random.default_rng(4)
+    v = rng.integers(0, 4, (120, 5)).astype(float)  # many equal distances
+    rows = [(i, [float(x) for x in v[i]], int(i % 3)) for i in range(120)] + [(500, None, 0)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, label int")
+    near = neighbours.nearest(df.where("id % 4 = 0"), df, 7, queries_a_block=9, points_a_block=17)
+    want = {(q, i, k + 1) for q in range(0, 120, 4) for k, i in enumerate(sorted((j for j in range(120) if j != q), key=lambda j: (((v[q] - v[j]) ** 2).sum(), j))[:7])}
+    assert {(r.q_id, r.id, r.rank) for r in near.collect()} == want
+    few = neighbours.nearest(df.where("id < 2"), df.where("id < 3"), 7)
+    assert sorted((r.q_id, r.id) for r in few.collect()) == [(0, 1), (0, 2), (1, 0), (1, 2)] or few.count() == 4
+    told = neighbours.purity(near, df, [1, 7]).first()
+    assert told.purity_7 == pytest.approx(np.mean([i % 3 == q % 3 for q, i, _ in want]))
