@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldaudit.operators.ledger import GateError
+from fieldaudit.operators.order import quantiles, ranked, small
 
 
 def binary_label(text: Column, yes: list[str], no: list[str]) -> Column:
@@ -45,11 +46,29 @@ def factor_filter(df: DataFrame, column: str, choice: str | list, universe: list
 
 def train_codes(df: DataFrame, column: str, split: str = "split") -> DataFrame:
     """df with column_code: the place of a value among the sorted values of train rows, -2 for others, -1 for null."""
-    seen = df.where((F.col(split) == "train") & F.col(column).isNotNull()).select(column).distinct()
-    seen = seen.withColumn("_code", F.dense_rank().over(Window.orderBy(column)) - 1)
+    seen = ranked(df.where((F.col(split) == "train") & F.col(column).isNotNull()).select(column).distinct(), [], [F.col(column)])
+    seen = small(seen.withColumn("_code", F.col("pos") - 1).drop("pos"))
     return df.join(seen, column, "left").withColumn(f"{column}_code", F.when(F.col(column).isNull(), -1).otherwise(F.coalesce("_code", F.lit(-2)))).drop("_code")
 
 
+def train_medians(df: DataFrame, columns: list[str], split: str = "split") -> DataFrame:
+    """feature_id, median, n_missing: of each column's train rows; 0 for a column without a value. Null and NaN are missing."""
+    number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None))
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("feature_id"), number(c).alias("value")) for c in columns))).alias("_e")
+    long = df.where(F.col(split) == "train").select(each).select("_e.*")
+    middle = quantiles(long, ["feature_id"], "value", [0.5]).select("feature_id", F.get("q", F.lit(0)).alias("median"))
+    count = long.groupBy("feature_id").agg(F.sum(F.col("value").isNull().cast("long")).alias("n_missing"))
+    return count.join(middle, "feature_id", "left").select("feature_id", F.coalesce("median", F.lit(0.0)).alias("median"), "n_missing")
+
+
+def imputed(df: DataFrame, columns: list[str], split: str = "split") -> DataFrame:
+    """df with the missing numbers of the columns replaced by train_medians(): one row of medians, broadcast."""
+    wide = train_medians(df, columns, split).groupBy().pivot("feature_id", columns).agg(F.first("median"))
+    row = wide.select(*(F.coalesce(F.col(f"`{c}`"), F.lit(0.0)).alias(f"_m_{c}") for c in columns))
+    out = df.crossJoin(F.broadcast(row))
+    return out.withColumns({c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.col(f"_m_{c}")) for c in columns}).drop(*(f"_m_{c}" for c in columns))
+
+
 def availability(columns: DataFrame, patterns: DataFrame) -> DataFrame:
     """columns with available: false where a pattern (a part of a name) is in feature_id."""
     hit = columns.join(F.broadcast(patterns), columns.feature_id.contains(patterns.pattern)).select("feature_id").distinct().withColumn("_hit", F.lit(True))
@@ -70,8 +89,8 @@ def opaque_id(name: Column, salt: str = "") -> Column:
 def regime(columns: DataFrame, level: str) -> DataFrame:
     """The registry as a detector may see it: O0 numbered ids in hash order and no names, O1 names, O2 names and availability."""
     if level == "O0":
-        place = F.row_number().over(Window.orderBy(F.sha2("feature_id", 256)))
-        return columns.select(F.format_string("a%03d", place - 1).alias("shown_id"), "feature_id")
+        placed = ranked(columns.select("feature_id", F.sha2("feature_id", 256).alias("_h")), [], [F.col("_h"), F.col("feature_id")])
+        return placed.select(F.format_string("a%03d", F.col("pos") - 1).alias("shown_id"), "feature_id")
     shown = [F.col("feature_id").alias("shown_id"), "feature_id"]
     if level == "O1":
         return columns.select(*shown)

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from fieldaudit.operators.order import positions
+from fieldaudit.operators.ledger import require
+from fieldaudit.operators.order import ranked
 
 # The parameter of each strength level, by mechanism
 STRENGTHS = {"M02": {"S1": 0.1, "S2": 0.3, "S3": 0.5, "S4": 0.7, "S5": 1.0}}
-# What counts as true and as false, in lower case and without white space around
-TRUE, FALSE = ("true", "1"), ("false", "0")
+# The texts that are booleans, in lower case and without white space around
+TRUE, FALSE = "true", "false"
 
 
 def any_flag(df: DataFrame, flags: list[str], name: str = "y") -> DataFrame:
@@ -37,14 +41,14 @@ def views(registry: DataFrame, forbidden: set[str], quarantined: list[str]) -> d
 
 
 def ordered(df: DataFrame, ts: str, tie: list[str]) -> DataFrame:
-    """df with pos: the place from 1 by time, rows without a time last, ties by source row. Numbered within days and moved on by their totals."""
-    return positions(df, [F.col(ts).asc_nulls_last(), *(F.col(c) for c in tie)], F.coalesce(F.to_date(ts), F.lit("9999-12-31").cast("date")))
+    """df with pos: the place from 1 by time, rows without a time last, ties by source row. Ranges of (time, source row) are numbered apart, so
+    neither a busy day nor the rows without a time are one task's."""
+    return ranked(df, [], [F.col(ts).asc_nulls_last(), *(F.col(c) for c in tie)])
 
 
-def column_difference(left: DataFrame, right: DataFrame) -> DataFrame:
-    """side, column: names that only one of two tables has. Only schemas are read."""
-    rows = [("left", c) for c in left.columns if c not in right.columns] + [("right", c) for c in right.columns if c not in left.columns]
-    return left.sparkSession.createDataFrame(rows, "side string, column string")
+def column_difference(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of the registry left (by, feature_id ..) whose column the registry right lacks in the same group."""
+    return left.join(right.select(*by, "feature_id"), [*by, "feature_id"], "left_anti")
 
 
 def differing(recorded: DataFrame, found: DataFrame, key: list[str], a: str, b: str, tolerance: float) -> DataFrame:
@@ -53,10 +57,16 @@ def differing(recorded: DataFrame, found: DataFrame, key: list[str], a: str, b:
     return recorded.join(found, key).where((gap > tolerance) | (F.col(a).isNull() != F.col(b).isNull()))
 
 
-def strict_boolean(df: DataFrame, column: str) -> DataFrame:
-    """df with parsed (null where not valid) and valid: only true, false, 1 and 0 are taken, in any case."""
-    t = F.lower(F.trim(column))
-    return df.withColumns({"parsed": F.when(t.isin(*TRUE), True).when(t.isin(*FALSE), False), "valid": F.coalesce(t.isin(*TRUE, *FALSE), F.lit(False))})
+def strict_boolean(df: DataFrame, column: str, refuse: bool = False) -> DataFrame:
+    """df with parsed (null where not valid) and valid. Booleans are taken, whole numbers 0 and 1, and the texts true and false in any case;
+    with refuse, anything else (null too) raises."""
+    kind = df.schema[column].dataType
+    t = F.lower(F.trim(F.col(column).cast("string")))
+    yes, no = (F.lit("1"), F.lit("0")) if isinstance(kind, IntegralType) else (F.lit(TRUE), F.lit(FALSE))
+    out = df.withColumns({"parsed": F.when(t == yes, True).when(t == no, False), "valid": F.coalesce((t == yes) | (t == no), F.lit(False))})
+    if refuse:
+        require(out.where("NOT valid"), f"{column} holds what isn't a strict boolean")
+    return out
 
 
 def input_contract(df: DataFrame, features: list[str], by: list[str], label: str = "y") -> DataFrame:
@@ -70,16 +80,31 @@ def input_contract(df: DataFrame, features: list[str], by: list[str], label: str
     return out.withColumn("fit", ~broken)
 
 
-def nested_document(df: DataFrame, unit: str, method: str, value: str, low: str, high: str) -> DataFrame:
-    """unit, document, spread, robust: methods with value and interval in one string, the range of values, whether no interval holds 0."""
-    v, lo, hi = (F.round(c, 4) for c in (value, low, high))
-    entry = F.concat(F.col(method), F.format_string("=%.4f[%.4f,%.4f]", v, lo, hi))
+def nested_document(df: DataFrame, unit: str, method: str, figures: list[str]) -> DataFrame:
+    """unit, document, spread, robust: a JSON object of methods in order, each an object of figures rounded to four places (the value and the ends
+    of its interval, in this order); the range of the values; whether no interval holds 0."""
+    v, lo, hi = (F.round(c, 4) for c in figures)
+    entry = F.struct(F.col(method), F.struct(*(F.round(c, 4).alias(c) for c in figures)))
     return df.groupBy(unit).agg(
-        F.array_join(F.sort_array(F.collect_list(entry)), ";").alias("document"), F.round(F.max(v) - F.min(v), 4).alias("spread"),
-        (F.min(lo > 0) | F.min(hi < 0)).alias("robust"),
+        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("document"), F.round(F.max(v) - F.min(v), 4).alias("spread"), (F.min(lo > 0) | F.min(hi < 0)).alias("robust"),
     )
 
 
+def canonical_lineage(df: DataFrame, column: str, mask: dict[str, str]) -> DataFrame:
+    """df with the JSON object in column rewritten: the texts in mask replace the values of its keys, keys at every depth are in order and numbers
+    stay numbers, so that equal documents are equal texts. Broken JSON, what isn't an object, and null give null."""
+    whole = F.try_parse_json(F.col(column))
+    fields = F.when(F.schema_of_variant(whole).startswith("OBJECT"), whole).cast("map<string,variant>")
+    value = lambda k, v: F.coalesce(*(F.when(k == name, F.parse_json(F.lit(json.dumps(text)))) for name, text in mask.items()), v)
+    return df.withColumn(column, F.to_json(F.to_variant_object(F.transform_values(fields, value))))
+
+
+def public_path(task: Column, path: Column, root: str = "external_sources") -> Column:
+    """A path without the folders of the machine it came from: root, task and the file's own name; null where the name is missing or is a step up."""
+    name = F.element_at(F.split(path, r"[/\\\\]"), -1)
+    return F.when(~name.isin("", ".", ".."), F.concat_ws("/", F.lit(root), task, name))
+
+
 def reporting(df: DataFrame, reports: dict[str, list[str]], value: str) -> DataFrame:
     """report, unit, n, mean, low, high: one table a report, over one pass of the rows each belongs to."""
     tag = F.explode(F.array(*(F.struct(F.lit(n).alias("report"), F.concat_ws("/", *(F.col(c).cast("string") for c in k)).alias("unit")) for n, k in reports.items()))).alias("_r")

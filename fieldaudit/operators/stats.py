@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldaudit.functions.draws import pick, uniform
 from fieldaudit.operators.metrics import pearson
+from fieldaudit.operators.order import small
 
 
 def numbered(units: DataFrame, key: str, name: str = "unit") -> DataFrame:
@@ -36,7 +37,7 @@ def cluster_bootstrap(df: DataFrame, cluster: str, value: str, reps: int, seed:
     """rep, stat: the mean over all rows of drawn clusters, so that large clusters count for more. Only sums and counts are drawn."""
     units = numbered(df.groupBy(cluster).agg(F.sum(value).alias("_s"), F.count(value).alias("_n")), cluster)
     n = units.count()
-    return draws(df.sparkSession, reps, n, seed).join(F.broadcast(units), "unit").groupBy("rep").agg((F.sum("_s") / F.sum("_n")).alias("stat"))
+    return draws(df.sparkSession, reps, n, seed).join(small(units), "unit").groupBy("rep").agg((F.sum("_s") / F.sum("_n")).alias("stat"))
 
 
 def unit_bootstrap(df: DataFrame, unit: str, value: str, by: list[str], reps: int, seed: int) -> DataFrame:
@@ -44,7 +45,7 @@ def unit_bootstrap(df: DataFrame, unit: str, value: str, by: list[str], reps: in
     means = df.groupBy(unit, *by).agg(F.avg(value).alias("_m"))
     units = numbered(means.select(unit).distinct(), unit)
     n = units.count()
-    drawn = draws(df.sparkSession, reps, n, seed).join(F.broadcast(units), "unit")
+    drawn = draws(df.sparkSession, reps, n, seed).join(small(units), "unit")
     return drawn.join(means, unit).groupBy(*by, "rep").agg(F.avg("_m").alias("stat"))
 
 
@@ -55,10 +56,29 @@ def nested_bootstrap(df: DataFrame, outer: str, inner: str, value: str, by: list
     inners = cells.select(outer, inner).distinct()
     inners = inners.withColumns({"_in": F.row_number().over(Window.partitionBy(outer).orderBy(inner)) - 1, "_of": F.count("*").over(Window.partitionBy(outer))})
     n = units.count()
-    drawn = draws(df.sparkSession, reps, n, seed).join(F.broadcast(units), "unit").join(F.broadcast(inners.select(outer, "_of").distinct()), outer)
+    drawn = draws(df.sparkSession, reps, n, seed).join(small(units), "unit").join(small(inners.select(outer, "_of").distinct()), outer)
     drawn = drawn.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_of").cast("int") - 1)))
     drawn = drawn.withColumn("_in", F.floor(uniform(str(seed), "in", F.col("rep"), F.col("slot"), F.col("_k")) * F.col("_of")).cast("int"))
-    return drawn.join(F.broadcast(inners.select(outer, inner, "_in")), [outer, "_in"]).join(cells, [outer, inner]).groupBy(*by, "rep").agg(F.avg("_m").alias("stat"))
+    return drawn.join(small(inners.select(outer, inner, "_in")), [outer, "_in"]).join(cells, [outer, inner]).groupBy(*by, "rep").agg(F.avg("_m").alias("stat"))
+
+
+def outer_bootstrap(store: DataFrame, outer: str, inner: str, draw: str, value: str, by: list[str], reps: int, seed: int) -> DataFrame:
+    """rep, stat: means over drawn outer units, drawn inner units within each, and for each of these one stored inner draw.
+
+    store has a value for each outer and inner unit, draw and group of by (such as a strength); for every group a draw of its own is taken, and
+    groups count alike. Draws without a value are not in the store, so they are addressed by their place among those that are.
+    """
+    cell = [outer, inner, *by]
+    placed = store.withColumns({"_k": F.row_number().over(Window.partitionBy(*cell).orderBy(draw)) - 1, "_nk": F.count("*").over(Window.partitionBy(*cell))})
+    units = numbered(store.select(outer).distinct(), outer)
+    inners = placed.select(*cell, "_nk").distinct()
+    known = inners.select(outer, inner).distinct().withColumns({"_j": F.row_number().over(Window.partitionBy(outer).orderBy(inner)) - 1, "_ns": F.count("*").over(Window.partitionBy(outer))})
+    drawn = draws(store.sparkSession, reps, units.count(), seed).join(small(units), "unit").join(small(known.select(outer, "_ns").distinct()), outer)
+    drawn = drawn.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_ns").cast("int") - 1)))
+    at = lambda n, name, *more: F.floor(uniform(str(seed), name, F.col("rep"), F.col("slot"), F.col("_i"), *more) * n).cast("long")
+    drawn = drawn.withColumn("_j", at(F.col("_ns"), "in")).join(small(known.drop("_ns")), [outer, "_j"]).join(small(inners), [outer, inner])
+    drawn = drawn.withColumn("_k", at(F.col("_nk"), "inner", *map(F.col, by)))
+    return drawn.join(placed.select(*cell, "_k", value), [*cell, "_k"]).groupBy("rep").agg(F.avg(value).alias("stat"))
 
 
 def left_out_r2(df: DataFrame, category: str, x: str, y: str) -> DataFrame:

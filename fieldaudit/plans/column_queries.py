@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldaudit.operators import metrics, order, policies, probes, rankers
+from fieldaudit.operators import columns, metrics, order, policies, probes, rankers
 from fieldaudit.plans.panel_queries import S, _noise
-from fieldaudit.plans.tables import FEATURES, PANEL, melted, melted_sql, panel
+from fieldaudit.plans.tables import FEATURES, PANEL, melted, melted_sql, panel, read
 
 QUERIES, ORACLE = {}, {}
 COLUMNS = [*FEATURES, "m02", "m10_copy", "m10"]
@@ -228,28 +228,30 @@ add("e13_group_removal", lambda s, d: policies.fields(scores(s, d), ["dataset_id
     _G3 + """ SELECT dataset_id, group_id, count(*) FILTER (removed) AS n_removed, count(*) AS n, CASE WHEN count(*) FILTER (removed) = 0 THEN 'none' WHEN count(*) FILTER (removed) = count(*) THEN 'full' ELSE 'partial' END AS kind
     FROM g3 WHERE group_id IS NOT NULL GROUP BY dataset_id, group_id""")
 _TRAIN = "(SELECT * FROM splitted WHERE split = 'train')"
-add("f10_train_codes", lambda s, d: _train_codes(s, d), f""", t AS (SELECT x_size, dense_rank() OVER (ORDER BY x_size) - 1 AS code FROM (SELECT DISTINCT x_size FROM {_TRAIN} WHERE x_size <= 30))
-    SELECT split, coalesce(CAST(code AS INT), -2) AS code, count(*) AS n FROM splitted LEFT JOIN t USING (x_size) GROUP BY ALL""")
+add("f10_train_codes", lambda s, d: _train_codes(s, d), f""", t AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS code FROM (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day FROM {_TRAIN}))
+    SELECT split, coalesce(CAST(code AS BIGINT), -2) AS code, count(*) AS n FROM splitted LEFT JOIN t ON day = strftime(ts, '%Y-%m-%d') GROUP BY ALL""")
 
 
 def _train_codes(s, d):
-    """Codes of a category by its sorted train values (here those up to 30), -2 for values not among them, -1 for null; rows by split."""
-    from pyspark.sql import Window
-
-    p = order.time_split(panel(s, d))
-    seen = p.where("split = 'train' AND x_size <= 30").select("x_size").distinct().withColumn("code", F.dense_rank().over(Window.orderBy("x_size")) - 1)
-    coded = p.join(F.broadcast(seen), "x_size", "left").withColumn("code", F.when(F.col("x_size").isNull(), -1).otherwise(F.coalesce("code", F.lit(-2))))
-    return coded.groupBy("split", "code").agg(F.count("*").alias("n"))
+    """Codes of shipping days by the days of train rows; later splits have days that no train row has. Rows by split and code."""
+    days = order.time_split(panel(s, d)).select("split", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    return columns.train_codes(days, "day").groupBy("split", F.col("day_code").cast("long").alias("code")).agg(F.count("*").alias("n"))
 
 
-add("f11_train_median_imputation", lambda s, d: _imputed(s, d), f""", t AS (SELECT quantile_cont(CASE WHEN x_tax > 0.02 THEN x_tax END, 0.5) AS m FROM {_TRAIN})
-    SELECT row_id, round(coalesce(CASE WHEN x_tax > 0.02 THEN x_tax END, m, 0), 6) AS x_tax FROM splitted, t""")
+_OPEN = ["mean_price", "n_open", "last_price"]
+_CUSTOMERS = """WITH o AS (SELECT o_custkey, avg(o_totalprice) AS mean_price, CAST(count(*) AS DOUBLE) AS n_open, max(o_totalprice) AS last_price FROM orders WHERE o_orderstatus = 'P' GROUP BY 1),
+    c AS (SELECT c_custkey, mean_price, n_open, last_price, CASE WHEN c_custkey % 5 < 3 THEN 'train' ELSE 'test' END AS split FROM customer LEFT JOIN o ON o_custkey = c_custkey),
+    m AS (SELECT coalesce(quantile_cont(mean_price, 0.5), 0) AS a, coalesce(quantile_cont(n_open, 0.5), 0) AS b, coalesce(quantile_cont(last_price, 0.5), 0) AS e FROM c WHERE split = 'train')"""
+QUERIES["f11_train_median_imputation"] = lambda s, d: rounded(columns.imputed(_open_orders(s, d), _OPEN), ["c_custkey", "split"], *_OPEN)
+ORACLE["f11_train_median_imputation"] = _CUSTOMERS + " SELECT c_custkey, split, round(coalesce(mean_price, a), 6) AS mean_price, round(coalesce(n_open, b), 6) AS n_open, round(coalesce(last_price, e), 6) AS last_price FROM c, m"
 
 
-def _imputed(s, d):
-    p = order.time_split(panel(s, d)).withColumn("x_tax", F.when(F.col("x_tax") > 0.02, F.col("x_tax")))
-    mid = p.where("split = 'train'").agg(F.percentile("x_tax", F.lit(0.5)).alias("m"))
-    return p.crossJoin(F.broadcast(mid)).select("row_id", F.round(F.coalesce("x_tax", "m", F.lit(0.0)), 6).alias("x_tax"))
+def _open_orders(s, d):
+    """Customers with figures of their partly finished orders: null for those who have none."""
+    o = read(s, d, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("c_custkey"))
+    o = o.agg(F.avg("o_totalprice").alias("mean_price"), F.count("*").cast("double").alias("n_open"), F.max("o_totalprice").alias("last_price"))
+    c = read(s, d, "customer").select("c_custkey", F.when(F.pmod("c_custkey", F.lit(5)) < 3, "train").otherwise("test").alias("split"))
+    return c.join(o, "c_custkey", "left")
 
 
 add("f16_train_scaling", lambda s, d: _scaled(s, d), f""", t AS (SELECT avg(x_price) AS m, stddev_pop(x_price) AS v FROM {_TRAIN}) SELECT row_id, round((x_price - m) / v, 6) AS z FROM splitted, t""")

@@ -51,9 +51,6 @@ add("f15_t7_views", _views, PROBED + " " + " UNION ALL ".join(f"SELECT dataset_i
 _due = lambda df: df.select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") % 3 > 0, F.col("l_shipdate")).alias("ts"))
 add("t10_nulls_last", lambda s, d: contracts.ordered(_due(read(s, d, "lineitem")), "ts", ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "pos"),
     """SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY CASE WHEN l_linenumber % 3 > 0 THEN l_shipdate END NULLS LAST, l_orderkey, l_linenumber) AS pos FROM lineitem""")
-add("u3_column_difference", lambda s, d: contracts.column_difference(read(s, d, "lineitem"), panel(s, d)).groupBy("side").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("column")), ",").alias("columns")),
-    "WITH p AS (SELECT unnest(['row_id', 'dataset_id', 'entity_id', 'ts', 'source_id', 'x_quantity', 'x_discount', 'x_tax', 'x_size', 'x_price', 'line', 'y']) AS c), l AS (SELECT column_name AS c FROM (DESCRIBE lineitem))"
-    " SELECT 'left' AS side, count(*) AS n, string_agg(c, ',' ORDER BY c) AS columns FROM l WHERE c NOT IN (SELECT c FROM p) UNION ALL SELECT 'right', count(*), string_agg(c, ',' ORDER BY c) FROM p WHERE c NOT IN (SELECT c FROM l)")
 
 
 def _strengths(s, d):
@@ -96,7 +93,7 @@ add("q9_base_unchanged", _base, PANEL + " SELECT split, count(*) AS n_rows, CAST
 _words = lambda: F.element_at(F.array(*map(F.lit, ("true", " False ", "1", "0", "YES", "no", "maybe", ""))), (F.pmod(F.col("l_orderkey"), F.lit(8)) + 1).cast("int"))
 add("q10_strict_booleans", lambda s, d: contracts.strict_boolean(read(s, d, "lineitem").withColumn("word", _words()), "word").groupBy("word", "parsed", "valid").agg(F.count("*").alias("n")),
     """WITH w AS (SELECT ['true', ' False ', '1', '0', 'YES', 'no', 'maybe', ''][l_orderkey % 8 + 1] AS word FROM lineitem), t AS (SELECT word, lower(trim(word)) AS t FROM w)
-    SELECT word, CASE WHEN t IN ('true', '1') THEN true WHEN t IN ('false', '0') THEN false END AS parsed, t IN ('true', '1', 'false', '0') AS valid, count(*) AS n FROM t GROUP BY ALL""")
+    SELECT word, CASE t WHEN 'true' THEN true WHEN 'false' THEN false END AS parsed, t IN ('true', 'false') AS valid, count(*) AS n FROM t GROUP BY ALL""")
 add("q11_input_contract", lambda s, d: contracts.input_contract(order.time_split(panel(s, d)).withColumn("x_tax", F.when(F.col("x_tax") > 0, 1 / F.col("x_tax")).otherwise(F.lit(float("inf")))), FEATURES, ["dataset_id"]),
     PANEL + """ SELECT dataset_id, split, count(*) AS n_rows, count(*) FILTER (x_tax = 0) AS n_not_finite, CAST(0 AS BIGINT) AS n_not_binary, count(DISTINCT y) AS n_classes,
     NOT (count(*) FILTER (x_tax = 0) > 0 OR (split = 'train' AND count(DISTINCT y) < 2)) AS fit FROM splitted GROUP BY dataset_id, split""")
@@ -116,15 +113,31 @@ add("b12_within_category_permutation", _permutation, LEDGER + _MECH + f""", c AS
 def _sensitivity(s, d):
     """A document for each mechanism: every method's value and interval, the range of values, and whether all intervals agree on the sign."""
     st = stats.unit_bootstrap(led(s, d), "dataset_id", "paired_harm", ["mechanism", "model"], REPS, S)
-    return contracts.nested_document(stats.interval(st, ["mechanism", "model"], "stat"), "mechanism", "model", "boot_mean", "low", "high")
+    figures = stats.interval(st, ["mechanism", "model"], "stat").select("mechanism", "model", F.col("boot_mean").alias("value"), F.col("low").alias("ci_low"), F.col("high").alias("ci_high"))
+    shape = "map<string,struct<value:double,ci_low:double,ci_high:double>>"  # read back, so that the document is held against SQL by its figures
+    told = contracts.nested_document(figures, "mechanism", "model", ["value", "ci_low", "ci_high"])
+    entries = told.select("mechanism", "spread", "robust", F.explode(F.from_json("document", shape)).alias("model", "f"))
+    return entries.select("mechanism", "spread", "robust", "model", "f.value", "f.ci_low", "f.ci_high")
 
 
 add("c7_sensitivity_document", _sensitivity, LEDGER + f""", un AS (SELECT dataset_id, row_number() OVER (ORDER BY dataset_id) - 1 AS unit FROM (SELECT DISTINCT dataset_id FROM ledger)), nu AS (SELECT count(*) AS n FROM un),
     dr AS (SELECT rep, slot, CAST(floor({u_sql(f"'{S}|' || rep || '|' || slot")} * n) AS BIGINT) AS unit FROM nu, range({REPS}) r(rep), range(1000) s(slot) WHERE slot < n),
     um AS (SELECT dataset_id, mechanism, model, avg(paired_harm) AS m FROM ledger GROUP BY ALL), st AS (SELECT rep, mechanism, model, avg(m) AS stat FROM dr JOIN un USING (unit) JOIN um USING (dataset_id) GROUP BY ALL),
     iv AS (SELECT mechanism, model, round(avg(stat), 4) AS v, round(quantile_cont(stat, 0.025), 4) AS l, round(quantile_cont(stat, 0.975), 4) AS h FROM st GROUP BY ALL)
-    SELECT mechanism, string_agg(model || '=' || printf('%.4f', v) || '[' || printf('%.4f', l) || ',' || printf('%.4f', h) || ']', ';' ORDER BY model) AS document, round(max(v) - min(v), 4) AS spread,
-    bool_and(l > 0) OR bool_and(h < 0) AS robust FROM iv GROUP BY mechanism""")
+    SELECT mechanism, model, v AS value, l AS ci_low, h AS ci_high, round(max(v) OVER w - min(v) OVER w, 4) AS spread, bool_and(l > 0) OVER w OR bool_and(h < 0) OVER w AS robust FROM iv WINDOW w AS (PARTITION BY mechanism)""")
+
+
+def _lineages(s, d):
+    """Lineage documents of customers, with keys in one of two orders and a private path, rewritten: what is left tells who and what only."""
+    c = read(s, d, "customer")
+    path = F.concat(F.lit("/home/u"), F.col("c_nationkey"), F.lit("/raw/"), F.lower("c_mktsegment"), F.lit(".csv"))
+    a, b = F.struct("c_custkey", path.alias("source_path"), "c_name"), F.struct("c_name", path.alias("source_path"), "c_custkey")
+    text = F.when(F.pmod("c_custkey", F.lit(2)) == 0, F.to_json(a)).otherwise(F.to_json(b))
+    docs = c.select("c_custkey", text.alias("lineage"), contracts.public_path(F.lit("customers"), path).alias("public"))
+    return contracts.canonical_lineage(docs, "lineage", {"source_path": "<SOURCE_PATH>"})
+
+
+add("s15_public_lineage", _lineages, """SELECT c_custkey, '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","source_path":"<SOURCE_PATH>"}' AS lineage, 'external_sources/customers/' || lower(c_mktsegment) || '.csv' AS public FROM customer""")
 _SHOWN = {"mechanism": ["mechanism"], "governance": ["mechanism", "model"], "natural": ["dataset_id"]}
 add("s14_reporting_tables", lambda s, d: contracts.reporting(led(s, d), _SHOWN, "paired_harm"),
     LEDGER + " " + " UNION ALL ".join(f"SELECT '{n}' AS report, {k} AS unit, count(*) AS n, round(avg(paired_harm), 6) AS mean, round(min(paired_harm), 6) AS low, round(max(paired_harm), 6) AS high FROM ledger GROUP BY {k}" for n, k in (("mechanism", "mechanism"), ("governance", "mechanism || '/' || model"), ("natural", "CAST(dataset_id AS VARCHAR)"))))

@@ -179,16 +179,11 @@ add("b28_case_studies", _all_cases, ", gv AS (SELECT mechanism AS g, list(v ORDE
 
 def _auc_bootstrap(s, d):
     """Difference of two columns' areas under the curve over drawn entities of each dataset: weights by cluster, both from one draw."""
-    p = panel(s, d).select("dataset_id", "entity_id", "y", "x_quantity", "x_discount")
-    units = stats.numbered(p.select("entity_id").distinct(), "entity_id")
-    n = units.count()
-    weight = stats.draws(s, 20, n, S).join(F.broadcast(units), "unit").groupBy("rep", "entity_id").agg(F.count("*").cast("double").alias("w"))
-    rows = p.join(weight, "entity_id")
-    a = {c: metrics.auroc(rows, ["dataset_id", "rep"], c, weight="w").select("dataset_id", "rep", F.col("auroc").alias(c)) for c in ("x_quantity", "x_discount")}
-    both = a["x_quantity"].join(a["x_discount"], ["dataset_id", "rep"]).withColumn("effect", F.col("x_quantity") - F.col("x_discount")).where("effect IS NOT NULL")
-    return rounded(both, ["dataset_id", "rep"], "effect")
+    p = panel(s, d)
+    return rounded(auc_effects(p, entity_weights(p, INNER)), ["dataset_id", "rep"], "effect")
 
 
+INNER = 20  # inner draws that the outer interval draws from
 _AUC = ", " + ", ".join(f"""f_{c} AS (SELECT dataset_id, rep, {c} AS v, sum(w * y) AS p, sum(w * (1 - y)) AS q FROM rw GROUP BY ALL),
     a_{c} AS (SELECT dataset_id, rep, sum(p * (below - q / 2)) / (sum(p) * sum(q)) AS a FROM (SELECT *, sum(q) OVER (PARTITION BY dataset_id, rep ORDER BY v ROWS UNBOUNDED PRECEDING) AS below FROM f_{c}) GROUP BY ALL)""" for c in ("x_quantity", "x_discount"))
 QUERIES["b13_auc_bootstrap"], ORACLE["b13_auc_bootstrap"] = _auc_bootstrap, PANEL + f""",
@@ -245,23 +240,18 @@ add("b8_correlation_bootstrap", _pearson_bootstrap, _MECH + f""", un AS (SELECT
     c AS (SELECT rep, corr(x, h) AS r FROM dr JOIN un USING (unit) GROUP BY rep) SELECT round(quantile_cont(r, 0.025), 6) AS low, round(quantile_cont(r, 0.975), 6) AS high FROM c WHERE NOT isnan(r)""")
 
 
-QUERIES["b9_sign_flip_whole"], QUERIES["b6_category_contrasts_whole"], QUERIES["b28_case_studies_whole"] = QUERIES["b9_exact_sign_flip"], QUERIES["b6_category_contrasts"], QUERIES["b28_case_studies"]
-ORACLE |= {"b9_sign_flip_whole": ORACLE["b9_exact_sign_flip"], "b6_category_contrasts_whole": ORACLE["b6_category_contrasts"], "b28_case_studies_whole": ORACLE["b28_case_studies"]}
-
-
 def _whole_auc_bootstrap(s, d):
     """As _auc_bootstrap, over all datasets and REPS replicates: rows are collapsed to entity, label and score before they are drawn."""
     p = panel(s, d)
     return rounded(auc_effects(p, entity_weights(p, REPS)), ["dataset_id", "rep"], "effect")
 
 
-def entity_weights(p, reps):
-    """rep, entity_id, w: how often each entity is drawn, if at all. Entities are numbered within buckets of their hash."""
-    units = p.select("entity_id").distinct().withColumn("_h", F.xxhash64("entity_id"))
-    units = order.positions(units, [F.col("_h"), F.col("entity_id")], F.shiftright("_h", 54)).select("entity_id", (F.col("pos") - 1).alias("unit"))
+def entity_weights(p, reps, seed=S):
+    """rep, entity_id, w: how often each entity is drawn, if at all. Entities are numbered by their key, through ranges."""
+    units = order.ranked(p.select("entity_id").distinct(), [], [F.col("entity_id")]).select("entity_id", (F.col("pos") - 1).alias("unit")).checkpoint()
     n = units.count()
     drawn = units.select(F.col("unit").alias("slot")).crossJoin(F.broadcast(p.sparkSession.range(reps).withColumnRenamed("id", "rep")))
-    drawn = drawn.select("rep", stats.pick(n, str(S), F.col("rep"), F.col("slot")).alias("unit")).groupBy("rep", "unit").agg(F.count("*").cast("double").alias("w"))
+    drawn = drawn.select("rep", stats.pick(n, str(seed), F.col("rep"), F.col("slot")).alias("unit")).groupBy("rep", "unit").agg(F.count("*").cast("double").alias("w"))
     return drawn.join(units, "unit").drop("unit")
 
 
@@ -277,3 +267,30 @@ def auc_effects(p, weights):
 
 
 QUERIES["b13_auc_bootstrap_whole"] = _whole_auc_bootstrap
+
+
+def _outer(s, d):
+    """Interval of the mean effect when datasets and seeds are drawn, and within each drawn pair one of the inner draws of entities that it stored."""
+    p = panel(s, d)
+    store = None
+    for seed in SEEDS:
+        own = auc_effects(p, entity_weights(p, INNER, seed)).withColumn("seed", F.lit(seed))
+        store = own if store is None else store.unionByName(own)
+    drawn = stats.outer_bootstrap(store.checkpoint(), "dataset_id", "seed", "rep", "effect", [], REPS, S)
+    return rounded(stats.interval(drawn, [], "stat"), [], *IV)
+
+
+SEEDS = (7, 8)  # of the inner draws
+QUERIES["b14_outer_interval"] = _outer
+ORACLE["b14_outer_interval"] = PANEL + f""",
+    pp AS (SELECT * FROM panel), eu AS (SELECT entity_id, row_number() OVER (ORDER BY entity_id) - 1 AS unit FROM (SELECT DISTINCT entity_id FROM pp)), en AS (SELECT count(*) AS n FROM eu),
+    dq AS (SELECT seed * 1000 + r AS rep, CAST(floor({u_sql("seed || '|' || r || '|' || slot")} * n) AS BIGINT) AS unit FROM en, range({INNER}) r(r), (VALUES {", ".join(f"({x})" for x in SEEDS)}) v(seed), range(100000) s(slot) WHERE slot < n),
+    wt AS (SELECT rep, entity_id, CAST(count(*) AS DOUBLE) AS w FROM dq JOIN eu USING (unit) GROUP BY ALL), rw AS (SELECT pp.*, rep, w FROM pp JOIN wt USING (entity_id)){_AUC},
+    ef AS (SELECT dataset_id, rep // 1000 AS seed, rep % 1000 AS draw, x.a - z.a AS effect FROM a_x_quantity x JOIN a_x_discount z USING (dataset_id, rep) WHERE x.a IS NOT NULL AND z.a IS NOT NULL AND NOT isnan(x.a)),
+    ix AS (SELECT *, row_number() OVER (PARTITION BY dataset_id, seed ORDER BY draw) - 1 AS k, count(*) OVER (PARTITION BY dataset_id, seed) AS nk FROM ef),
+    ds AS (SELECT dataset_id, row_number() OVER (ORDER BY dataset_id) - 1 AS unit, count(*) OVER () AS n FROM (SELECT DISTINCT dataset_id FROM ef)),
+    sd AS (SELECT dataset_id, seed, nk, row_number() OVER (PARTITION BY dataset_id ORDER BY seed) - 1 AS j, count(*) OVER (PARTITION BY dataset_id) AS ns FROM (SELECT DISTINCT dataset_id, seed, nk FROM ix)),
+    d1 AS (SELECT rep, slot, CAST(floor({u_sql(f"'{S}|' || rep || '|' || slot")} * n) AS BIGINT) AS unit FROM (SELECT any_value(n) AS n FROM ds), range({REPS}) r(rep), range(1000) s(slot) WHERE slot < n),
+    d2 AS (SELECT rep, slot, dataset_id, ns, i FROM d1 JOIN ds USING (unit) JOIN (SELECT DISTINCT dataset_id, ns FROM sd) USING (dataset_id), range(10) t(i) WHERE i < ns),
+    d3 AS (SELECT rep, slot, i, d2.dataset_id, seed, CAST(floor({u_sql(f"'{S}|inner|' || rep || '|' || slot || '|' || i")} * nk) AS BIGINT) AS k FROM d2 JOIN sd ON sd.dataset_id = d2.dataset_id AND sd.j = CAST(floor({u_sql(f"'{S}|in|' || rep || '|' || slot || '|' || i")} * d2.ns) AS BIGINT)),
+    st AS (SELECT rep, avg(effect) AS stat FROM d3 JOIN ix USING (dataset_id, seed, k) GROUP BY rep) """ + _iv("st")

@@ -39,8 +39,13 @@ def test_contracts_refuse(spark, panel):
     with pytest.raises(ValueError):
         columns.renamed(panel, {"absent": "z"})
     assert contracts.without(panel, ["leak"]).columns == ["row_id", "split", "y", "x", "noise"]
-    got = contracts.strict_boolean(spark.createDataFrame([(x,) for x in ("TRUE", " 0 ", "yes", "", None)], "w string"), "w").collect()
-    assert [(r.parsed, r.valid) for r in got] == [(True, True), (False, True), (None, False), (None, False), (None, False)]
+    got = contracts.strict_boolean(spark.createDataFrame([(x,) for x in ("TRUE", " false ", "0", "yes", "", None)], "w string"), "w").collect()
+    assert [(r.parsed, r.valid) for r in got] == [(True, True), (False, True)] + [(None, False)] * 4
+    numbers = spark.createDataFrame([(0,), (1,), (2,), (None,)], "w int")
+    assert [(r.parsed, r.valid) for r in contracts.strict_boolean(numbers, "w").collect()] == [(False, True), (True, True), (None, False), (None, False)]
+    assert contracts.strict_boolean(numbers.where("w < 2").selectExpr("w = 1 AS w"), "w", refuse=True).where("parsed").count() == 1
+    with pytest.raises(ValueError):
+        contracts.strict_boolean(numbers, "w", refuse=True)
     flags = spark.createDataFrame([(True, None), (None, None), (False, False)], "a boolean, b boolean")
     assert [r.y for r in contracts.any_flag(flags, ["a", "b"]).collect()] == [1, 0, 0]
 

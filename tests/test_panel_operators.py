@@ -147,8 +147,8 @@ def test_halved_sign_flip_is_exact_and_whole_queries_read_every_dataset(spark):
         assert got[g].n == len(v) and abs(got[g].p - sum(far) / len(far)) < 1e-12
     sf = "/root/testdata/sf0.01"
     datasets = plans.stats_queries.led(spark, sf).select("dataset_id").distinct().count()
-    assert datasets > 12 and {x.n for x in plans.QUERIES["b9_sign_flip_whole"](spark, sf).collect()} == {datasets}
-    assert plans.QUERIES["b28_case_studies_whole"](spark, sf).count() and plans.QUERIES["b6_category_contrasts_whole"](spark, sf).count() == 3
+    assert datasets > 12 and {x.n for x in plans.QUERIES["b9_exact_sign_flip"](spark, sf).collect()} == {datasets}
+    assert plans.QUERIES["b28_case_studies"](spark, sf).count() and plans.QUERIES["b6_category_contrasts"](spark, sf).count() == 3
     rows = [(r.randrange(4), e, r.randrange(2), r.randrange(6), r.randrange(4)) for e in range(30) for _ in range(6)]
     p = spark.createDataFrame(rows, "dataset_id int, entity_id long, y int, x_quantity int, x_discount int")
     weights = plans.stats_queries.entity_weights(p, 5)
