@@ -101,11 +101,12 @@ rm AS (SELECT dataset_id, cell, run, count(*) FILTER (removed AND is_leak) AS n_
               count(*) FILTER (removed AND is_leak) / CAST(count(*) FILTER (removed) AS DOUBLE) AS deletion_precision, count(*) FILTER (NOT removed AND NOT is_leak) / CAST(count(*) FILTER (NOT is_leak) AS DOUBLE) AS legitimate_retention,
               count(*) FILTER (removed AND group_id IS NOT NULL) BETWEEN 1 AND count(group_id) - 1 AS partial FROM se WHERE run LIKE 'p%' GROUP BY ALL),
 rp AS (SELECT *, abs(full_auc - clean_auc) - abs(governed_auc - clean_auc) AS sdr, CASE WHEN abs(full_auc - clean_auc) <= 1e-12 THEN 0 ELSE greatest(sign(full_auc - clean_auc) * (governed_auc - clean_auc), 0) + 0 END AS residual,
-              CASE WHEN abs(full_auc - clean_auc) <= 1e-12 THEN 0 ELSE greatest(-sign(full_auc - clean_auc) * (governed_auc - clean_auc), 0) + 0 END AS over
+              CASE WHEN abs(full_auc - clean_auc) <= 1e-12 THEN 0 ELSE greatest(-sign(full_auc - clean_auc) * (governed_auc - clean_auc), 0) + 0 END AS over,
+              CASE WHEN abs(full_auc - clean_auc) <= 1e-12 THEN 0 ELSE abs(full_auc - clean_auc) - residual END AS repair
        FROM rm JOIN (SELECT dataset_id, cell, run, auroc AS governed_auc FROM auc) USING (dataset_id, cell, run) JOIN bk USING (dataset_id, cell)),
-fr0 AS (SELECT *, round(a.sdr - b.sdr, 9) AS d_sdr, round(a.recall - b.recall, 9) AS d_recall, round(a.residual - b.residual, 9) AS d_residual, round(a.over - b.over, 9) AS d_over, round(a.legitimate_retention - b.retention, 9) AS d_retention
-        FROM (SELECT * FROM rp WHERE run = 'p3') a JOIN (SELECT dataset_id, cell, avg(sdr) AS sdr, avg(recall) AS recall, avg(residual) AS residual, avg(over) AS over, avg(legitimate_retention) AS retention FROM rp WHERE run <> 'p3' GROUP BY ALL) b USING (dataset_id, cell)),
-fr AS (SELECT dataset_id, cell, mechanism, strength, d_sdr > 0 AS gain, round(sdr, 9) > 0 AS own_gain, d_sdr > 0 AND d_recall <= 0 AS fr1, round(sdr, 9) > 0 AND n_hit = 0 AS fr2, d_sdr > 0 AND d_residual >= 0 AS fr3,
+fr0 AS (SELECT *, round(a.sdr - b.sdr, 9) AS d_sdr, round(a.recall - b.recall, 9) AS d_recall, round(a.residual - b.residual, 9) AS d_residual, round(a.over - b.over, 9) AS d_over, round(a.legitimate_retention - b.retention, 9) AS d_retention, round(a.repair - b.repair, 9) AS d_repair
+        FROM (SELECT * FROM rp WHERE run = 'p3') a JOIN (SELECT dataset_id, cell, avg(sdr) AS sdr, avg(recall) AS recall, avg(residual) AS residual, avg(over) AS over, avg(legitimate_retention) AS retention, avg(repair) AS repair FROM rp WHERE run <> 'p3' GROUP BY ALL) b USING (dataset_id, cell)),
+fr AS (SELECT dataset_id, cell, mechanism, strength, d_sdr, d_repair, d_residual, d_over, d_recall, d_retention, d_sdr > 0 AS gain, round(sdr, 9) > 0 AS own_gain, d_sdr > 0 AND d_recall <= 0 AS fr1, round(sdr, 9) > 0 AND n_hit = 0 AS fr2, d_sdr > 0 AND d_residual >= 0 AS fr3,
               d_sdr > 0 AND d_over > 0 AS fr4, d_sdr > 0 AND d_retention < 0 AS fr5, d_sdr > 0 AND partial AND mechanism = 'M09' AS fr6 FROM fr0)"""
 
 

@@ -191,31 +191,8 @@ QUERIES["b13_auc_bootstrap"], ORACLE["b13_auc_bootstrap"] = _auc_bootstrap, PANE
     dr AS (SELECT rep, CAST(floor({u_sql(f"'{S}|' || rep || '|' || slot")} * n) AS BIGINT) AS unit FROM nu, range(20) r(rep), range(100000) s(slot) WHERE slot < n),
     wt AS (SELECT rep, entity_id, CAST(count(*) AS DOUBLE) AS w FROM dr JOIN un USING (unit) GROUP BY ALL), rw AS (SELECT pp.*, rep, w FROM pp JOIN wt USING (entity_id)){_AUC}
     SELECT dataset_id, rep, round(x.a - z.a, 6) AS effect FROM a_x_quantity x JOIN a_x_discount z USING (dataset_id, rep) WHERE x.a IS NOT NULL AND z.a IS NOT NULL AND NOT isnan(x.a)"""
-add("c4_claims", lambda s, d: _claims(s, d), f""", m AS (SELECT avg(paired_harm) FILTER (category = 'simple') AS s, avg(paired_harm) FILTER (category = 'structured') AS t, avg(diagnostic_ap) AS x FROM {_CAT})
-    SELECT 'simple_exceeds_structured' AS claim_id, CASE WHEN s > t + 0.01 THEN 'SUPPORTED' WHEN s > t THEN 'WEAK' ELSE 'NOT_SUPPORTED' END AS status, round(s - t, 6) AS value FROM m
-    UNION ALL SELECT 'detectable', CASE WHEN x > 0.55 THEN 'SUPPORTED' WHEN x > 0.45 THEN 'WEAK' ELSE 'NOT_SUPPORTED' END, round(x, 6) FROM m""")
-
-
-def _claims(s, d):
-    df = led(s, d).join(F.broadcast(categories(s)), "mechanism")
-    of = lambda c: F.avg(F.when(F.col("category") == c, F.col("paired_harm")))
-    m = df.agg((of("simple") - of("structured")).alias("gap"), F.avg("diagnostic_ap").alias("x"))
-    rule = lambda v, hi, lo: F.when(v > hi, "SUPPORTED").when(v > lo, "WEAK").otherwise("NOT_SUPPORTED")
-    one = lambda n, v, hi, lo: F.struct(F.lit(n).alias("claim_id"), rule(F.col(v), hi, lo).alias("status"), F.round(v, 6).alias("value"))
-    return m.select(F.explode(F.array(one("simple_exceeds_structured", "gap", 0.01, 0.0), one("detectable", "x", 0.55, 0.45))).alias("_c")).select("_c.*")
-
-
 add("c5_before_after", lambda s, d: L.one_to_one(led(s, d).groupBy("mechanism").agg(F.avg("paired_harm").alias("before")), led(s, d).where("model <> 'gbt'").groupBy("mechanism").agg(F.avg("paired_harm").alias("after")), ["mechanism"]).withColumn("moved", F.abs(F.col("after") - F.col("before")) > 0.001).select("mechanism", "moved", F.round(F.col("after") - F.col("before"), 6).alias("change")),
     "SELECT mechanism, abs(avg(paired_harm) FILTER (model <> 'gbt') - avg(paired_harm)) > 0.001 AS moved, round(avg(paired_harm) FILTER (model <> 'gbt') - avg(paired_harm), 6) AS change FROM ledger GROUP BY mechanism")
-add("c8_joint_gate", lambda s, d: _gate(s, d), """, e AS (SELECT model, avg(full_auc - governed_auc) AS a, avg(clean_auc - governed_auc) AS b FROM ledger GROUP BY 1)
-    SELECT model, CASE WHEN a > 0 AND b > 0 THEN 'SEMANTICALLY_CORROBORATED' WHEN a > 0 THEN 'SCORE_RECOVERY_ONLY' WHEN a <= 0 AND b <= 0 THEN 'NEGATIVE' ELSE 'MIXED' END AS outcome FROM e""")
-
-
-def _gate(s, d):
-    e = led(s, d).groupBy("model").agg(F.avg(F.col("full_auc") - F.col("governed_auc")).alias("a"), F.avg(F.col("clean_auc") - F.col("governed_auc")).alias("b"))
-    return e.select("model", F.expr("CASE WHEN a > 0 AND b > 0 THEN 'SEMANTICALLY_CORROBORATED' WHEN a > 0 THEN 'SCORE_RECOVERY_ONLY' WHEN a <= 0 AND b <= 0 THEN 'NEGATIVE' ELSE 'MIXED' END").alias("outcome"))
-
-
 def _rest_r2(s, d):
     m = _mech(s, d).join(F.broadcast(categories(s)), "mechanism")
     return rounded(stats.left_out_r2(m, "category", "x", "h"), ["n"], "r2_category", "r2_both")

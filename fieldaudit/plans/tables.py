@@ -88,7 +88,10 @@ ledger0 AS (SELECT dataset_id, mechanism, strength, model, seed, count(*) AS n_r
 ledger AS (SELECT *, round(full_auc - clean_auc, 9) AS paired_harm FROM ledger0)"""
 
 # What kind each mechanism is of
-CATEGORY = {"M01": "simple", "M02": "simple", "M03": "boundary", "M04": "structured", "M05": "structured", "M06": "boundary"}
+CATEGORY = {
+    "M01": "simple", "M02": "simple", "M03": "boundary", "M04": "structured", "M05": "structured", "M06": "simple", "M07": "boundary", "M08": "structured", "M09": "structured", "M10": "simple",
+    "M11": "boundary",
+}
 CATEGORIES = "(VALUES " + ", ".join(f"('{m}', '{c}')" for m, c in CATEGORY.items()) + ") k(mechanism, category)"
 
 
