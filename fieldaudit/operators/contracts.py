@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from fieldaudit.operators.ledger import require
+from fieldaudit.operators.ledger import GateError, require
 from fieldaudit.operators.order import ranked
 
 # The parameter of each strength level, by mechanism
@@ -70,16 +70,23 @@ def strict_boolean(df: DataFrame, column: str, refuse: bool = False) -> DataFram
 
 
 def input_contract(df: DataFrame, features: list[str], by: list[str], label: str = "y") -> DataFrame:
-    """by, split, n_rows, n_not_finite, n_not_binary, n_classes and fit: whether a learner may have these rows; train rows need both classes."""
+    """by, split, n_rows, n_not_finite, n_not_binary, n_classes and fit: whether a learner may have these rows; train and validation rows need both classes."""
     finite: Column = F.lit(True)
     for c in features:
         finite = finite & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) != float("inf"))
     binary = F.coalesce(F.col(label).isin(0, 1), F.lit(False))
     out = df.groupBy(*by, "split").agg(F.count("*").alias("n_rows"), F.count_if(~finite).alias("n_not_finite"), F.count_if(~binary).alias("n_not_binary"), F.countDistinct(label).alias("n_classes"))
-    broken = (F.col("n_not_finite") > 0) | (F.col("n_not_binary") > 0) | ((F.col("split") == "train") & (F.col("n_classes") < 2))
+    broken = (F.col("n_not_finite") > 0) | (F.col("n_not_binary") > 0) | (F.col("split").isin("train", "validation") & (F.col("n_classes") < 2))
     return out.withColumn("fit", ~broken)
 
 
+def same_features(left: DataFrame, right: DataFrame, keys: list[str]) -> None:
+    """Raises unless two views have the same feature columns in the same order: a learner fitted on one can then score the other."""
+    a, b = ([c for c in df.columns if c not in keys] for df in (left, right))
+    if a != b:
+        raise GateError(f"feature columns differ: {sorted(set(a) ^ set(b)) or 'their order'}")
+
+
 def nested_document(df: DataFrame, unit: str, method: str, figures: list[str]) -> DataFrame:
     """unit, document, spread, robust: a JSON object of methods in order, each an object of figures rounded to four places (the value and the ends
     of its interval, in this order); the range of the values; whether no interval holds 0."""

@@ -122,7 +122,9 @@ def false_repairs(repaired: DataFrame, grouped: str = "M09") -> DataFrame:
     gained, residual no better; 4: more overcorrection; 5: less retention; 6: a group of mechanism `grouped` went in part.
     """
     by = ["dataset_id", "cell", "mechanism", "strength"]
-    what = {"sdr": "strict_distance_reduction", "recall": "recall", "residual": "same_side_residual", "over": "overcorrection", "retention": "legitimate_retention", "repair": "directional_repair"}
+    what = {"sdr": "strict_distance_reduction", "recall": "recall", "residual": "same_side_residual", "over": "overcorrection", "retention": "legitimate_retention"}
+    if "directional_repair" in repaired.columns:
+        what["repair"] = "directional_repair"
     p3 = repaired.where("run = 'p3'").select(*by, "n_hit", "partial", *(F.col(c).alias(f"p3_{k}") for k, c in what.items()))
     p2 = repaired.where("run LIKE 'p2%'").groupBy(*by).agg(*(F.avg(c).alias(f"p2_{k}") for k, c in what.items()))
     out = p3.join(p2, by).withColumns({f"d_{k}": F.round(F.col(f"p3_{k}") - F.col(f"p2_{k}"), 9) for k in what})

@@ -107,6 +107,14 @@ def leave_one_out(df: DataFrame, level: str, value: str) -> DataFrame:
     return each.crossJoin(F.broadcast(total)).select("left_out", ((F.col("_ts") - F.col("_s")) / (F.col("_tn") - F.col("_n"))).alias("mean"), (F.col("_tn") - F.col("_n")).alias("n"))
 
 
+def leave_levels_out(df: DataFrame, factors: list[str], value: str) -> DataFrame:
+    """scope, level, n, mean: the mean without each level of each factor in turn. One pass sums all cells; the rest is subtraction."""
+    each = scopes(df.where(F.col(value).isNotNull()), factors, {"_s": F.col(value)})
+    total = each.where("scope = 'overall'").select(F.col("n").alias("_tn"), F.col("_s").alias("_ts"))
+    left = each.where("scope <> 'overall'").crossJoin(F.broadcast(total))
+    return left.select("scope", "level", (F.col("_tn") - F.col("n")).alias("n"), ((F.col("_ts") - F.col("_s")) / (F.col("_tn") - F.col("n"))).alias("mean")).where("n > 0")
+
+
 def average_rank(by: list[str], value: str) -> Column:
     """Rank within each group, ties at their mean."""
     w = Window.partitionBy(*by)

@@ -47,6 +47,20 @@ def threshold(df: DataFrame, t: float, score: str = "score") -> DataFrame:
     return df.withColumn("removed", F.col(score) > t)
 
 
+def applicable(columns: DataFrame, by: list[str], edges: DataFrame | None = None) -> DataFrame:
+    """by, policy, status: NOT_APPLICABLE for the oracle where no column is known to leak, for a group budget where no column has a group and
+    for a graph cut where no edge (by, src, dst) joins two columns of the cell; else APPLICABLE."""
+    any_ = columns.groupBy(*by).agg(F.max(F.coalesce(F.col("is_leak"), F.lit(False))).alias("oracle"), F.max(F.col("group_id").isNotNull()).alias("group_budget"))
+    if edges is None:
+        joined = any_.withColumn("graph_cut", F.lit(False))
+    else:
+        own = columns.select(*by, "feature_id")
+        ends = edges.join(own.withColumnRenamed("feature_id", "src"), [*by, "src"], "left_semi").join(own.withColumnRenamed("feature_id", "dst"), [*by, "dst"], "left_semi")
+        joined = any_.join(ends.select(*by).distinct().withColumn("graph_cut", F.lit(True)), by, "left")
+    each = F.explode(F.array(*(F.struct(F.lit(p).alias("policy"), F.when(F.coalesce(F.col(p), F.lit(False)), "APPLICABLE").otherwise("NOT_APPLICABLE").alias("status")) for p in ("oracle", "group_budget", "graph_cut"))))
+    return joined.select(*by, each.alias("_p")).select(*by, "_p.*")
+
+
 # The stages of a record's life that come after its outcome
 LATE = ("post_outcome", "future_window", "repayment", "closed")
 

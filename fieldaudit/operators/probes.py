@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldaudit.functions.draws import normal, uniform
+from fieldaudit.operators.ledger import GateError
 from fieldaudit.operators.order import by_hash, by_time, quantiles, with_count
 
 NOISE = 0.1
@@ -103,16 +104,21 @@ def subgroup(df: DataFrame, strength: float, seed: int, prevalence: float = 0.3)
 PLACE = "m09_place"
 
 
-def source_places(df: DataFrame, seed: int) -> DataFrame:
+def source_places(df: DataFrame, seed: int, least: int = 20) -> DataFrame:
+    """df with the place of each row within its class, in hash order; each class must have `least` rows, those that the sources are promised."""
+    sizes = {r.y: r.n for r in df.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if short := [y for y in (0, 1) if sizes.get(y, 0) < least]:
+        raise GateError(f"classes {short} have fewer than {least} rows")
     return by_hash(df, F.md5(F.concat_ws("|", F.lit(f"{seed}M09"), "row_id")), by=["y"]).withColumnRenamed("pos", PLACE)
 
 
 def source_assignment(df: DataFrame, strength: float, seed: int, sources: int = 4, least: int = 5) -> DataFrame:
     """m09_source, drawn with odds that depend on the label, and an indicator for each: the first rows of each class in hash order go round
-    the sources so that each has at least so many; the numbers of the sources are shuffled."""
+    the sources so that each has at least so many; the numbers of the sources are shuffled. Raises where a class has too few rows for that,
+    which is counted unless df has its places already (source_places() has counted them then)."""
     delta = [-1 + 2 * i / (sources - 1) for i in range(sources)]
     odds = {y: [math.exp((3 if y else -3) * strength * d) for d in delta] for y in (0, 1)}
-    placed = df if PLACE in df.columns else source_places(df, seed)
+    placed = df if PLACE in df.columns else source_places(df, seed, sources * least)
     u = uniform(str(seed), "M09u", F.col("row_id"))
 
     def drawn(y: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldaudit.operators import columns, contracts, metrics, order, probes, stats
-from fieldaudit.plans.column_queries import COLUMNS, LEAKS, PROBED, long, probed, registry, rounded
+from fieldaudit.plans.column_queries import COLUMNS, LEAKS, PROBED, long, probed, registry, rounded, scores
 from fieldaudit.plans.ledger_queries import led
 from fieldaudit.plans.panel_queries import S, _noise
 from fieldaudit.plans.stats_queries import _MECH, REPS, _mech
@@ -96,7 +96,7 @@ add("q10_strict_booleans", lambda s, d: contracts.strict_boolean(read(s, d, "lin
     SELECT word, CASE t WHEN 'true' THEN true WHEN 'false' THEN false END AS parsed, t IN ('true', 'false') AS valid, count(*) AS n FROM t GROUP BY ALL""")
 add("q11_input_contract", lambda s, d: contracts.input_contract(order.time_split(panel(s, d)).withColumn("x_tax", F.when(F.col("x_tax") > 0, 1 / F.col("x_tax")).otherwise(F.lit(float("inf")))), FEATURES, ["dataset_id"]),
     PANEL + """ SELECT dataset_id, split, count(*) AS n_rows, count(*) FILTER (x_tax = 0) AS n_not_finite, CAST(0 AS BIGINT) AS n_not_binary, count(DISTINCT y) AS n_classes,
-    NOT (count(*) FILTER (x_tax = 0) > 0 OR (split = 'train' AND count(DISTINCT y) < 2)) AS fit FROM splitted GROUP BY dataset_id, split""")
+    NOT (count(*) FILTER (x_tax = 0) > 0 OR (split IN ('train', 'validation') AND count(DISTINCT y) < 2)) AS fit FROM splitted GROUP BY dataset_id, split""")
 
 
 def _permutation(s, d):
@@ -138,6 +138,9 @@ def _lineages(s, d):
 
 
 add("s15_public_lineage", _lineages, """SELECT c_custkey, '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","source_path":"<SOURCE_PATH>"}' AS lineage, 'external_sources/customers/' || lower(c_mktsegment) || '.csv' AS public FROM customer""")
+_WORDS = ("m02", "m10", "price")
+add("f13_availability", lambda s, d: columns.availability(scores(s, d), s.createDataFrame([(w,) for w in _WORDS], "pattern string")).select("dataset_id", "feature_id", "available", F.round("score", 6).alias("score")),
+    PROBED + f" SELECT dataset_id, feature_id, NOT ({' OR '.join(f"contains(feature_id, '{w}')" for w in _WORDS)}) AS available, round(score, 6) AS score FROM sc")
 _SHOWN = {"mechanism": ["mechanism"], "governance": ["mechanism", "model"], "natural": ["dataset_id"]}
 add("s14_reporting_tables", lambda s, d: contracts.reporting(led(s, d), _SHOWN, "paired_harm"),
     LEDGER + " " + " UNION ALL ".join(f"SELECT '{n}' AS report, {k} AS unit, count(*) AS n, round(avg(paired_harm), 6) AS mean, round(min(paired_harm), 6) AS low, round(max(paired_harm), 6) AS high FROM ledger GROUP BY {k}" for n, k in (("mechanism", "mechanism"), ("governance", "mechanism || '/' || model"), ("natural", "CAST(dataset_id AS VARCHAR)"))))

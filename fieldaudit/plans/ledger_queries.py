@@ -89,6 +89,8 @@ add("a5_pivot", lambda s, d: rounded(led(s, d).groupBy("mechanism").pivot("model
     "SELECT mechanism, " + ", ".join(f"round(avg(paired_harm) FILTER (model = '{m}'), 6) AS {m}" for m in _MODELS) + " FROM ledger GROUP BY mechanism")
 add("a6_coverage", lambda s, d: _plan(s, d).join(led(s, d).where("paired_harm < 0.3").select(*KEY, F.lit(1).alias("have")), KEY, "left").groupBy("mechanism", "model").agg(F.count("*").alias("expected"), F.count("have").alias("found")).withColumn("missing", F.col("expected") - F.col("found")),
     _PLAN + f" SELECT mechanism, model, count(*) AS expected, count(h) AS found, count(*) - count(h) AS missing FROM plan LEFT JOIN (SELECT {_K}, 1 AS h FROM ledger WHERE paired_harm < 0.3) USING ({_K}) GROUP BY ALL")
+add("a6_missing_cells", lambda s, d: L.missing_keys(_plan(s, d), led(s, d).where("paired_harm < 0.3"), KEY),
+    _PLAN + f", have AS (SELECT {_K} FROM ledger WHERE paired_harm < 0.3) SELECT {_K}, 'left' AS side FROM (SELECT DISTINCT {_K} FROM plan EXCEPT SELECT {_K} FROM have) UNION ALL SELECT {_K}, 'right' FROM (SELECT {_K} FROM have EXCEPT SELECT {_K} FROM plan)")
 add("a7_two_stage_mean", lambda s, d: rounded(L.two_stage_mean(led(s, d), ["dataset_id"], ["mechanism"], "paired_harm"), ["mechanism", "units"], "mean"),
     "SELECT mechanism, count(*) AS units, round(avg(m), 6) AS mean FROM (SELECT mechanism, dataset_id, avg(paired_harm) AS m FROM ledger GROUP BY ALL) GROUP BY mechanism")
 add("a8_seed_coverage", lambda s, d: led(s, d).groupBy("dataset_id").agg(F.countDistinct("mechanism", "model", "seed").alias("n_combinations")), "SELECT dataset_id, count(DISTINCT (mechanism, model, seed)) AS n_combinations FROM ledger GROUP BY 1")
@@ -98,6 +100,9 @@ add("a11_scopes", lambda s, d: L.scopes(led(s, d), ["mechanism", "model", "stren
     "SELECT 'overall' AS scope, 'all' AS level, count(*) AS n, round(avg(paired_harm), 6) AS mean FROM ledger " + " ".join(f"UNION ALL SELECT '{c}', CAST({c} AS VARCHAR), count(*), round(avg(paired_harm), 6) FROM ledger GROUP BY {c}" for c in ("mechanism", "model", "strength")))
 add("a12_leave_one_out", lambda s, d: rounded(L.leave_one_out(led(s, d), "dataset_id", "paired_harm"), ["left_out", "n"], "mean"),
     "SELECT l.left_out, count(*) AS n, round(avg(paired_harm), 6) AS mean FROM ledger, (SELECT DISTINCT dataset_id AS left_out FROM ledger) l WHERE dataset_id <> l.left_out GROUP BY 1")
+_LEVELS = ["mechanism", "model", "strength", "dataset_id"]
+add("a12_leave_levels_out", lambda s, d: rounded(L.leave_levels_out(led(s, d), _LEVELS, "paired_harm"), ["scope", "level", "n"], "mean"),
+    " UNION ALL ".join(f"SELECT '{f}' AS scope, CAST(l.v AS VARCHAR) AS level, count(*) AS n, round(avg(paired_harm), 6) AS mean FROM ledger, (SELECT DISTINCT {f} AS v FROM ledger) l WHERE {f} <> l.v GROUP BY l.v" for f in _LEVELS))
 add("a13_value_counts", lambda s, d: led(s, d).groupBy("mechanism", "model").agg(F.count("*").alias("n"), F.sum("n_rows").alias("n_rows")), "SELECT mechanism, model, count(*) AS n, CAST(sum(n_rows) AS BIGINT) AS n_rows FROM ledger GROUP BY ALL")
 add("w2_average_rank", lambda s, d: led(s, d).select(*KEY, L.average_rank(["dataset_id"], "n_rows").alias("rank")),
     f"SELECT {_K}, rank() OVER (PARTITION BY dataset_id ORDER BY n_rows) + (count(*) OVER (PARTITION BY dataset_id, n_rows) - 1) / CAST(2 AS DOUBLE) AS rank FROM ledger")
