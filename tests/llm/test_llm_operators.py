@@ -429,6 +429,47 @@ def test_page_layouts(name):
     assert tree.within(tree.climbed(tree.best())) == want
 
 
+def test_what_a_host_repeats_beside_the_article_goes(spark):
+    """The vote is for the article's own container: a box beside it stays out where the host repeats it, and what differs stays in."""
+    pages = [f'<body><div class="wrap"><div class="lead">Lead {i}</div><div class="story"><p>{f"Story {i} goes on. " * 30}</p></div><div class="box7">Latest stories of our house, read daily</div></div></body>' for i in range(20)]
+    copies = ['<body><div class="wrap"><div class="story"><p>' + "One story in copies. " * 30 + '</p></div><div class="note">A note to it</div></div></body>'] * 6
+    rows = [(i, f"http://boxes.example/{i}", p) for i, p in enumerate(pages)] + [(100 + i, f"http://copies.example/{i}", p) for i, p in enumerate(copies)]
+    got = {r.page_id: r for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i].agreed and got[i].path == "body>div.wrap>div.story" and got[i].text == f"Lead {i}\n" + (f"Story {i} goes on. " * 30).strip() for i in range(20))
+    assert all(got[100 + i].text.endswith("\nA note to it") for i in range(6))
+
+
+WHOLE = {
+    "a page within a form": ("<body><form id=f><header>Site</header><div class=c><p>The text itself.</p><input></div></form></body>", ["The text itself."]),
+    "a headline within a form": ("<body><form><h1>Head</h1><p>The text itself.</p></form></body>", ["Head", "The text itself."]),
+    "a login form only": ("<body><form><p>Sign in here</p></form></body>", []),
+    "social policy": ("<body><div class=social-policy><h1>Head</h1><p>The text itself.</p></div></body>", ["Head", "The text itself."]),
+    "comments policy": ("<body><div class=comments-policy-guide><article><p>The text itself.</p></article></div></body>", ["The text itself."]),
+    "cookie notice only": ("<body><article></article><div class=cookie-bar><p>We use them</p></div></body>", []),
+    "lead in header text": ("<body><article><div class=header-text><p>The lead.</p></div><p>The text itself.</p></article></body>", ["The lead.", "The text itself."]),
+    "header outside": ("<body><div class=header-text><p>Site</p></div><article><p>The text itself.</p></article></body>", ["The text itself."]),
+    "headline in main": ("<body><main><h1>Head</h1><article><p>The text itself.</p></article></main></body>", ["Head", "The text itself."]),
+    "thread of readers": ("<body><article><p>The text itself.</p></article><section id=discussion-thread><p>" + "A reader says. " * 80 + "</p></section></body>", ["The text itself."]),
+    "legal, short": ("<body><article><p>" + "Text. " * 400 + "</p><div class=legal>" + "Law. " * 80 + "</div></article></body>", [("Text. " * 400).strip()]),
+    "legal, longer": ("<body><article><p>" + "Text. " * 400 + "</p><div class=legal>" + "Law. " * 160 + "</div></article></body>", [("Text. " * 400).strip()]),
+}
+
+
+@pytest.mark.parametrize("name", list(WHOLE))
+def test_whole_articles(name):
+    page, want = WHOLE[name]
+    tree = html_extract.Page(page)
+    assert tree.article(tree.best()) == want
+
+
+def test_paths_of_any_length_vote(spark):
+    """A path of 5,000 characters wins its host's vote."""
+    deep = "".join(f'<div class="{"x" * 100}{chr(97 + k)}">' for k in range(26)) * 2
+    rows = [(i, f"http://deep.example/{i}", f'<body>{deep}<div class="s"><p>{f"Story {i}. " * 9}</p></div><div class="t">Same box</div></body>') for i in range(4)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 4 and all(r.agreed and r.text == (f"Story {r.page_id}. " * 9).strip() for r in got)
+
+
 def test_deep_pages():
     tree = html_extract.Page('<div class="a">' * 100_000 + "text" + "</div>" * 100_000)
     assert tree.within(tree.climbed(tree.best())) == ["text"]
