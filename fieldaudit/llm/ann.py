@@ -1,6 +1,6 @@
 """Operator 6: approximate nearest neighbours by inner product, with a robust-pruned directed graph over each shard of the vectors.
 
-A shard's vectors have lengths within a factor of two, so a long vector never sets the scale of short ones. Its graph is built by inserting
+A shard's vectors have nearly the same length (see BANDS), so a long vector never sets the scale of short ones. Its graph is built by inserting
 points in batches: a greedy search on the graph so far proposes neighbours, and relaxed distance pruning keeps a diverse few of them. Queries
 run a beam search on every shard's graph, in blocks; the beam is widened until a sample of the block's queries finds what brute force finds,
 and the shards' best are merged.
@@ -153,8 +153,8 @@ def lifted(v: np.ndarray) -> np.ndarray:
 def search(v: np.ndarray, graph: np.ndarray, entry: int, q: np.ndarray, k: int, width: int = BEAM) -> np.ndarray:
     """The ids of the k points found with the largest inner products for each row of q, in no order; -1 where there are fewer.
 
-    Inner products are in double precision. The width doubles until SAMPLE of the queries find RECALL of their true k; where it comes near
-    the number of points, brute force answers.
+    Inner products are in double precision. The width doubles until SAMPLE of the queries find RECALL of their true k; a beam as wide as the
+    shard would visit every point, so all points are compared then.
     """
     n, at = len(v), np.linspace(0, len(q) - 1, min(SAMPLE, len(q))).astype(int)
     v = v / np.exp2(np.floor(np.log2(np.abs(v).max())))
@@ -169,9 +169,9 @@ def search(v: np.ndarray, graph: np.ndarray, entry: int, q: np.ndarray, k: int,
         return beam_search(lambda ids, some: -np.einsum("bcd,bd->bc", v[ids], q[rows[some]]), n, graph, entry, len(rows), width)[0][:, :k]
 
     width = max(width, 2 * k)
-    if 8 * width < n:
+    if width < n:
         truth = exact(at)
-    while 8 * width < n:
+    while width < n:
         found = near(at, width)
         if np.mean([len(np.intersect1d(a, b)) / k for a, b in zip(truth, found)]) >= RECALL:
             return np.concatenate([near(rows, width) for rows in np.array_split(np.arange(len(q)), -(-len(q) // 256))])
@@ -195,11 +195,15 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~bad & F.exists("v", lambda c: c != 0)).distinct()
 
 
+#: Bands of length in each power of two. In a narrow one the component that lifted() adds is small, so the graph's distances are the given vectors'.
+BANDS = 16
+
+
 def band_of(v):
-    """The power of two at or below a vector's length, computed without overflow."""
+    """The band of a vector's length, computed without overflow. Edges are between powers of 2^(1/BANDS), so that length 1 isn't one."""
     big = F.array_max(F.transform(v, lambda c: F.abs(c)))
     square = F.aggregate(v, F.lit(0.0), lambda s, c: s + (c / big) * (c / big))
-    return F.floor(F.log2(big) + F.log2(square) / 2).cast("int")
+    return F.floor(BANDS * (F.log2(big) + F.log2(square) / 2) + 0.5).cast("int")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
@@ -207,7 +211,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, shard: int = SHA
 
     Rows that are null, zero or not finite take no part (see usable()). Equal vectors are one point of the graph with the k + 1 smallest
     of their ids, more of which can't be in a result; so a vector of very many rows costs one. Queries with equal vectors are one search.
-    Ties go to the smaller id. Vectors of another number of components or another power of two in length are in shards of their own.
+    Ties go to the smaller id. Vectors of another number of components or another band of lengths (see band_of()) are in shards of their own.
     Empty tables give no rows; extra columns aren't read.
     """
     of_vector = Window.partitionBy("v").orderBy("vec_id")
@@ -215,8 +219,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, shard: int = SHA
     points = cut(points.select("v", "ids", F.get("ids", F.lit(0)).alias("point"), F.size("v").alias("dim"), band_of(F.col("v")).alias("band")))
     asked = cut(usable(queries))
     searches = cut(asked.groupBy("v").agg(F.min("vec_id").alias("search")).withColumn("dim", F.size("v")))
-    shards = cut(points.groupBy("dim", "band").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards")))
-    n_shards = shards.agg(F.sum("shards")).first()[0] or 1
+    shards = cut(points.groupBy("dim", "band").agg(F.count("*").alias("n"), F.ceil(F.count("*") / shard).cast("int").alias("shards")))
+    n_shards, n = (x or 1 for x in shards.agg(F.sum("shards"), F.sum("n")).first())
+    spread = max(4 * -(-n // shard), min(4 * n_shards, 64))  # many shards of few vectors share a task
+    shards = shards.drop("n")
     blocks = max(1, -(-searches.count() // block))
     slices = -(-blocks // SLICE)
 
@@ -235,7 +241,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, shard: int = SHA
 
     of_shard = ["dim", "band", "shard"]
     dealt = points.join(F.broadcast(shards), ["dim", "band"]).withColumn("shard", F.pmod(F.xxhash64("v"), F.col("shards")).cast("int"))
-    index = cut(dealt.select("point", "v", *of_shard).repartition(4 * n_shards, *of_shard).groupBy(*of_shard).applyInArrow(make, "dim int, band int, shard int, index binary"))
+    index = cut(dealt.select("point", "v", *of_shard).repartition(spread, *of_shard).groupBy(*of_shard).applyInArrow(make, "dim int, band int, shard int, index binary"))
     grouped = searches.withColumn("block", F.pmod(F.xxhash64("search"), F.lit(blocks)).cast("int")).groupBy("dim", "block").applyInArrow(gather, "dim int, block int, asked binary")
     grouped = grouped.join(F.broadcast(shards), "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumn("slice", F.pmod("block", F.lit(slices)))
     copies = index.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
@@ -254,7 +260,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, shard: int = SHA
                     score = np.einsum("qcd,qd->qc", v[np.maximum(part, 0)], vec[lo : lo + 256])
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(who[lo : lo + 256], ok.sum(1))), pa.array(ids[part[ok]]), pa.array(score[ok])], ["search", "point", "score"])
 
-    spread = 4 * n_shards * slices
+    spread *= slices
     hits = grouped.repartition(spread, *by).join(copies.repartition(spread, *by), by).select("index", "asked").mapInArrow(answer, "search long, point long, score double")
     best = Window.partitionBy("search").orderBy(F.col("score").desc(), "point")
     hits = hits.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")

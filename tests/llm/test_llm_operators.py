@@ -408,6 +408,29 @@ def test_recall_whatever_the_lengths(spark, name):
     assert hits >= 0.9 * 20 * 40
 
 
+@pytest.mark.parametrize("name, n, d", [("normal", 4000, 64), ("normal", 2500, 384), ("unit", 2000, 64), ("log-normal", 4000, 16)])
+def test_graphs_alone_find_neighbours(name, n, d):
+    """Recall of the beams of all bands' graphs, merged, with nothing answered by brute force."""
+    r = np.random.default_rng(6)
+    v = r.normal(size=(n, d))
+    if name != "normal":
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+    if name == "log-normal":
+        v *= r.lognormal(0, 1.5, (n, 1))
+    q = v[::50]
+    band = np.floor(ann.BANDS * np.log2(np.linalg.norm(v, axis=1)) + 0.5)
+    found = [[] for _ in q]
+    for ids in (np.flatnonzero(band == b) for b in np.unique(band)):
+        x = v[ids]
+        graph, entry = ann.build(ann.lifted(x))
+        beam = ann.beam_search(lambda i, rows: -np.einsum("bcd,bd->bc", x[i], q[rows]), len(x), graph, entry, len(q), 128)[0][:, :20]  # noqa: B023
+        for one, row in zip(found, beam):
+            one += ids[row[row >= 0]].tolist()
+    scores = q @ v.T
+    hits = sum(len(set(sorted(one, key=lambda i: -s[i])[:20]) & set(np.argsort(-s)[:20].tolist())) for one, s in zip(found, scores))
+    assert hits >= 0.9 * 20 * len(q)
+
+
 LAYOUTS = {
     "sections of other classes": ("<body><div id=main><p>One and some words.</p><div class=section>Two and some.</div><div class=section2>Three and some.</div></div></body>", ["One and some words.", "Two and some.", "Three and some."]),
     "headline in the article's header": ("<body><header>Site</header><article><header><h1>Head</h1></header><p>Body of it.</p></article></body>", ["Head", "Body of it."]),
