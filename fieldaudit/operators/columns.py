@@ -69,6 +69,15 @@ def imputed(df: DataFrame, columns: list[str], split: str = "split") -> DataFram
     return out.withColumns({c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.col(f"_m_{c}")) for c in columns}).drop(*(f"_m_{c}" for c in columns))
 
 
+def scaled(df: DataFrame, columns: list[str], split: str = "split") -> DataFrame:
+    """df with the columns less their mean over the train rows, in its standard deviations there; nulls stay, a column without spread is only
+    centred. One pass over the train rows gives all figures, as one row."""
+    fit = df.where(F.col(split) == "train").agg(*(f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))))
+    placed = df.crossJoin(F.broadcast(fit))
+    spread = {c: F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(F.lit(1.0)) for c in columns}
+    return placed.withColumns({c: (F.col(c) - F.col(f"_m_{c}")) / spread[c] for c in columns}).select(*df.columns)
+
+
 def availability(columns: DataFrame, patterns: DataFrame) -> DataFrame:
     """columns with available: false where a pattern (a part of a name) is in feature_id."""
     hit = columns.join(F.broadcast(patterns), columns.feature_id.contains(patterns.pattern)).select("feature_id").distinct().withColumn("_hit", F.lit(True))

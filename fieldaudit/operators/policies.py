@@ -82,6 +82,27 @@ def random(df: DataFrame, by: list[str], share: float, seed: int, rule: str = "c
     return df.withColumn("removed", F.row_number().over(w.orderBy(h, "feature_id")) <= budget(share, F.count("*").over(w), rule))
 
 
+AUDITS = ("no_removal", "auto_quarantine", "remove_all_oracle", "random_matched")
+
+
+def audit(df: DataFrame, by: list[str], share: float, seed: int, truth: str = "is_leak") -> DataFrame:
+    """A row of df for each of the policies AUDITS with removed: nothing, the columns of highest score within the budget, all that are known to
+    leak, and as many as the budget by a hash. A column's row is ranked once for all of them."""
+    flags = fields(df, by, share, "ceil").withColumnRenamed("removed", "_top")
+    flags = random(flags, by, share, seed, "ceil").withColumnRenamed("removed", "_any")
+    of = dict(zip(AUDITS, (F.lit(False), F.col("_top"), F.coalesce(F.col(truth), F.lit(False)), F.col("_any"))))
+    each = F.explode(F.array(*(F.struct(F.lit(p).alias("policy"), c.alias("removed")) for p, c in of.items())))
+    return flags.withColumn("_p", each).select(*df.columns, "_p.*")
+
+
+def random_seeds(df: DataFrame, by: list[str], share: float, seeds: list[int], rule: str = "ceil_one") -> DataFrame:
+    """A row of df for each seed with removed as random() gives it for that seed."""
+    each = df.withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
+    w = Window.partitionBy(*by, "seed")
+    h = F.md5(F.concat_ws("|", F.col("seed").cast("string"), *(F.col(c).cast("string") for c in by), "feature_id"))
+    return each.withColumn("removed", F.row_number().over(w.orderBy(h, "feature_id")) <= budget(share, F.count("*").over(w), rule))
+
+
 def labelled_components(edges: DataFrame) -> DataFrame:
     """(feature_id, component) of the columns that edges (src, dst) touch: the smallest feature_id that edges lead to.
 

@@ -203,6 +203,21 @@ def dose_slope(df: DataFrame, by: list[str], level: str, value: str) -> DataFram
     return df.withColumn("_z", z).groupBy(*by).agg(F.avg(F.col("_z") * F.col(value)).alias("slope"))
 
 
+def dose_response(point: DataFrame, replicates: DataFrame, by: list[str], level: str, value: str, stat: str = "stat", rep: str = "rep") -> DataFrame:
+    """by, slope, low, high, p, p_holm, positive_steps, steps: the value over standardised levels, its interval over replicates, twice the smaller
+    share of replicates on one side of 0 (0 counts for both), adjusted over all rows, and how many neighbouring levels rise.
+
+    point has a value for each group and level, replicates a stat for each of them and replicate; both are as few as a plan's cells.
+    """
+    drawn = dose_slope(replicates, [*by, rep], level, stat)
+    share = lambda c: F.avg(c.cast("int"))
+    p = F.least(F.lit(1.0), 2 * F.least(share(F.col("slope") <= 0), share(F.col("slope") >= 0)))
+    spread = drawn.groupBy(*by).agg(F.percentile("slope", F.lit(0.025)).alias("low"), F.percentile("slope", F.lit(0.975)).alias("high"), p.alias("p"))
+    rise = F.col(value) - F.lag(value).over(Window.partitionBy(*by).orderBy(level))
+    steps = point.withColumn("_up", rise).groupBy(*by).agg(F.sum(F.coalesce((F.col("_up") > 0).cast("int"), F.lit(0))).alias("positive_steps"), F.count("_up").alias("steps"))
+    return holm(dose_slope(point, by, level, value).join(spread, by).join(steps, by), "p")
+
+
 
 
 def permuted_increment(df: DataFrame, category: str, item: str, x: str, y: str, reps: int, seed: int) -> DataFrame:

@@ -194,6 +194,24 @@ add("g7_lifecycle_budget", lambda s, d: flags(policies.lifecycle(scores(s, d), [
 add("g8_random_removal", lambda s, d: flags(policies.random(scores(s, d), ["dataset_id"], 0.25, S)),
     f" SELECT dataset_id, feature_id, row_number() OVER (PARTITION BY dataset_id ORDER BY md5('{S}|' || dataset_id || '|' || feature_id), feature_id) <= 2 AS removed FROM sc")
 add("g9_audit_quarantine", lambda s, d: flags(policies.fields(scores(s, d), ["dataset_id"], 0.3, "ceil")), f" SELECT dataset_id, feature_id, {_TOP} <= 3 AS removed FROM sc")
+_HASHED = "row_number() OVER (PARTITION BY dataset_id{by} ORDER BY md5({seed} || '|' || dataset_id || '|' || feature_id), feature_id)"
+add("g9_audit_policies", lambda s, d: policies.audit(scores(s, d), ["dataset_id"], 0.3, S).select("dataset_id", "policy", "feature_id", "removed"),
+    f""", rk AS (SELECT dataset_id, feature_id, is_leak, {_TOP} AS a, {_HASHED.format(by='', seed=f"'{S}'")} AS b, ceil(round(0.3 * count(*) OVER (PARTITION BY dataset_id), 9)) AS k FROM sc)
+    SELECT dataset_id, policy, feature_id, CASE policy WHEN 'no_removal' THEN false WHEN 'auto_quarantine' THEN a <= k WHEN 'remove_all_oracle' THEN is_leak ELSE b <= k END AS removed
+    FROM rk, (VALUES ('no_removal'), ('auto_quarantine'), ('remove_all_oracle'), ('random_matched')) p(policy)""")
+add("g8_random_seeds", lambda s, d: _seeds(s, d),
+    f""", sd AS (SELECT sc.*, seed FROM sc, range(1, 21) r(seed)), rk AS (SELECT *, {_HASHED.format(by=', seed', seed='seed')} <= 2 AS removed FROM sd),
+    pr AS (SELECT dataset_id, seed, count(*) FILTER (removed) AS cost, count(*) FILTER (removed AND is_leak) / CAST(count(*) FILTER (is_leak) AS DOUBLE) AS recall FROM rk GROUP BY ALL)
+    SELECT dataset_id, count(*) AS seeds, min(cost) AS least_cost, max(cost) AS most_cost, round(avg(recall), 6) AS recall, round(stddev_pop(recall), 6) AS recall_sd FROM pr GROUP BY 1""")
+
+
+def _seeds(s, d):
+    """Recall of removal at random over twenty seeds, all at the cost of g3."""
+    n = policies.result(policies.random_seeds(scores(s, d), ["dataset_id"], 0.25, list(range(1, 21))), ["dataset_id", "seed"])
+    out = n.groupBy("dataset_id").agg(F.count("*").alias("seeds"), F.min("review_units").alias("least_cost"), F.max("review_units").alias("most_cost"), F.avg("recall").alias("recall"), F.stddev_pop("recall").alias("recall_sd"))
+    return rounded(out, ["dataset_id", "seeds", "least_cost", "most_cost"], "recall", "recall_sd")
+
+
 _G3 = f", g3 AS (SELECT *, {_TOP} <= 2 AS removed FROM sc)"
 add("g10_policy_result", lambda s, d: rounded(policies.result(policies.fields(scores(s, d), ["dataset_id"], 0.25), ["dataset_id"]), ["dataset_id", "kept", "quarantined", "review_units"], "recall", "false_quarantine_rate", "retention"),
     _G3 + """ SELECT dataset_id, string_agg(feature_id, ',' ORDER BY feature_id) FILTER (NOT removed) AS kept, string_agg(feature_id, ',' ORDER BY feature_id) FILTER (removed) AS quarantined, count(*) FILTER (removed) AS review_units,
@@ -263,6 +281,17 @@ def _scaled(s, d):
     return p.crossJoin(F.broadcast(fit)).select("row_id", F.round((F.col("x_price") - F.col("m")) / F.col("v"), 6).alias("z"))
 
 
+_TO_SCALE = [c for c in COLUMNS if c != "m10_copy"]
+
+
+def _all_scaled(s, d):
+    return rounded(columns.scaled(probed(s, d), _TO_SCALE), ["row_id", "split"], *_TO_SCALE)
+
+
+add("f16_train_scaling_columns", _all_scaled, f", t AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in _TO_SCALE)} FROM probed WHERE split = 'train') SELECT row_id, split, "
+    + ", ".join(f"round(({c} - m_{c}) / CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1 END, 6) AS {c}" for c in _TO_SCALE) + " FROM probed, t")
+
+
 def flagship(s, d):
     """Which columns know the future, and would a correlation ranker find them?"""
     return QUERIES["e3_localization"](s, d)

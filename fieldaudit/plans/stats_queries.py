@@ -150,6 +150,22 @@ add("b20_two_way", _two_way, _MECH + """, w AS (SELECT h, avg(h) OVER (PARTITION
 add("b21_dose_response", lambda s, d: rounded(stats.dose_slope(led(s, d).groupBy("mechanism", "strength").agg(F.avg("paired_harm").alias("m")), ["mechanism"], "strength", "m"), ["mechanism"], "slope"),
     """, m AS (SELECT mechanism, strength, avg(paired_harm) AS m FROM ledger GROUP BY ALL), z AS (SELECT mechanism, m, (strength - avg(strength) OVER w) / stddev_pop(strength) OVER w AS z FROM m WINDOW w AS (PARTITION BY mechanism))
     SELECT mechanism, round(avg(z * m), 6) AS slope FROM z GROUP BY mechanism""")
+
+
+def _dose(s, d):
+    """Means over learners in each task, then slopes over strengths with replicates of datasets and of seeds within them."""
+    task = led(s, d).groupBy("dataset_id", "seed", "mechanism", "strength").agg(F.avg("paired_harm").alias("m"))
+    point = task.groupBy("mechanism", "strength").agg(F.avg("m").alias("m"))
+    drawn = stats.nested_bootstrap(task, "dataset_id", "seed", "m", ["mechanism", "strength"], REPS, S)
+    return rounded(stats.dose_response(point, drawn, ["mechanism"], "strength", "m"), ["mechanism", "positive_steps", "steps"], "slope", "low", "high", "p", "p_holm")
+
+
+add("b21_dose_effects", _dose, _DRAW + _NEST.replace("seed, mechanism, avg", "seed, mechanism, strength, avg").replace("rep, mechanism, avg", "rep, mechanism, strength, avg") + """,
+    pt AS (SELECT mechanism, strength, avg(m) AS m FROM ce GROUP BY ALL), zp AS (SELECT mechanism, m, (strength - avg(strength) OVER w) / stddev_pop(strength) OVER w AS z, m - lag(m) OVER (PARTITION BY mechanism ORDER BY strength) AS up FROM pt WINDOW w AS (PARTITION BY mechanism)),
+    sl AS (SELECT mechanism, avg(z * m) AS slope, coalesce(sum(CAST(up > 0 AS INT)), 0) AS positive_steps, count(up) AS steps FROM zp GROUP BY 1),
+    zr AS (SELECT mechanism, rep, stat, (strength - avg(strength) OVER w) / stddev_pop(strength) OVER w AS z FROM st WINDOW w AS (PARTITION BY mechanism, rep)), rs AS (SELECT mechanism, rep, avg(z * stat) AS slope FROM zr GROUP BY ALL),
+    sf AS (SELECT mechanism, quantile_cont(slope, 0.025) AS low, quantile_cont(slope, 0.975) AS high, least(1.0, 2 * least(avg(CAST(slope <= 0 AS INT)), avg(CAST(slope >= 0 AS INT)))) AS p FROM rs GROUP BY 1)""" + _HOLM + """
+    SELECT mechanism, CAST(positive_steps AS BIGINT) AS positive_steps, steps, round(slope, 6) AS slope, round(low, 6) AS low, round(high, 6) AS high, round(p, 6) AS p, round(p_holm, 6) AS p_holm FROM hm JOIN sl USING (mechanism)""")
 add("b22_model_dispersion", lambda s, d: _mech(s, d).groupBy("mechanism").agg(F.round(F.stddev_pop("h"), 6).alias("dispersion"), F.max_by("model", F.struct("h", "model")).alias("highest"), F.min_by("model", F.struct("h", "model")).alias("lowest")),
     _MECH + " SELECT mechanism, round(stddev_pop(h), 6) AS dispersion, arg_max(model, (h, model)) AS highest, arg_min(model, (h, model)) AS lowest FROM mm GROUP BY mechanism")
 

@@ -29,8 +29,13 @@ def read_chosen(spark: SparkSession, path: str, schema: str, keys: DataFrame, ke
     return read_csv(spark, path, schema).join(keys.select(key).distinct(), key, "left_semi")
 
 
+#: Rows of an archive's member that are in a task's memory at once.
+ZIP_ROWS = 100_000
+
+
 def read_zip(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of the first .csv member (by name) of each archive at path; one archive is one task's."""
+    """Rows of the first .csv member (by name) of each archive at path; one archive is one task's, its rows are read ZIP_ROWS at
+    a time."""
     from pyspark.sql.types import _parse_datatype_string
 
     names = [f.name for f in _parse_datatype_string(schema).fields]
@@ -42,14 +47,15 @@ def read_zip(spark: SparkSession, path: str, schema: str) -> DataFrame:
             for content in frame["content"]:
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     member = sorted(n for n in z.namelist() if n.lower().endswith(".csv"))[0]
-                    yield pd.read_csv(z.open(member), usecols=lambda c: c in names, dtype=str).reindex(columns=names)
+                    for part in pd.read_csv(z.open(member), usecols=lambda c: c in names, dtype=str, chunksize=ZIP_ROWS):
+                        yield part.reindex(columns=names)
 
     text = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, ", ".join(f"`{n}` string" for n in names))
     return text.select(*(F.expr(f"TRY_CAST(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name) for f in _parse_datatype_string(schema).fields))
 
 
 def read_results(spark: SparkSession, path: str, schema: str, status: str = "COMPLETED") -> DataFrame:
-    """Result files in JSON (one object each) of that status; broken files are left out."""
+    """Result files in JSON (one object each) of that status; broken files are left out, and named by broken_results()."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path).where(F.col("status") == status)
 
 
@@ -75,6 +81,19 @@ def lineage(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
 
 
+def time_lineage(df: DataFrame, column: str) -> DataFrame:
+    """sort_column, time_min and time_max of the values of a column that aren't null, as texts of ISO 8601; null where there are none. One row."""
+    iso = lambda c: F.date_format(c.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss")
+    return df.agg(F.lit(column).alias("sort_column"), iso(F.min(column)).alias("time_min"), iso(F.max(column)).alias("time_max"))
+
+
+def broken_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """name of each result file that read_results() leaves out as it isn't one JSON object of the schema."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value")
+    parsed = F.from_json("value", f"{schema}, _broken string", {"columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE"})
+    return whole.withColumn("_parsed", parsed).where("_parsed IS NULL OR _parsed._broken IS NOT NULL").select("name")
+
+
 def append_ledger(done: str, plan: DataFrame, evaluate, key: str = "run_id") -> DataFrame:
     """Evaluates the planned rows that the ledger at done lacks and appends them to it; the whole ledger."""
     spark = plan.sparkSession

@@ -37,6 +37,12 @@ def test_results_choice_and_lineage(spark, tmp_path):
     (tmp_path / "x.csv.gz").write_bytes(b"1" * 100)
     assert files.choose_file(spark, str(tmp_path / "x.*"), [".csv.gz", ".csv"]).endswith("x.csv.gz")
     assert files.lineage(spark, str(tmp_path / "x.csv")).first().bytes == 100
+    (tmp_path / "r9.json").write_text('{"run": 9, "status": ')
+    assert sorted(r.run for r in files.read_results(spark, str(tmp_path / "*.json"), "run int, status string").collect()) == [0, 2]
+    assert [r.name for r in files.broken_results(spark, str(tmp_path / "*.json"), "run int, status string").collect()] == ["r9.json"]
+    times = spark.createDataFrame([("2024-01-03 01:02:03",), (None,), ("2023-12-31 00:00:00",)], "t string").select(F.to_timestamp("t").alias("t"))
+    assert tuple(files.time_lineage(times, "t").first()) == ("t", "2023-12-31T00:00:00", "2024-01-03T01:02:03")
+    assert tuple(files.time_lineage(times.where("t IS NULL"), "t").first()) == ("t", None, None)
 
 
 def test_append_and_export(spark, tmp_path):
