@@ -90,13 +90,13 @@ def quantiles(df: DataFrame, by: list[str], value: str, at: list[float]) -> Data
 
 
 def by_time(df: DataFrame, sums: dict[str, Column] | None = None, by: list[str] | None = None) -> DataFrame:
-    """positions() in the order of (ts, row_id)."""
-    return positions(df, [F.col("ts"), F.col("row_id")], F.to_date("ts"), sums, by)
+    """positions() in the order of (ts, row_id), in buckets of an hour: rows of one time can't be parted."""
+    return positions(df, [F.col("ts"), F.col("row_id")], F.date_trunc("hour", "ts"), sums, by)
 
 
 def by_hash(df: DataFrame, key: Column, by: list[str] | None = None) -> DataFrame:
-    """positions() in the order of a hash (hex digits), ties by row_id."""
-    return positions(df.withColumn("_key", key), [F.col("_key"), F.col("row_id")], F.substring("_key", 1, 2), by=by).drop("_key")
+    """positions() in the order of a hash (hex digits), ties by row_id, in 4,096 buckets of like size."""
+    return positions(df.withColumn("_key", key), [F.col("_key"), F.col("row_id")], F.substring("_key", 1, 3), by=by).drop("_key")
 
 
 def with_count(df: DataFrame, name: str = "n", by: list[str] | None = None) -> DataFrame:
