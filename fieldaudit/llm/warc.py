@@ -15,13 +15,13 @@ KEPT = (
 
 
 def canonical(url: Column) -> Column:
-    """The url without fragment, default port and utm_ parameters, its scheme and host in lower case, its parameters sorted."""
+    """The url without fragment, its scheme's default port and utm_ parameters, its scheme and host in lower case, its parameters sorted."""
     m = lambda i: F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?", i)
-    host = F.regexp_replace(F.lower(m(2)), r":(80|443)$", "")
+    origin = F.regexp_replace(F.concat(F.lower(m(1)), F.lit("://"), F.lower(m(2))), r"^(http://.*):80$|^(https://.*):443$", "$1$2")
     path = F.when(m(3) == "", F.lit("/")).otherwise(m(3))
     params = F.array_sort(F.filter(F.split(m(4), "&"), lambda p: (p != "") & ~p.startswith("utm_")))
     query = F.array_join(params, "&")
-    whole = F.concat(F.lower(m(1)), F.lit("://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
+    whole = F.concat(origin, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
     return F.when(m(1) == "", url).otherwise(whole)
 
 
@@ -115,7 +115,7 @@ c AS (
          CASE WHEN kind < 6 THEN changed ELSE '' END, NULL, '0', 'max-age=600', CAST(later AS VARCHAR), NULL FROM t WHERE id % 3 > 0),
 m AS (SELECT *, regexp_extract(url, '{_PATTERN}', ['scheme', 'host', 'path', 'query']) AS u FROM c),
 n AS (SELECT *, CASE WHEN u.scheme = '' THEN url ELSE
-        lower(u.scheme) || '://' || regexp_replace(lower(u.host), ':(80|443)$', '') || CASE WHEN u.path = '' THEN '/' ELSE u.path END
+        regexp_replace(lower(u.scheme) || '://' || lower(u.host), '^(http://.*):80$|^(https://.*):443$', '\1\2') || CASE WHEN u.path = '' THEN '/' ELSE u.path END
         || CASE WHEN len(list_filter(string_split(u.query, '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_'))) > 0
                 THEN '?' || array_to_string(list_sort(list_filter(string_split(u.query, '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_'))), '&') ELSE '' END END AS canonical_url FROM m),
 r AS (SELECT * FROM n WHERE status = 304),

@@ -244,6 +244,17 @@ def test_revisits_match_sql(spark):
     assert {r.canonical_url for r in got.collect()} == {f"http://host{k}.example/p?a=1&b=2" for k in range(7)}
 
 
+def test_ports_go_by_scheme(spark):
+    """Only a scheme's own port is left out: others are other origins."""
+    want = {"http://A.example:80/x": "http://a.example/x", "https://a.example:443": "https://a.example/", "http://a.example:443/": "http://a.example:443/", "https://a.example:80/": "https://a.example:80/", "ftp://a.example:80/": "ftp://a.example:80/", "http://a.example:8080/": "http://a.example:8080/"}
+    rows = spark.createDataFrame([(u,) for u in want], "url string").select("url", warc.canonical(F.col("url")).alias("c")).collect()
+    assert {r.url: r.c for r in rows} == want
+    pages = [(i, u, f"<p>{i % 3}") for i, u in enumerate(list(want) * 20)]
+    connection = duckdb.connect()
+    connection.register("pages", pa.Table.from_pylist([dict(zip(("page_id", "url", "html"), p)) for p in pages]))
+    assert {r[0] for r in connection.sql(f"SELECT DISTINCT canonical_url FROM ({warc.SQL})").fetchall()} <= set(want.values())
+
+
 def test_revisit_without_headers(spark):
     rows = [(1, "http://a/", 10, 200, {"etag": '"x"', "content-type": "t"}, "d"), (2, "http://a/", 20, 304, None, None), (3, None, 20, 304, {}, None), (4, "http://a/", 10, 304, {"etag": '"x"'}, None)]
     got = {r.record_id: r for r in warc.resolve(spark.createDataFrame(rows, "record_id long, url string, ts long, status int, headers map<string,string>, digest string")).collect()}
