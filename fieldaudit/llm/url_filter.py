@@ -13,7 +13,7 @@ from fieldaudit.llm.html_extract import host_of
 #: Lengths of the n-grams and buckets of the hash.
 GRAMS, BUCKETS = (3, 4, 5), 1 << 18
 #: The rules of the query: the verdict, then the host, a slash and how the path goes on.
-RULES = ["block com/en/", "allow example.com/en/7", "block net/de/", "block example.net/de/8", "block org/es/"]
+RULES = ["block com/en/", "allow example.com/en/7", "allow net/de/", "block example.net/de/8", "block org/es/"]
 # The labelled table, public hosts with a path. Blocked: gambling, adult, pharmacy, loan and piracy sites, advertising and link trade
 BLOCKED = """
 https://www.bet365.com/sports/live  https://www.betfair.com/exchange/plus  https://www.betway.com/en/casino  https://www.unibet.com/betting/sports  https://1xbet.com/en/live  https://www.betvictor.com/en-gb/sports
