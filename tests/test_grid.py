@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fieldaudit.operators import grid, models, rankers, stats
+from fieldaudit.functions import draws
+from fieldaudit.operators import grid, models, order, probes, rankers, stats
 from fieldaudit.operators.ledger import GateError
 
 BASE, CELLS = ["a", "b"], [grid.Cell("M01", "S2", ["p"], ["p"]), grid.Cell("M09", "S2", ["q0", "q1"], ["q0", "q1"], "M09")]
@@ -108,3 +109,22 @@ def test_fitted_grid_keeps_failures_as_rows(spark, made, monkeypatch):
         assert good.status == "SUCCESS" and good.failure_reason is None and good.paired_harm == pytest.approx(good.full_auc - good.clean_auc) and good.paired_harm > 0
         assert bad.status == "FAILURE" and bad.failure_reason and bad.clean_auc == good.clean_auc
     assert got[0, "M01"].status == "FAILURE"
+
+
+def test_draws_made_together_equal_those_of_one_expression(spark):
+    rows = spark.range(300).select(F.md5(F.col("id").cast("string")).alias("row_id"))
+    made = probes.with_draws(rows, 5, ["m02", "m06_0"], ["M01"])
+    want = made.select(F.abs(F.col("_drawn_m02") - draws.normal("5", "m02", F.col("row_id"))).alias("a"), F.abs(F.col("_drawn_m06_0") - draws.normal("5", "m06_0", F.col("row_id"))).alias("b"), F.abs(F.col("_drawn_u_M01") - draws.uniform("5", "M01", F.col("row_id"))).alias("c"))
+    assert max(want.agg(F.max("a"), F.max("b"), F.max("c")).first()) < 1e-12 and made.count() == 300
+
+
+def test_splits_shuffle_no_rows_and_cut_between_rows_that_are_alike(spark):
+    from datetime import datetime
+
+    rows = [(datetime(2020, 1, 1 + i // 40), f"{i:04d}", i) for i in range(200)]
+    df = spark.createDataFrame(rows, "ts timestamp, row_id string, i int").checkpoint()
+    split = order.time_split(df)
+    assert {(r.i, r.split) for r in split.collect()} == {(i, "train" if i < 120 else "validation" if i < 160 else "test") for i in range(200)}
+    assert "hashpartitioning" not in split._jdf.queryExecution().executedPlan().toString()
+    alike = spark.createDataFrame([(datetime(2020, 1, 1), "same", i) for i in range(10)], "ts timestamp, row_id string, i int").checkpoint()
+    assert {r.split: r["count"] for r in order.time_split(alike).groupBy("split").count().collect()} == {"train": 6, "validation": 2, "test": 2}
