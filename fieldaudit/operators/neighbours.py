@@ -19,7 +19,8 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, queries_a_block: int
     """
     q, p = (df.where("v IS NOT NULL").select(F.col("id").cast("long"), F.col("v").cast("array<double>")) for df in (queries, points))
     nq, np_ = (max(1, -(-df.count() // size)) for df, size in ((q, queries_a_block), (p, points_a_block)))
-    dealt = lambda df, own, other, n, m: df.withColumns({own: F.pmod(F.xxhash64("id"), F.lit(n)), other: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))})
+    # of one type on both sides: a long and an int of the same value are dealt to different partitions, where their group has no other side
+    dealt = lambda df, own, other, n, m: df.withColumns({own: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))})
 
     def compare(left, right):
         import numpy as np
