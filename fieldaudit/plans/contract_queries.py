@@ -37,13 +37,11 @@ add("f12_without_dates", lambda s, d: contracts.without(read(s, d, "orders"), ["
 
 def _views(s, d):
     """Rows, columns and means of the strict, full, governed and contaminated-only views of the probed panel."""
-    p, r = probed(s, d), registry(s)
-    out = None
-    for name, kept in contracts.views(r, set(LEAKS), ["m02", "x_tax"]).items():
-        view = p.select("dataset_id", *kept)
-        row = view.groupBy("dataset_id").agg(F.count("*").alias("n_rows"), F.lit(len(kept)).alias("n_columns"), F.round(F.avg(sum((F.col(c) for c in kept[1:]), F.col(kept[0]))), 6).alias("mean_sum")).withColumn("view", F.lit(name))
-        out = row if out is None else out.union(row)
-    return out
+    kept = contracts.views(registry(s), set(LEAKS), ["m02", "x_tax"])
+    means = {name: F.avg(sum((F.col(c) for c in names[1:]), F.col(names[0]))) for name, names in kept.items()}
+    row = probed(s, d).groupBy("dataset_id").agg(F.count("*").alias("n_rows"), *(m.alias(f"_{name}") for name, m in means.items()))  # one pass for all views
+    each = F.explode(F.array(*(F.struct(F.lit(len(names)).alias("n_columns"), F.round(f"_{name}", 6).alias("mean_sum"), F.lit(name).alias("view")) for name, names in kept.items()))).alias("_v")
+    return row.select("dataset_id", "n_rows", each).select("dataset_id", "n_rows", "_v.*")
 
 
 _VIEW = {"strict": [c for c in COLUMNS if c not in LEAKS], "full": COLUMNS, "governed": [c for c in COLUMNS if c not in ("m02", "x_tax")], "contaminated": list(LEAKS)}
