@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldaudit.operators import metrics, order, policies
+from fieldaudit.operators import metrics, policies, scored
 
 #: What values and weights are multiplied with before they are rounded to whole numbers.
 VALUE, WEIGHT = 10**6, 10**9
@@ -20,8 +21,6 @@ RUN = ["dataset_id", "cell", "run"]
 #: The cell of the run on base columns alone.
 BASE = -1
 LEAST = 1e-12
-#: Ranges of the scores of a run, and rows that are looked at for their ends.
-PARTS, SAMPLE = 32, 50_000
 
 
 @dataclass(frozen=True)
@@ -74,27 +73,34 @@ def selections(columns: DataFrame, share: float, seeds: list[int], n_base: int)
 def areas(rows: DataFrame, chosen: DataFrame, base: list[str], cells: list[Cell]) -> DataFrame:
     """dataset_id, cell, run, auroc of the linear score that each run of selections() leaves, on rows (dataset_id, y and all columns).
 
-    Runs that leave the same weights are scored once. Scores are put in PARTS ranges by where a sample of rows has its ends, which decides how
-    evenly the work is spread and nothing else; within them areas() shuffles and sorts every row's score once.
+    Runs that leave the same weights are scored once, all of a dataset's in one product of whole numbers in the tasks; scored.areas() then
+    shuffles arrays of scores.
     """
     names = list(dict.fromkeys([*base, *(c for cell in cells for c in cell.columns)]))
     whole = lambda v: (F.signum(v) * F.floor(F.abs(v) * VALUE + 0.5)).cast("long")
-    x = rows.select("dataset_id", "y", F.transform(F.array(*(F.col(c).cast("double") for c in names)), whole).alias("_x"))
+    x = rows.select(F.col("dataset_id").alias("unit"), "y", F.transform(F.array(*(F.col(c).cast("double") for c in names)), whole).alias("x"))
     place = F.array_position(F.array(*map(F.lit, names)), F.col("feature_id")).cast("int") - 1
     kept = F.when(~F.col("removed") & (F.col("weight") != 0), F.struct(place.alias("p"), F.col("weight").alias("w")))
     runs = chosen.groupBy(*RUN).agg(F.array_sort(F.collect_list(kept)).alias("_w")).checkpoint()
     fits = runs.select("dataset_id", "_w").distinct().withColumn("fit", F.monotonically_increasing_id()).checkpoint()
-    score: Column = F.lit(0).cast("long")
-    for k in range(len(base) + max(len(c.columns) for c in cells)):
-        pair = F.get("_w", F.lit(k))
-        score = score + F.coalesce(pair["w"] * F.get("_x", pair["p"]), F.lit(0))
-    share = min(1.0, SAMPLE / max(1, x.count()))
-    ends = x.sample(share, 1).join(order.small(fits), "dataset_id").select("fit", score.alias("score")).groupBy("fit").agg(F.percentile_approx("score", [0.01, 0.99], 100).alias("_e"))
-    ends = fits.join(ends.select("fit", F.col("_e")[0].alias("_lo"), F.col("_e")[1].alias("_hi")), "fit", "left").checkpoint()
-    scored = x.join(order.small(ends), "dataset_id").select("fit", F.col("y").cast("int").alias("y"), "_lo", "_hi", score.alias("score"))
-    at = F.floor((F.col("score") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (PARTS - 2)) + 1
-    part = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(PARTS - 1), F.greatest(F.lit(0), at))).otherwise(F.lit(0)).cast("int")
-    found = metrics.auroc(scored.select("fit", "y", "score", part.alias("part")), ["fit"], "score", part="part").select("fit", "auroc").checkpoint()
+    own: dict[int, list] = {}
+    for r in fits.collect():  # some columns' weights for each different run, as Spark's own models are kept
+        own.setdefault(r.dataset_id, []).append((r.fit, [k.p for k in r._w], [k.w for k in r._w]))
+    weights = {}
+    for unit, told in own.items():
+        w = np.zeros((len(names), len(told)), np.int64)
+        for k, (_, at, v) in enumerate(told):
+            w[at, k] = v
+        weights[unit] = np.array([t[0] for t in told]), w
+    shared = rows.sparkSession.sparkContext.broadcast(weights)
+
+    def score(unit: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        fit, w = shared.value.get(unit, (np.zeros(0, np.int64), np.zeros((len(names), 0), np.int64)))
+        if w.size and (np.abs(x.astype(float)).max(0) @ np.abs(w.astype(float))).max() >= 2**63:
+            raise OverflowError("a score is larger than a whole number of 64 bits")
+        return fit, x @ w
+
+    found = scored.areas(x, score).select(F.col("fit"), "auroc").checkpoint()
     return runs.join(fits, ["dataset_id", "_w"]).join(found, "fit").select(*RUN, "auroc")
 
 
