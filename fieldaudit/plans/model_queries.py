@@ -25,5 +25,5 @@ QUERIES = {
     "l3_boosted_scores": _paired("gbt"),
     "d3_coefficient_rank": lambda s, d: models.coefficient_rank(_rows(s, d), COLUMNS),
     "d4_permutation_rank": lambda s, d: models.permutation_rank(_rows(s, d), COLUMNS),
-    "l5_evaluation_grid": lambda s, d: models.evaluation_grid(grid_queries.injected(s, d).checkpoint(), FEATURES, grid_queries.CELLS, ["lr"], ["dataset_id"]),
+    "l5_evaluation_grid": lambda s, d: models.evaluation_grid(grid_queries.injected(s, d).drop("row_id").checkpoint(), FEATURES, grid_queries.CELLS, ["lr"], ["dataset_id"]),
 }
