@@ -135,8 +135,8 @@ def partners(docs: DataFrame) -> DataFrame:
     other = F.struct(F.col("of").alias("node"), F.col("of_place").alias("place"), F.col("of_low").alias("low"), F.col("of_high").alias("high"))
     w = w.withColumn("open", F.col("of").isNotNull() | (F.greatest("n_after", "n_before") > 2)).where("of IS NOT NULL OR open OR plain.node < last")
     tag = lambda c, strong: F.struct(c.alias("a"), F.lit(strong).alias("strong"))
-    told = F.when(F.col("of").isNotNull(), F.array(tag(other, True))).otherwise(F.array(tag(F.col("after"), True), tag(F.col("before"), True), tag(F.col("plain"), False)))
-    each = w.select(F.col("node").alias("x"), "f", "place", "low", "high", "open", F.explode(told).alias("t"))
+    told = F.when(F.col("of").isNotNull(), F.array(tag(other, True))).otherwise(F.array(tag(F.col("after"), True), F.when(F.expr("before <> after"), tag(F.col("before"), True)), F.when(F.expr("plain <> after AND plain <> before"), tag(F.col("plain"), False))))
+    each = w.select(F.col("node").alias("x"), "f", "place", "low", "high", "open", F.explode(told).alias("t")).where("t IS NOT NULL")  # a window that is first in several ways is named once
     each = each.select("x", "f", "place", "low", "high", "open", "t.a", "t.strong")
     # both windows, laid one over the other at their places, have to share a run that a passage fits in
     fits = (F.col("a.node") != F.col("x")) & (F.least("low", "a.low") + F.least("high", "a.high") + 1 >= SPAN * PERCENT // 100)
@@ -162,6 +162,19 @@ def run_keys(s: np.ndarray) -> np.ndarray:
     return mix((total[SPAN:] - total[:-SPAN]) * back)
 
 
+def _structs(lists: pa.Array, fields: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Where each list of structs of whole numbers begins and ends among all, and their fields. A null list is empty."""
+    ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(int)
+    flat = lists.flatten()
+    return ends, [flat.field(k).to_numpy(zero_copy_only=False).astype(int) for k in range(fields)]
+
+
+def _covered(begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """Whether each of n places is in one of the ranges."""
+    change = np.bincount(np.minimum(begin, n), minlength=n + 1) - np.bincount(np.minimum(end, n), minlength=n + 1)
+    return np.cumsum(change[:n]) > 0
+
+
 def left_over(docs: DataFrame, each: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
     """Passages, as in found, that are word for word in two documents and not wholly in found: by runs of PASSAGE words in the open windows.
 
@@ -177,17 +190,17 @@ def left_over(docs: DataFrame, each: DataFrame, found: DataFrame, scratch: Scrat
         for batch in (b.slice(lo, 200) for b in batches for lo in range(0, b.num_rows, 200)):
             data, text_at = utf8(batch.column("text"))
             keys, nodes, places = [], [], []
-            node, asked, known = batch.column("x").to_numpy(), batch.column("at").to_pylist(), batch.column("spans").to_pylist()
+            node = batch.column("x").to_numpy()
+            (asked_at, (place, low, high)), (known_at, (begin, end)) = _structs(batch.column("at"), 3), _structs(batch.column("spans"), 2)
+            asked_lo = np.maximum(place - np.minimum(low, SPAN - 1), 0)
+            asked_hi = np.maximum(place + np.minimum(0, high - SPAN + 1) + 1, asked_lo)
             for i, j in chunks(text_at):
                 s, valid, first = _shingled(data, text_at[i : j + 1])
                 for k, (b, e) in enumerate(zip(first, first[1:]), i):
                     key = run_keys(s[b:e][valid[b:e]])
-                    use, gone = np.zeros(len(key), bool), np.zeros(e - b, np.int64)
-                    for w in asked[k]:
-                        use[max(w["place"] - min(w["low"], SPAN - 1), 0) : max(w["place"] + min(0, w["high"] - SPAN + 1) + 1, 0)] = True
-                    for w in known[k] or []:
-                        gone[w["begin"] : w["end"]] = 1
-                    gone = np.concatenate([[0], np.cumsum(gone)])
+                    asked, known = slice(asked_at[k], asked_at[k + 1]), slice(known_at[k], known_at[k + 1])
+                    use = _covered(asked_lo[asked], asked_hi[asked], len(key))
+                    gone = np.concatenate([[0], np.cumsum(_covered(begin[known], end[known], e - b))])
                     place = np.flatnonzero(use & (gone[PASSAGE : PASSAGE + len(key)] - gone[: len(key)] < PASSAGE))
                     keys.append(key[place])
                     nodes.append(np.full(len(place), node[k]))
@@ -287,13 +300,14 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             for lo in range(0, batch.num_rows, 200):
                 part = batch.slice(lo, 200)
                 sides = []
-                for c in ("x_text", "a_text"):
-                    data, at = utf8(part.column(c))
+                for c in ("x", "a"):
+                    _, once, back = np.unique(part.column(c).to_numpy(), return_index=True, return_inverse=True)  # a text in several pairs is read once
+                    data, at = utf8(part.column(f"{c}_text").take(pa.array(once)))
                     rows: list[np.ndarray] = []
                     for i, j in chunks(at):
                         s, valid, first = _shingled(data, at[i : j + 1])
                         rows += [s[b:e][valid[b:e]] for b, e in zip(first, first[1:])]
-                    sides.append(rows)
+                    sides.append([rows[k] for k in back])
                 seeds = part.column("seeds")
                 flat = np.stack([seeds.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(6)], 1) if part.num_rows else np.zeros((0, 6))
                 ends = np.concatenate([[0], np.cumsum(seeds.value_lengths().to_numpy(zero_copy_only=False))]).astype(int)
